@@ -5,15 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
+from .sentencepiece_bpe import encoded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model_path() -> str:
+    """Where the public merge model is installed, on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out fifth."""
+    return toxicity.fit(docs, labels, toxicity.remainder(F.col("doc_id"), 5) != 0)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"), piece_model_path()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +68,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = {f.__name__: f for f in (op4_exact_dedup, op7_minhash, op9_decontaminate)}
+OPERATORS = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_exact_dedup, op7_minhash, op9_decontaminate)}
 
 SQL_OP4 = r"""
 WITH t AS (

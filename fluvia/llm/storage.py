@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids (longs) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +55,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key isn't in the one column of ids (written; nulls in it count for nothing).
+
+    Only a list of at most BROADCAST_IDS ids is broadcast, after counting it.
+    """
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).filter("__gone is not null").distinct()
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
