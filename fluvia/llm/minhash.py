@@ -7,10 +7,13 @@
    estimates how many samples differ; pairs that are far below the threshold are discarded there.
    The limit lies SIGMAS deviations beyond the mean of a pair at the threshold.
 4. What is left is confirmed on full sets. A class is first confirmed against the likeliest of its
-   bands' least members, then against the other least members, and last against every member of a
-   shared band that still lies in another component. So a group of n copies costs about n
-   confirmations, yet no link between components is skipped.
-5. Links go to distributed connected components.
+   bands' least members, so a group of n copies costs n confirmations.
+5. Bands whose members then still lie in several components are open. Shingles that no other member
+   of an open band has are counted; they bound what a pair can share, exactly, and settle nearly
+   all texts that are close to a group but too far from each of its members. Pairs of different
+   components that this leaves possible are confirmed: against the least members first, then all.
+   No link between components is skipped.
+6. Links go to distributed connected components.
 
 With 40 bands of 4 rows, a pair at similarity 0.75 shares no band with probability 3e-7.
 """
@@ -32,7 +35,7 @@ from .textkit import LOWER, SPACE, U64, mix, pieces, stream
 
 BANDS, ROWS, WORDS, SIMILARITY = 40, 4, 5, 0.75
 SKETCH_LONGS = 8
-SIGMAS = 6.0
+SIGMAS = 5.5
 #: Shingles that are permuted at once, so that the block stays in cache.
 BLOCK = 256
 
@@ -86,10 +89,12 @@ def expected_bits(similarity: float, samples: int, longs: int) -> float:
 
 
 def most_bits(similarity: float, samples: int, longs: int, sigmas: float = SIGMAS) -> int:
-    """A count sigmas deviations beyond a pair at the similarity: of its differing samples, then of the bits."""
-    m = 64 * longs
-    differ = samples * (1 - similarity) + sigmas * math.sqrt(samples * similarity * (1 - similarity))
-    return math.ceil(m / 2 * (1 - math.exp(-4 * differ / m)) + sigmas * math.sqrt(m) / 4)
+    """The count sigmas deviations beyond the mean of a pair at the similarity (of its samples and of the bits)."""
+    m, differ = 64 * longs, samples * (1 - similarity)
+    slope = 2 * math.exp(-4 * differ / m)
+    of_samples = slope**2 * samples * similarity * (1 - similarity)
+    of_bits = m / 4 * (1 - math.exp(-8 * differ / m))
+    return math.ceil(expected_bits(similarity, samples, longs) + sigmas * math.sqrt(of_samples + of_bits))
 
 
 def _signed(words: int, bands: int, rows: int, longs: int):
@@ -152,6 +157,16 @@ def _sets(words: int):
     return run
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, own in enumerate(shingle_sets(batch.column(1), words)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(own.view(np.int64))], names=["id", "h"])
+
+    return run
+
+
 def _confirmed(percent: int):
     """Keep pairs with 100 * |intersection| >= percent * |union|."""
 
@@ -242,51 +257,70 @@ def near_duplicates(
         dropped(pairs, sets)
         return out
 
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of which the sides lie in different components."""
+        p, q = roots.select(F.col("vertex").alias("xv"), F.col("root").alias("xr")), roots.select(F.col("vertex").alias("yv"), F.col("root").alias("yr"))
+        return (
+            pairs.join(p, F.col("x") == F.col("xv"), "left").join(q, F.col("y") == F.col("yv"), "left")
+            .filter(F.coalesce("xr", "x") != F.coalesce("yr", "y")).drop("xv", "xr", "yv", "yr")
+        )
+
+    def opened(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the bands that touch several components, with their roots and the head's root."""
+        placed = members.join(roots, F.col("id") == F.col("vertex"), "left").select("band", "id", "least", F.coalesce("root", "id").alias("root"))
+        bands = placed.groupBy("band").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("root"))).alias("head_root")
+        )
+        mixed = bands.filter("lo < hi").select(F.col("band").alias("b"), "head_root")
+        return placed.join(mixed, F.col("band") == F.col("b")).drop("b")
+
+    def may_share(p: str, q: str) -> Column:
+        """Whether what only one text has leaves the pair a chance; sets p.n, p.only and the like."""
+        most = F.least(F.col(f"{p}.n") - F.col(f"{p}.only"), F.col(f"{q}.n") - F.col(f"{q}.only"))
+        return most * 100 >= (F.col(f"{p}.n") + F.col(f"{q}.n") - most) * percent
+
     # Each class against the likeliest of its bands' least members.
     stars = written(estimated(members.filter("id > least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()), "minhash-stars")
     best = stars.groupBy("y").agg(F.min_by("x", F.struct("bits", "x")).alias("x")).select("x", "y")
     links = confirmed(best, "minhash-links")
     roots = connected_components(links, "x", "y")
 
-    # Against the other least members that still lie in another component, then against whole bands.
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        p, q = roots.select(F.col("vertex").alias("xv"), F.col("root").alias("xr")), roots.select(F.col("vertex").alias("yv"), F.col("root").alias("yr"))
-        return (
-            pairs.join(p, F.col("x") == F.col("xv"), "left").join(q, F.col("y") == F.col("yv"), "left")
-            .filter(F.coalesce("xr", "x") != F.coalesce("yr", "y"))
-        )
+    # Shingles of open bands' members that no other of them has.
+    open_ = written(opened(members, roots), "minhash-open")
+    ids = open_.select(F.col("id").alias("o")).distinct()
+    shingles = own.join(ids, F.col("id") == F.col("o"), "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles(words), "id long, h long")
+    single = shingles.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).filter("c = 1")
+    only = written(single.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("only")), "minhash-only")
+    marked = written(
+        marks.join(ids, F.col("id") == F.col("o")).drop("o").join(only, F.col("id") == F.col("i"), "left").drop("i").fillna(0, ["only"]),
+        "minhash-marked",
+    )
+    bound = marked.select("id", "n", "only")
 
+    # The other least members that lie in another component.
     tried = best.select(F.col("x").alias("tx"), F.col("y").alias("ty"))
     rest = rooted(stars, roots).join(tried, (F.col("x") == F.col("tx")) & (F.col("y") == F.col("ty")), "left_anti")
-    more = confirmed(rest.select("x", "y"), "minhash-links")
-    links = links.union(more)
+    rest = rest.join(bound.alias("p"), F.col("x") == F.col("p.id")).join(bound.alias("q"), F.col("y") == F.col("q.id")).filter(may_share("p", "q"))
+    links = links.union(confirmed(rest.select("x", "y"), "minhash-links"))
     roots = connected_components(links, "x", "y")
 
-    placed = (
-        members.join(roots, F.col("id") == F.col("vertex"), "left")
-        .select("band", "id", F.coalesce("root", "id").alias("root"), "least")
-    )
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("least").alias("least")).filter("lo < hi")
-    open_ = placed.drop("least").join(mixed.select(F.col("band").alias("b"), F.col("least").alias("head")), F.col("band") == F.col("b")).drop("b")
-    open_ = written(open_.join(marks.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"), "minhash-open")
-    # A pair needs one side outside the component of the band's least member; those are the few.
-    head = open_.filter("id = head").select(F.col("band").alias("hb"), F.col("root").alias("head_root"))
-    outside = open_.join(head, F.col("band") == F.col("hb")).filter("root != head_root").alias("p")
-    every = open_.alias("q")
+    # Every pair that is left: one side lies outside the component of its band's least member.
+    still = opened(open_.select("band", "id", "least"), roots).filter("id != least")
+    still = written(still.join(marked.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"), "minhash-open")
+    possible = still.filter((F.col("n") - F.col("only")) * 100 >= F.col("n") * percent)  # else out of any reach
+    outside = possible.filter("root != head_root").alias("p")
     pairs = (
         outside.join(
-            every,
+            possible.alias("q"),
             (F.col("p.band") == F.col("q.band"))
             & (F.col("p.root") != F.col("q.root"))
-            & (F.col("q.id") != F.col("q.head"))
-            & (_apart("p", "q", longs) <= limit)
-            & (F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent),
+            & may_share("p", "q")
+            & (_apart("p", "q", longs) <= limit),
         )
         .select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y"))
         .distinct()
     )
-    last = confirmed(pairs, "minhash-links")
-    links = links.union(last)
+    links = links.union(confirmed(pairs, "minhash-links"))
     roots = connected_components(links, "x", "y")
 
     # Back to every row: its class, the class's component, and the least id of all of them.
