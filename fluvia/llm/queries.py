@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
 from .sentencepiece_bpe import encoded
+from .suffix_dedup import without_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -68,7 +74,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_exact_dedup, op7_minhash, op9_decontaminate)}
+OPERATORS = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_exact_dedup, op7_minhash, op8_suffix_dedup, op9_decontaminate)}
 
 SQL_OP4 = r"""
 WITH t AS (
