@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .language_id import fit, predicted
 from .minhash import near_duplicates
 from .sentencepiece_bpe import encoded
 from .suffix_dedup import without_repeats
+from .url_filter import judged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path prefix and action of the rules of op2_url_filter.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return judged(_table(spark, sf_dir, "pages"), rules)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), piece_model_path()).select(
         "doc_id",
@@ -53,6 +67,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    part = toxicity.remainder(F.col("doc_id"), 4)
+    told = predicted(docs, fit(docs, toxicity.remainder(F.col("id"), 4) != 2))
+    return told.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +95,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_exact_dedup, op7_minhash, op8_suffix_dedup, op9_decontaminate)}
+OPERATORS = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sentencepiece, op4_exact_dedup, op5_language_id, op7_minhash, op8_suffix_dedup, op9_decontaminate)}
 
 SQL_OP4 = r"""
 WITH t AS (
@@ -92,4 +113,24 @@ SELECT doc_id,
 FROM t
 """
 
-ORACLES = {"op4_exact_dedup": SQL_OP4}
+SQL_OP2 = r"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM u
+), r(rule_host, rule_path, action) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), m AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(action, length(rule_host || rule_path)) AS action
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id
+"""
+
+ORACLES = {"op2_url_filter": SQL_OP2, "op4_exact_dedup": SQL_OP4}
