@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .html_extract import main_text
 from .language_id import fit, predicted
 from .minhash import near_duplicates
 from .sentencepiece_bpe import encoded
+from .storage import new_path
 from .suffix_dedup import without_repeats
 from .url_filter import judged
+from .warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +77,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -95,7 +103,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sentencepiece, op4_exact_dedup, op5_language_id, op7_minhash, op8_suffix_dedup, op9_decontaminate)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archived(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OPERATORS = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sentencepiece, op4_exact_dedup, op5_language_id, op6_html_text, op7_minhash, op8_suffix_dedup, op9_decontaminate, op10_warc)}
 
 SQL_OP4 = r"""
 WITH t AS (
@@ -133,4 +146,18 @@ SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
-ORACLES = {"op2_url_filter": SQL_OP2, "op4_exact_dedup": SQL_OP4}
+SQL_OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), k AS (
+  SELECT payload_digest AS d, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper > page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON payload_digest = d AND payload_bytes >= 1000
+"""
+
+ORACLES = {"op10_warc": SQL_OP10, "op2_url_filter": SQL_OP2, "op4_exact_dedup": SQL_OP4}
