@@ -8,11 +8,12 @@
    The limit lies SIGMAS deviations beyond the mean of a pair at the threshold.
 4. What is left is confirmed on full sets. A class is first confirmed against the likeliest of its
    bands' least members, so a group of n copies costs n confirmations.
-5. Bands whose members then still lie in several components are open. Shingles that no other member
-   of an open band has are counted; they bound what a pair can share, exactly, and settle nearly
-   all texts that are close to a group but too far from each of its members. Pairs of different
-   components that this leaves possible are confirmed: against the least members first, then all.
-   No link between components is skipped.
+5. Bands whose members then still lie in several components are open. Their members get an odd
+   sketch of the whole set as well: equal shingles cancel in the exclusive or, so its population count
+   never exceeds the number of shingles in which two texts differ, and a pair whose count is beyond
+   what the threshold allows is ruled out for certain. Pairs of different components that this leaves
+   are confirmed: first against each band's hub, the member that shares most bands (an unedited text
+   among its edited copies), then all. No link between components is skipped.
 6. Links go to distributed connected components.
 
 With 40 bands of 4 rows, a pair at similarity 0.75 shares no band with probability 3e-7.
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import dropped, written
+from .storage import among, dropped, written
 from .textkit import LOWER, SPACE, U64, mix, pieces, stream
 
 BANDS, ROWS, WORDS, SIMILARITY = 40, 4, 5, 0.75
 SKETCH_LONGS = 8
+#: 64-bit words of a whole set's odd sketch, for members of open bands.
+SET_LONGS = 32
 SIGMAS = 5.5
 #: Shingles that are permuted at once, so that the block stays in cache.
 BLOCK = 256
@@ -144,8 +147,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, longs: int) -
     )
 
 
-def _apart(a: str, b: str, longs: int) -> Column:
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(longs)))
+def _apart(a: str, b: str, longs: int, kind: str = "s") -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{kind}{k}").bitwiseXOR(F.col(f"{b}.{kind}{k}"))) for k in range(longs)))
 
 
 def _sets(words: int):
@@ -157,12 +160,21 @@ def _sets(words: int):
     return run
 
 
-def _shingles(words: int):
+def set_sketch(own: np.ndarray, longs: int) -> np.ndarray:
+    """Odd sketch of a whole set of hashes."""
+    parity = np.bincount((own % U64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def _set_sketches(words: int, longs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = np.zeros((len(batch), longs), np.int64)
+            size = np.zeros(len(batch), np.int64)
             for i, own in enumerate(shingle_sets(batch.column(1), words)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(own.view(np.int64))], names=["id", "h"])
+                size[i], rows[i] = len(own), set_sketch(own, longs)
+            columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *columns], names=["id", "n", *(f"f{k}" for k in range(longs))])
 
     return run
 
@@ -245,8 +257,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Links among (x, y) pairs, by the full sets of the texts."""
         pairs = written(pairs.select("x", "y"), "minhash-pairs")
-        wanted = pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct()
-        texts = own.join(wanted, F.col("id") == F.col("w"), "left_semi")
+        texts = among(own, pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct())
         sets = written(texts.mapInArrow(_sets(words), "id long, own binary").dropDuplicates(["id"]), "minhash-sets")
         both = (
             pairs.join(sets.select(F.col("id").alias("yi"), F.col("own").alias("right")), F.col("y") == F.col("yi"))
@@ -265,19 +276,16 @@ def near_duplicates(
             .filter(F.coalesce("xr", "x") != F.coalesce("yr", "y")).drop("xv", "xr", "yv", "yr")
         )
 
-    def opened(members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members of the bands that touch several components, with their roots and the head's root."""
-        placed = members.join(roots, F.col("id") == F.col("vertex"), "left").select("band", "id", "least", F.coalesce("root", "id").alias("root"))
-        bands = placed.groupBy("band").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("id") == F.col("least"), F.col("root"))).alias("head_root")
-        )
-        mixed = bands.filter("lo < hi").select(F.col("band").alias("b"), "head_root")
-        return placed.join(mixed, F.col("band") == F.col("b")).drop("b")
+    def rooted_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the bands that touch several components, with their roots."""
+        placed = members.join(roots, F.col("id") == F.col("vertex"), "left").select(*members.columns, F.coalesce("root", "id").alias("root"))
+        bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        mixed = bands.filter("lo < hi").select(F.col("band").alias("b"))
+        return placed.join(mixed, F.col("band") == F.col("b"), "left_semi")
 
-    def may_share(p: str, q: str) -> Column:
-        """Whether what only one text has leaves the pair a chance; sets p.n, p.only and the like."""
-        most = F.least(F.col(f"{p}.n") - F.col(f"{p}.only"), F.col(f"{q}.n") - F.col(f"{q}.only"))
-        return most * 100 >= (F.col(f"{p}.n") + F.col(f"{q}.n") - most) * percent
+    def possible(p: str, q: str) -> Column:
+        """Whether two whole sets' sketches leave a link possible: differing shingles are at most (1-s)/(1+s) of both sizes."""
+        return _apart(p, q, SET_LONGS, "f") * (100 + percent) <= (F.col(f"{p}.n") + F.col(f"{q}.n")) * (100 - percent)
 
     # Each class against the likeliest of its bands' least members.
     stars = written(estimated(members.filter("id > least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()), "minhash-stars")
@@ -285,38 +293,33 @@ def near_duplicates(
     links = confirmed(best, "minhash-links")
     roots = connected_components(links, "x", "y")
 
-    # Shingles of open bands' members that no other of them has.
-    open_ = written(opened(members, roots), "minhash-open")
-    ids = open_.select(F.col("id").alias("o")).distinct()
-    shingles = own.join(ids, F.col("id") == F.col("o"), "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles(words), "id long, h long")
-    single = shingles.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).filter("c = 1")
-    only = written(single.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("only")), "minhash-only")
-    marked = written(
-        marks.join(ids, F.col("id") == F.col("o")).drop("o").join(only, F.col("id") == F.col("i"), "left").drop("i").fillna(0, ["only"]),
-        "minhash-marked",
-    )
-    bound = marked.select("id", "n", "only")
-
-    # The other least members that lie in another component.
-    tried = best.select(F.col("x").alias("tx"), F.col("y").alias("ty"))
-    rest = rooted(stars, roots).join(tried, (F.col("x") == F.col("tx")) & (F.col("y") == F.col("ty")), "left_anti")
-    rest = rest.join(bound.alias("p"), F.col("x") == F.col("p.id")).join(bound.alias("q"), F.col("y") == F.col("q.id")).filter(may_share("p", "q"))
-    links = links.union(confirmed(rest.select("x", "y"), "minhash-links"))
+    # Members of open bands: how many members their bands have in all, and their whole sets' sketches.
+    open_ = written(rooted_members(members.select("band", "id"), roots), "minhash-open")
+    crowd = open_.groupBy(F.col("band").alias("b")).agg(F.count("*").alias("c"))
+    weights = open_.join(crowd, F.col("band") == F.col("b")).groupBy("id").agg(F.sum("c").alias("weight"))
+    weights = written(weights, "minhash-weights")
+    fields = ", ".join(f"f{k} long" for k in range(SET_LONGS))
+    texts = among(own, weights.select("id")).dropDuplicates(["id"])
+    sketches = texts.mapInArrow(_set_sketches(words, SET_LONGS), f"id long, n long, {fields}")
+    marked = written(sketches.join(weights.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"), "minhash-marked")
+    placed = written(open_.select("band", "id").join(marked.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"), "minhash-placed")
+
+    def hubs(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("band").alias("b")).agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+
+    # Each member of an open band against its hub.
+    to_hub = rooted_members(placed, roots)
+    to_hub = to_hub.join(hubs(to_hub), F.col("band") == F.col("b")).filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
+    to_hub = rooted(to_hub, roots).join(marked.alias("p"), F.col("x") == F.col("p.id")).join(marked.alias("q"), F.col("y") == F.col("q.id"))
+    links = links.union(confirmed(to_hub.filter(possible("p", "q")).select("x", "y"), "minhash-links"))
     roots = connected_components(links, "x", "y")
 
-    # Every pair that is left: one side lies outside the component of its band's least member.
-    still = opened(open_.select("band", "id", "least"), roots).filter("id != least")
-    still = written(still.join(marked.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"), "minhash-open")
-    possible = still.filter((F.col("n") - F.col("only")) * 100 >= F.col("n") * percent)  # else out of any reach
-    outside = possible.filter("root != head_root").alias("p")
+    # Every pair that is left: one side lies outside the component of its band's hub.
+    still = written(rooted_members(placed, roots), "minhash-open")
+    hub_roots = still.join(hubs(still), (F.col("band") == F.col("b")) & (F.col("id") == F.col("hub"))).select(F.col("band").alias("hb"), F.col("root").alias("hub_root"))
+    outside = still.join(hub_roots, F.col("band") == F.col("hb")).filter("root != hub_root").alias("p")
     pairs = (
-        outside.join(
-            possible.alias("q"),
-            (F.col("p.band") == F.col("q.band"))
-            & (F.col("p.root") != F.col("q.root"))
-            & may_share("p", "q")
-            & (_apart("p", "q", longs) <= limit),
-        )
+        outside.join(still.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q"))
         .select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y"))
         .distinct()
     )

@@ -65,3 +65,10 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     gone = ids.select(F.col(ids.columns[0]).alias("__gone")).filter("__gone is not null").distinct()
     small = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
+
+
+def among(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of docs whose key is in the one column of ids (written, distinct), which is broadcast only if it's few."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("__wanted"))
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col(key) == F.col("__wanted"), "left_semi")
