@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Cached encodings of cut pieces, and of pair checks, in a worker; the caches only save time.
-CACHE = 400_000
+CACHE = 500_000
 #: Text of a result batch.
 OUT_CHARS = 4 << 20
 
@@ -51,6 +51,8 @@ class Encoder:
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves on
+        self.packed: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         self.halves: dict[str, tuple[str, str]] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
@@ -126,27 +128,33 @@ class Encoder:
     def backtracked(self, text: str) -> list[str]:
         """Tokens of a text of known characters with no run of SPACE beyond one."""
         n = len(text)
-        matches: list[list[str]] = [[] for _ in range(n)]
+        ends: list[list[int]] = [[] for _ in range(n)]
         for end, length in self.automaton.iter(text):
-            matches[end - length + 1].append(text[end - length + 1 : end + 1])  # shorter ones come first
+            ends[end - length + 1].append(end + 1)  # shorter matches come first
         failed = bytearray(n + 1)
-        taken: list[tuple[int, int, str]] = []
-        at, k = 0, len(matches[0]) - 1
+        taken: list[str] = []
+        path: list[tuple[int, int]] = []
+        at, k, last, fits = 0, len(ends[0]) - 1, "", self.fits
         while at < n:
+            here = ends[at]
             while k >= 0:
-                token = matches[at][k]
-                end = at + len(token)
-                if not failed[end] and (not taken or self.fits(taken[-1][2], token)):
-                    break
+                end = here[k]
+                if not failed[end]:
+                    token = text[at:end]
+                    if not at or fits(last, token):
+                        break
                 k -= 1
             if k >= 0:
-                taken.append((at, k, token))
-                at = end
-                k = len(matches[at]) - 1 if at < n else 0
+                taken.append(token)
+                path.append((at, k))
+                last, at = token, end
+                k = len(ends[at]) - 1 if at < n else 0
             else:
                 failed[at] = 1
-                at, k, _ = taken.pop()
-        return [x[2] for x in taken]
+                at, k = path.pop()
+                taken.pop()
+                last = taken[-1] if taken else ""
+        return taken
 
     def spaces(self, n: int) -> list[str]:
         """Tokens of a run of SPACE alone: all pairs rank equally, so the leftmost is joined first."""
@@ -168,33 +176,44 @@ class Encoder:
                 heapq.heappush(ready, (r, b))
         return [SPACE * x for x in length if x]
 
-    def _fresh(self, cut: str) -> bytes:
-        """The packed ids of a piece of text that self.cut gave."""
-        run = len(cut) - len(cut.lstrip(SPACE))
-        word = cut[max(0, run - 1) :] if run < len(cut) else ""
-        tokens = [] if word else self.spaces(run)
-        parts: list[str] = []
+    def _packed(self, token: str) -> bytes:
+        """A token's id, or those of its bytes, as little-endian integers."""
+        known = self.ids.get(token)
+        ids = [known] if known is not None else [self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass")]
+        out = self.packed[token] = b"".join(i.to_bytes(4, "little") for i in ids)
+        return out
+
+    def _tokens(self, word: str) -> list[str]:
+        """Tokens of a piece of text without a run of SPACE; characters outside the vocabulary stand alone."""
+        if self.known.issuperset(word):
+            return self.backtracked(word)
+        out: list[str] = []
         start = 0
         for i, c in enumerate(word):
             if c not in self.known:
-                parts += self.backtracked(word[start:i]) if i > start else []
-                parts.append(c)
+                out += self.backtracked(word[start:i]) if i > start else []
+                out.append(c)
                 start = i + 1
-        parts += self.backtracked(word[start:]) if len(word) > start else []
-        if run > 1 and word:
-            # The last SPACE of the run belongs to the others unless the word took it.
-            tokens = self.spaces(run) if parts[0] == SPACE else self.spaces(run - 1)
-            parts = parts[1:] if parts[0] == SPACE else parts
-        ids: list[int] = []
-        for token in tokens + parts:
-            known = self.ids.get(token)
-            ids += [known] if known is not None else [self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass")]
-        packed = np.array(ids, "<u4").tobytes()
+        return out + (self.backtracked(word[start:]) if len(word) > start else [])
+
+    def _fresh(self, cut: str) -> bytes:
+        """The packed ids of a piece of text that self.cut gave."""
+        out = self.older.get(cut)
+        if out is None:
+            if cut[:2] != SPACE * 2:
+                tokens = self._tokens(cut) if cut != SPACE else [SPACE]
+            else:
+                run = len(cut) - len(cut.lstrip(SPACE))
+                tokens = self._tokens(cut[run - 1 :]) if run < len(cut) else [SPACE]
+                # The last SPACE of the run belongs to the others unless the word took it.
+                tokens = self.spaces(run) + tokens[1:] if tokens[0] == SPACE else self.spaces(run - 1) + tokens
+            known = self.packed
+            out = b"".join([known.get(t) or self._packed(t) for t in tokens])
         if len(cut) <= 64:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[cut] = packed
-        return packed
+                self.older, self.cache = self.cache, {}
+            self.cache[cut] = out
+        return out
 
     def encode(self, text: str, bos: bool = True, eos: bool = True) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
