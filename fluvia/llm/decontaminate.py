@@ -230,7 +230,7 @@ def _searched(benchmark: Benchmark, with_spans: bool):
                     for a, b in zip(first.tolist(), last.tolist(), strict=True):
                         base = int(texts.offsets[doc[a]])
                         spans.setdefault(texts.first + int(doc[a]), []).append((int(starts[a]) - base, int(ends[b]) - base))
-            names = [sorted(benchmark.names[k] for k in items.get(i, ())) for i in range(count)]
+            names = [sorted({benchmark.names[k] for k in items.get(i, ())}) for i in range(count)]
             columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(names, pa.list_(pa.string()))]
             labels = ["id", "n_words", "n_hit", "items"]
             if with_spans:
