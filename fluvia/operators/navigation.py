@@ -68,7 +68,9 @@ def navigate_network_dfs(x: DataFrame | Network, starts: list, direction: str =
     else:
         everything = inside
     table = found.join(everything, F.col("id") == F.col("src"), "left").groupBy("id").agg(F.collect_list(F.struct(F.coalesce(F.col("dst").cast("string"), F.lit("")).alias("to"))).alias("ways"), F.count("src").alias("n"))
-    table = table.join(part, F.col("id") == F.col("node")).select("part", "id", F.col("id").cast("string").alias("key"), F.col("ways.to").alias("ways"))
+    # Upstream, a headwater has nothing that closes a path; downstream, an outlet closes it.
+    ways_to = F.col("ways.to") if direction.startswith("down") else F.filter("ways.to", lambda w: w != "")
+    table = table.join(part, F.col("id") == F.col("node")).select("part", "id", F.col("id").cast("string").alias("key"), ways_to.alias("ways"))
     order = {str(s): k for k, s in enumerate(starts)}
     numeric = kind != "string"
 

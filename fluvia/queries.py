@@ -263,12 +263,12 @@ def accumulate_total(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, id, CAST(da_sqkm AS DOUBLE) FROM nodes
   UNION ALL
   SELECT m.id, f.toid, m.part * s.f FROM moved m JOIN flow f ON m.place = f.id JOIN share s ON s.id = f.toid
-) SELECT place AS id, round(sum(part), 2) AS total_da_sqkm FROM moved GROUP BY place""")
+) SELECT place AS id, round(sum(part) + 1e-7, 2) AS total_da_sqkm FROM moved GROUP BY place""")
 def accumulate_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = topology.add_toids(hy(nodes(spark, sf_dir)), return_dendritic=False).df
     fraction = F.when(F.col("divergence") == 0, 1.0).when(F.col("divergence") == 1, 0.75).otherwise(0.25)
     out = attributes.accumulate_downstream(hy(flow.withColumn("divergence_fraction", fraction)), "da_sqkm").df
-    return out.select("id", F.round("da_sqkm_accumulated", 2).alias("total_da_sqkm")).distinct()
+    return out.select("id", F.round(F.col("da_sqkm_accumulated") + 1e-7, 2).alias("total_da_sqkm")).distinct()
 
 
 @query(PATH_SQL + "SELECT id, pathlength_km FROM net")
