@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ALNUM, LOWER, U64, Texts, pieces
+from .textkit import ALNUM, LOWER, Texts, U64, pieces, tidy
 
 WINDOW = 10
 #: Item text that one pass may carry to the executors.
@@ -238,7 +238,7 @@ def _searched(benchmark: Benchmark, with_spans: bool):
                 labels.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names=labels)
 
-    return run
+    return tidy(run)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:

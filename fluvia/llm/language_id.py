@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, pieces
+from .textkit import LOWER, pieces, tidy
 
 ORDER = 3
 MAX_ROWS = 1500
@@ -159,7 +159,7 @@ def _predicted(model: Model | None):
                 score[told] = share[told]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

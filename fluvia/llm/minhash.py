@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .storage import among, dropped, written
-from .textkit import LOWER, SPACE, U64, mix, pieces, stream
+from .textkit import LOWER, SPACE, U64, mix, pieces, stream, tidy
 
 BANDS, ROWS, WORDS, SIMILARITY = 40, 4, 5, 0.75
 SKETCH_LONGS = 8
@@ -136,7 +136,7 @@ def _signed(words: int, bands: int, rows: int, longs: int):
                 schema=schema,
             )
 
-    return signed
+    return tidy(signed)
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, longs: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _sets(words: int):
             own = [x.tobytes() for x in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.large_binary())], names=["id", "own"])
 
-    return run
+    return tidy(run)
 
 
 def set_sketch(own: np.ndarray, longs: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def _set_sketches(words: int, longs: int):
             columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(longs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *columns], names=["id", "n", *(f"f{k}" for k in range(longs))])
 
-    return run
+    return tidy(run)
 
 
 def _confirmed(percent: int):
@@ -199,7 +199,7 @@ def _confirmed(percent: int):
                 [batch.column("x"), batch.column("y")], names=["x", "y"]
             ).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(

@@ -27,9 +27,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import tidy
+
 SPACE = "▁"
 #: Cached encodings of cut pieces, and of pair checks, in a worker; the caches only save time.
-CACHE = 500_000
+CACHE = 150_000
 #: Text of a result batch.
 OUT_CHARS = 4 << 20
 
@@ -249,7 +251,7 @@ def _encoded(model_path: str, bos: bool, eos: bool, with_text: bool):
                     yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if with_text else []), names=names)
                     ids, texts, start, size = [], [], i + 1, 0
 
-    return run
+    return tidy(run)
 
 
 def encoded(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import dropped, partitions, without, written
-from .textkit import U64, Texts, pieces, powers
+from .textkit import Texts, U64, pieces, powers, tidy
 
 LENGTH, GRAM = 100, 32
 HOT = 20_000
@@ -93,7 +93,7 @@ def _runs(length: int, gram: int):
                     names=["h", "ext", "id", "at", "shape"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _sorted_runs(length: int):
@@ -158,7 +158,7 @@ def _sorted_runs(length: int):
             last = (rows["h"][-1], rows["ext"][-1], rows["id"][-1], rows["at"][-1])
             yield emit(rows, first, several)
 
-    return run
+    return tidy(run)
 
 
 def _contexts(gram: int):
@@ -180,7 +180,7 @@ def _contexts(gram: int):
                     names=["lead", "id", "at", "bytes", "hot"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def _compared(length: int, chunk: int):
         if rows:
             yield settle(rows)
 
-    return run
+    return tidy(run)
 
 
 def _window_hashes(length: int):
@@ -270,7 +270,7 @@ def _window_hashes(length: int):
                 h = pa.array(texts.hashes(starts, starts + length).view(np.int64))
                 yield pa.RecordBatch.from_arrays([h, pa.array(ids), pa.array(at.astype(np.int32))], names=["w", "id", "at"])
 
-    return run
+    return tidy(run)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +348,7 @@ def _binary_to_windows(length: int):
             column = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(raw), raw.buffers(), offset=raw.offset)
             yield from inner(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=["id", "at", "b"])]))
 
-    return run
+    return tidy(run)
 
 
 def without_repeats(

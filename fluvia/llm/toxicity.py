@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ALNUM, LOWER, U64, pieces
+from .textkit import ALNUM, LOWER, U64, give_back_memory, pieces, tidy
 
 BITS = 18
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (5, 7)
-MAX_ROWS = 4000
+MAX_ROWS = 2500
 LEAST_ROWS = 3
 L2, PENALTY, STEPS, RATE = 1e-4, 1.0, 80, 0.1
 SEED = 17
@@ -109,7 +109,7 @@ class Model:
                 score = pa.array(self.scores(batch.column(1), known))
                 yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["id", "score"])
 
-        return run
+        return tidy(run)
 
     def sieve(self, text_at: int, limit: float):
         """Pass on the rows whose text scores below the limit, with all columns."""
@@ -119,7 +119,7 @@ class Model:
             for batch in batches:
                 yield batch.filter(pa.array(self.scores(batch.column(text_at), known) < limit))
 
-        return run
+        return tidy(run)
 
 
 def fit_model(
@@ -210,7 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
     y = np.array(rows["toxic"].to_pylist(), float)
     got = {label: max(1, int((y == label).sum())) for label in counts}
     weight = np.array([counts[int(k)] / got[int(k)] for k in y])
-    return fit_model(rows["text"].to_pylist(), y, weight, **options)
+    model = fit_model(rows["text"].to_pylist(), y, weight, **options)
+    del rows
+    give_back_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
