@@ -160,4 +160,72 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN k ON payload_digest = d AND payload_bytes >= 1000
 """
 
-ORACLES = {"op10_warc": SQL_OP10, "op2_url_filter": SQL_OP2, "op4_exact_dedup": SQL_OP4}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached(id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+), roots AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN roots ON id = d.doc_id
+"""
+
+SQL_OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d
+), marked AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b, length(h) // 2 - p >= 100 AS whole, md5(substr(h, 2 * p + 1, 200)) AS m FROM bytes
+), again AS (
+  SELECT doc_id, p, b, whole AND row_number() OVER (PARTITION BY whole, m ORDER BY doc_id, p) > 1 AS starts FROM marked
+), covered AS (
+  SELECT doc_id, p, b, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM again
+), edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM covered
+), sums AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+SQL_OP9 = rf"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM win
+), d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), occ AS (
+  SELECT doc_id, item, k, n
+  FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)) JOIN win USING (n, s)
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY doc_id
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_url_filter": SQL_OP2,
+    "op4_exact_dedup": SQL_OP4,
+    "op7_minhash": SQL_OP7,
+    "op8_suffix_dedup": SQL_OP8,
+    "op9_decontaminate": SQL_OP9,
+    "op10_warc": SQL_OP10,
+}
