@@ -27,7 +27,7 @@ WINDOW = 10
 #: Item text that one pass may carry to the executors.
 BLOCK_BYTES = 32 << 20
 #: Training text that one FM-index covers.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE_STEP = 8
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import tidy
+from .textkit import dropped_by_others, tidy
 
 SPACE = "▁"
 #: Cached encodings of cut pieces, and of pair checks, in a worker; the caches only save time.
@@ -229,9 +228,19 @@ class Encoder:
         return self.library.decode(np.frombuffer(packed, "<u4").tolist())
 
 
-@lru_cache(2)
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(model_path: str) -> Encoder:
-    return Encoder(model_path)
+    """The encoder of a model, which a worker keeps with its caches as long as it only encodes."""
+    if model_path not in _encoders:
+        _encoders[model_path] = Encoder(model_path)
+        dropped_by_others(forget_encoders)
+    return _encoders[model_path]
+
+
+def forget_encoders() -> None:
+    _encoders.clear()
 
 
 def _encoded(model_path: str, bos: bool, eos: bool, with_text: bool):
@@ -251,7 +260,7 @@ def _encoded(model_path: str, bos: bool, eos: bool, with_text: bool):
                     yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if with_text else []), names=names)
                     ids, texts, start, size = [], [], i + 1, 0
 
-    return tidy(run)
+    return tidy(run, forget_encoders)
 
 
 def encoded(

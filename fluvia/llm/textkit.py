@@ -27,11 +27,23 @@ def give_back_memory() -> None:
         return
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over a task's batches that leaves no free memory behind."""
+_droppable: list[Callable[[], None]] = []
+
+
+def dropped_by_others(clear: Callable[[], None]) -> None:
+    """Have a cache that one operator keeps between its tasks cleared when the worker gets another's task."""
+    if clear not in _droppable:
+        _droppable.append(clear)
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that leaves no free memory, and no other operator's caches, behind."""
 
     @wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        for clear in _droppable:
+            if clear is not keeps:
+                clear()
         try:
             yield from run(batches)
         finally:
