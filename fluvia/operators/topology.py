@@ -5,10 +5,10 @@ from __future__ import annotations
 import warnings
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..network import Kind, Network, edges_of, given_back, hy, need, outlet_value, outlets_of
+from ..network import Kind, Network, edges_of, given_back, hy, need, outlet_value
 from ..plans.iterate import cut, levels, positions, reach, reach_set, walk_to_root
 
 
@@ -143,9 +143,9 @@ def sort_network(x: DataFrame | Network, split: bool = False, outlets: list | No
     net = with_toid(hy(x))
     df = net.df
     if outlets is not None:
+        if split and _nested(df, outlets):
+            raise ValueError("two outlets lie in one network; a split needs independent ones")
         df = _restricted(df, outlets)
-    if split and outlets is not None and _nested(df, outlets):
-        raise ValueError("two outlets lie in one network; a split needs independent ones")
     try:
         placed = sorted_places(df)
     except ValueError:
@@ -167,8 +167,10 @@ def _restricted(df: DataFrame, outlets: list) -> DataFrame:
 
 
 def _nested(df: DataFrame, outlets: list) -> bool:
-    found = {r["id"] for r in outlets_of(df).select("id").distinct().collect()} if len(outlets) < 10_000 else set(outlets)
-    return not set(outlets) <= found
+    """Whether one of the outlets flows to another."""
+    ends = df.sparkSession.createDataFrame([(o,) for o in outlets], df.select("id").schema)
+    below = reach(edges_of(df), ends.select(F.col("id").alias("start"), "id")).filter("id <> start")
+    return not below.join(ends, "id", "left_semi").isEmpty()
 
 
 def add_topo_sort(x: DataFrame | Network, outlets: list | None = None) -> Network | DataFrame:
@@ -350,8 +352,3 @@ def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
                         out.append(by)
     return rows.iloc[out][["id"]]
 
-
-def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row for each key: the first in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
