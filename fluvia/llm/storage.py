@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is written: rows here are whole texts and sets of their shingles,
+#: and batches of ten thousand of them fill memory beside the heap, which is never given back.
+BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Ids (longs) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -33,7 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again (with its schema, so empty tables work)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
