@@ -42,9 +42,13 @@ class Network:
     def is_topo(self) -> bool:
         return self.kind in (Kind.TOPO, Kind.LEVELED)
 
-    def with_df(self, df: DataFrame) -> Network:
-        """The same network over other columns, classified anew."""
-        return Network(df, classify(df), self.names)
+    def with_df(self, df: DataFrame, recount: bool = False) -> Network:
+        """The same network over other columns, classified anew.
+
+        Whether ids are unique is taken over, as operators add columns to rows; recount looks again.
+        """
+        known = None if recount or self.kind is Kind.BASE else self.kind is not Kind.FLOW
+        return Network(df, classify(df, known), self.names)
 
 
 def outlet_value(df: DataFrame, column: str = "id") -> Column:
@@ -57,14 +61,17 @@ def _unique(df: DataFrame) -> bool:
     return df.groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def classify(df: DataFrame) -> Kind:
-    """Edge lists before junction tables before node topologies; id, toid and their uniqueness decide."""
+def classify(df: DataFrame, unique: bool | None = None) -> Kind:
+    """Edge lists before junction tables before node topologies; id, toid and their uniqueness decide.
+
+    Uniqueness costs a shuffle by id, unless the caller knows it.
+    """
     has = set(df.columns)
     if {"id", "toid"} <= has:
-        if not _unique(df):
+        if not (_unique(df) if unique is None else unique):
             return Kind.FLOW
         return Kind.LEVELED if {"topo_sort", "levelpath", "levelpath_outlet_id"} <= has else Kind.TOPO
-    if {"id", "fromnode", "tonode"} <= has and _unique(df):
+    if {"id", "fromnode", "tonode"} <= has and (_unique(df) if unique is None else unique):
         return Kind.NODE
     return Kind.BASE
 

@@ -35,7 +35,7 @@ def add_toids(x: DataFrame | Network, return_dendritic: bool = True) -> Network
     joined = net.df.join(below, F.col("tonode") == F.col("_node"), "left").drop("_node")
     out = joined.withColumn("toid", F.coalesce("toid", outlet_value(net.df)))
     order = ["id", "toid"] + [c for c in net.df.columns if c != "id" and (c not in ("fromnode", "tonode") or not return_dendritic)]
-    return given_back(x, net.with_df(out.select(order)))
+    return given_back(x, net.with_df(out.select(order), recount=True))
 
 
 def make_node_topology(x: DataFrame | Network, add_div: DataFrame | None = None, add: bool = True) -> Network | DataFrame:
