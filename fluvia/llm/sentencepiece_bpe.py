@@ -30,7 +30,7 @@ from .textkit import dropped_by_others, tidy
 
 SPACE = "▁"
 #: Cached encodings of cut pieces, and of pair checks, in a worker; the caches only save time.
-CACHE = 150_000
+CACHE, PAIRS = 130_000, 60_000
 #: Text of a result batch.
 OUT_CHARS = 4 << 20
 
@@ -85,7 +85,7 @@ class Encoder:
         """Whether merging both tokens' text again gives the two tokens."""
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._fits(left, right)
         return known
