@@ -1,20 +1,24 @@
 """Main text of web pages by wrappers: union-free regular expressions over token streams.
 
-Pages of a host share templates. A bounded sample of each host's pages (SAMPLE, by a hash of the id)
-is read as streams of block tags and texts. Tandem repeats become repeated groups; the streams are
-then aligned one after another, and what differs becomes a text slot or an optional group. The
+Pages of a host share templates. All of them are read as streams of block tags and texts, in which
+tandem repeats become repeated groups. Pages of one stream are summed up where they are read (which
+texts are equal in all of them); the distinct streams of a host are then aligned one after another,
+in classes and then class by class, and what differs becomes a text slot or an optional group. The
 wrapper tells, for every place of the template, what is fixed text of the template and what is a
-field, and whether it lies in the main region. Each page is aligned with its host's wrapper; pieces
-of a page that the wrapper hasn't seen are judged by their own position in the page by the same rules.
+field: a text is fixed if all pages that have its place agree on it and are not copies of one page.
+Each page is aligned with its host's wrapper.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import json
 import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 from .storage import written
 from .url_filter import host_of
 
-SAMPLE = 6
+#: Distinct streams of a host that are aligned in one class.
+CLASS_STREAMS = 64
+#: Bytes of streams that a task sums up before it passes them on.
+SUMMED_BYTES = 8 << 20
 #: Longest repeated group, in tokens.
 PERIOD = 12
 #: Bytes of wrappers that may be broadcast, after summing them.
@@ -133,11 +140,12 @@ def tokens(page: str) -> tuple[list[str], list[list[str]], list[int]]:
     return out, blocks, regions
 
 
-def collapsed(stream: list, groups: set | None = None) -> list:
-    """The stream with tandem repeats as groups ('+', body); with groups, single bodies of these as well."""
-    items = stream
+def _collapsed(stream: list, groups: set | None = None) -> tuple[list, list[int]]:
+    """The stream with tandem repeats as groups ('+', body), and where each item starts in it."""
+    items, starts = stream, list(range(len(stream)))
     for period in range(1, PERIOD + 1):
         out: list = []
+        at: list[int] = []
         i, n, changed = 0, len(items), False
         while i < n:
             body = items[i : i + period]
@@ -145,6 +153,7 @@ def collapsed(stream: list, groups: set | None = None) -> list:
             while j + period <= n and items[j : j + period] == body:
                 j += period
             key = tuple(body)
+            at.append(starts[i])
             if len(body) == period and period > 1 and any(x[0] == "<" for x in body) and (j > i + period or (groups is not None and key in groups)):
                 out.append(("+", key))
                 i, changed = j, True
@@ -153,10 +162,15 @@ def collapsed(stream: list, groups: set | None = None) -> list:
                 i += 1
         if changed:
             # Neighbouring groups of one body are one group.
-            items = [x for k, x in enumerate(out) if not (k and x == out[k - 1] and isinstance(x, tuple))]
-        else:
-            items = out
-    return items
+            kept = [k for k, x in enumerate(out) if not (k and x == out[k - 1] and isinstance(x, tuple))]
+            out, at = [out[k] for k in kept], [at[k] for k in kept]
+        items, starts = out, at
+    return items, starts
+
+
+def collapsed(stream: list, groups: set | None = None) -> list:
+    """The stream with tandem repeats as groups ('+', body); with groups, single bodies of these as well."""
+    return _collapsed(stream, groups)[0]
 
 
 def bodies(items: list) -> set:
@@ -193,46 +207,55 @@ def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
 
 
 class Wrapper:
-    """items: tokens, '#' slots and ('+', body) groups. For each whether it's optional, the region of its
-    texts (None if it has none, or of several), and a slot's fixed texts, or None for a field."""
+    """items: tokens, '#' slots and ('+', body) groups. For each whether it's optional, the digest of its
+    texts if all pages that have it agree on them (else it's a field), and the least and greatest digest
+    of these pages, which differ unless all are copies of one."""
 
     def __init__(self) -> None:
         self.items: list = []
         self.optional: list[bool] = []
-        self.regions: list[int | None] = []
-        self.fixed: list[tuple | None] = []
+        self.fixed: list[bytes | None] = []
+        self.low: list[bytes] = []
+        self.high: list[bytes] = []
         self.groups: set = set()
-        self.pages = 0
-        self.has_main = False
-        self.places: dict[tuple, list[int | None]] = {}
-
-    def learn(self, items: list, texts: list[tuple | None], regions: list[int | None]) -> None:
-        """Align one more page with the wrapper: differences become slots and optional items."""
-        if not self.pages:
-            self.items, self.fixed, self.optional, self.regions = list(items), list(texts), [False] * len(items), list(regions)
-        else:
-            new: tuple[list, list, list, list] = ([], [], [], [])
-            for i, j in aligned(self.items, items):
+        self.empty = True
+        self.places: dict[tuple, tuple[list[int], list[int | None]]] = {}
+
+    def learn(self, other: Wrapper) -> None:
+        """Align one more wrapper with this one: differences become slots and optional items."""
+        if self.empty:
+            self.items, self.fixed, self.optional = list(other.items), list(other.fixed), list(other.optional)
+            self.low, self.high, self.empty = list(other.low), list(other.high), other.empty
+        elif not other.empty:
+            new: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for i, j in aligned(self.items, other.items):
+                one, k = (self, i) if i is not None else (other, j)
                 same = i is not None and j is not None
-                new[0].append(self.items[i] if i is not None else items[j])
-                new[1].append((self.fixed[i] if self.fixed[i] == texts[j] else None) if same else self.fixed[i] if i is not None else texts[j])
-                new[2].append(self.optional[i] if same else True)
-                new[3].append((self.regions[i] if self.regions[i] == regions[j] else None) if same else self.regions[i] if i is not None else regions[j])
-            self.items, self.fixed, self.optional, self.regions = new
-        self.pages += 1
-
-    def place(self, items: list) -> list[int | None]:
-        """For every item of a page, its place in the wrapper."""
+                new[0].append(one.items[k])
+                new[1].append((self.fixed[i] if self.fixed[i] == other.fixed[j] else None) if same else one.fixed[k])
+                new[2].append(not same or self.optional[i] or other.optional[j])
+                new[3].append(min(self.low[i], other.low[j]) if same else one.low[k])
+                new[4].append(max(self.high[i], other.high[j]) if same else one.high[k])
+            self.items, self.fixed, self.optional, self.low, self.high = new
+
+    def place(self, items: list) -> tuple[list[int], list[int | None]]:
+        """The items of a page with this wrapper's groups: where each starts, and its place in the wrapper."""
         key = tuple(items)
         if (known := self.places.get(key)) is None:
-            known = [None] * len(items)
-            for i, j in aligned(self.items, items):
+            own, starts = _collapsed(items, self.groups)
+            places: list[int | None] = [None] * len(own)
+            for i, j in aligned(self.items, own):
                 if i is not None and j is not None:
-                    known[j] = i
+                    places[j] = i
+            known = starts, places
             if len(self.places) < 2000:
                 self.places[key] = known
         return known
 
+    def is_fixed(self, place: int | None, texts: list[list[str]]) -> bool:
+        """Whether texts at a place are the template's."""
+        return place is not None and self.fixed[place] is not None and self.low[place] < self.high[place] and self.fixed[place] == _digest(texts)
+
     def expression(self) -> str:
         """The wrapper as a regular expression over tokens, for people."""
         def shown(x: object) -> str:
@@ -275,29 +298,61 @@ def _spans(stream: list[str], items: list) -> list[tuple[int, int]]:
     return out
 
 
-def _by_item(stream: list[str], items: list, regions: list[int]) -> list[tuple[int, int, int | None]]:
-    """Of each item the run of its texts, and their region if they have one only."""
+def _by_item(stream: list[str], items: list) -> list[tuple[int, int]]:
+    """Of each item the run of its texts."""
     out, k = [], 0
     for a, b in _spans(stream, items):
         n = stream[a:b].count("#")
-        own = set(regions[k : k + n])
-        out.append((k, k + n, own.pop() if len(own) == 1 else None))
+        out.append((k, k + n))
         k += n
     return out
 
 
+def _digest(texts: list[list[str]]) -> bytes:
+    return blake2b("\2".join("\1".join(t) for t in texts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+#: Of pages of one stream: the digests of texts that are equal in all, the least and the greatest page digest.
+Summed = tuple[list, bytes, bytes]
+
+
+def summed(stream: list[str], blocks: list[list[str]], regions: list[int]) -> tuple[tuple, Summed]:
+    """A page as its collapsed stream and what is known of it. Its digest is that of its texts outside side
+    regions, so copies with other advertisements or links around them are one page."""
+    items = collapsed(stream)
+    fixed = [_digest(blocks[a:b]) if b > a else None for a, b in _by_item(stream, items)]
+    own = _digest([t for t, r in zip(blocks, regions, strict=True) if r < 2])
+    return tuple(items), (fixed, own, own)
+
+
+def both(x: Summed, y: Summed) -> Summed:
+    return [a if a == b else None for a, b in zip(x[0], y[0], strict=True)], min(x[1], y[1]), max(x[2], y[2])
+
+
+def regrouped(items: tuple, known: Summed, groups: set) -> Wrapper:
+    """Pages of one stream as a wrapper, with the groups of their host."""
+    wrapper = Wrapper()
+    fixed, low, high = known
+    wrapper.items, starts = _collapsed(list(items), groups)
+    # Texts of a group over several items are taken for a field.
+    wrapper.fixed = [fixed[a] if b == a + 1 else None for a, b in pairwise([*starts, len(items)])]
+    n = len(wrapper.items)
+    wrapper.optional, wrapper.low, wrapper.high, wrapper.empty = [False] * n, [low] * n, [high] * n, False
+    return wrapper
+
+
 def infer(pages: list[str]) -> Wrapper:
     """The wrapper of some pages of one host."""
+    known: dict[tuple, Summed] = {}
+    for page in pages:
+        items, own = summed(*tokens(page))
+        if items:
+            known[items] = both(known[items], own) if items in known else own
+    groups = {x for items in known for x in bodies(list(items))}
     wrapper = Wrapper()
-    read = [tokens(p) for p in pages]
-    for stream, _, _ in read:
-        wrapper.groups |= bodies(collapsed(stream))
-    for stream, blocks, regions in read:
-        items = collapsed(stream, wrapper.groups)
-        by_item = _by_item(stream, items, regions)
-        texts = [tuple(blocks[a]) if x == "#" else None for x, (a, _, _) in zip(items, by_item, strict=True)]
-        wrapper.learn(items, texts, [r for _, _, r in by_item])
-        wrapper.has_main = wrapper.has_main or 1 in regions
+    for items in sorted(known, key=repr):
+        wrapper.learn(regrouped(items, known[items], groups))
+    wrapper.groups = groups
     return wrapper
 
 
@@ -307,25 +362,77 @@ def extract(page: str, wrapper: Wrapper) -> str:
     With a main region, its fields and fixed texts; else all but side regions and the template's fixed texts.
     """
     stream, blocks, regions = tokens(page)
-    items = collapsed(stream, wrapper.groups)
     main = 1 in regions
+    items = collapsed(stream)
+    by_item = _by_item(stream, items)
+    starts, places = wrapper.place(items)
     kept: list[str] = []
-    for (a, b, own), x, i in zip(_by_item(stream, items, regions), items, wrapper.place(items), strict=True):
-        region = wrapper.regions[i] if i is not None else own
-        if region is None:  # texts of several regions, or that the pages of the host disagree on
-            chosen = [k for k in range(a, b) if regions[k] == (1 if main else 0)]
-        elif main:
-            chosen = range(a, b) if region == 1 else ()
-        else:
-            fixed = x == "#" and i is not None and wrapper.pages > 1 and not wrapper.optional[i] and wrapper.fixed[i] == tuple(blocks[a])
-            chosen = range(a, b) if region == 0 and not fixed else ()
-        kept += (text for k in chosen for text in blocks[k])
+    for (s, e), i in zip(pairwise([*starts, len(items)]), places, strict=True):
+        a, b = by_item[s][0], by_item[e - 1][1]
+        if b > a and (main or not wrapper.is_fixed(i, blocks[a:b])):
+            kept += (text for k in range(a, b) if regions[k] == (1 if main else 0) for text in blocks[k])
     return "\n".join(kept)
 
 
-def _infer(key: tuple, table: pa.Table) -> pa.Table:
-    pages = sorted(x or "" for x in table["html"].to_pylist())
-    return pa.table({"h": pa.array([key[0].as_py()]), "wrapper": pa.array([pickle.dumps(infer(pages))], pa.binary())})
+def _frozen(x: object) -> object:
+    return tuple(map(_frozen, x)) if isinstance(x, list) else x
+
+
+SUMMED = pa.schema([("h", pa.string()), ("stream", pa.string()), ("fixed", pa.list_(pa.binary())), ("low", pa.binary()), ("high", pa.binary()), ("bodies", pa.list_(pa.string()))])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[str, str], Summed] = {}
+    groups: dict[str, list[str]] = {}
+    size = 0
+
+    def passed_on() -> pa.RecordBatch:
+        rows = [{"h": h, "stream": t, "fixed": f, "low": a, "high": b, "bodies": groups[t]} for (h, t), (f, a, b) in known.items()]
+        known.clear()
+        groups.clear()
+        return pa.RecordBatch.from_pylist(rows, schema=SUMMED)
+
+    for batch in batches:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            items, own = summed(*tokens(page or ""))
+            if not items:
+                continue
+            text = json.dumps(items)
+            key = (host, text)
+            if key in known:
+                known[key] = both(known[key], own)
+            else:
+                known[key] = own
+                groups[text] = [json.dumps(x) for x in bodies(list(items))]
+                size += 2 * len(text) + 64 * len(items)
+            if size > SUMMED_BYTES:
+                yield passed_on()
+                size = 0
+    if known:
+        yield passed_on()
+
+
+def _class_wrapper(key: tuple, table: pa.Table) -> pa.Table:
+    known: dict[str, Summed] = {}
+    columns = [table[c].to_pylist() for c in ("stream", "fixed", "low", "high")]
+    for text, *own in zip(*columns, strict=True):
+        known[text] = both(known[text], tuple(own)) if text in known else tuple(own)
+    wrapper = Wrapper()
+    groups = {_frozen(json.loads(x)) for x in table["groups"][0].as_py() or ()}
+    for text in sorted(known):
+        wrapper.learn(regrouped(_frozen(json.loads(text)), known[text], groups))
+    wrapper.groups = groups
+    return pa.table({"h": pa.array([key[0].as_py()]), "c": pa.array([key[1].as_py()], pa.int64()), "wrapper": pa.array([pickle.dumps(wrapper)], pa.binary())})
+
+
+def _host_wrapper(key: tuple, table: pa.Table) -> pa.Table:
+    parts = sorted(zip(table["c"].to_pylist(), table["wrapper"].to_pylist(), strict=True))
+    wrapper = Wrapper()
+    for _, data in parts:
+        part = pickle.loads(data)
+        wrapper.learn(part)
+        wrapper.groups = part.groups
+    return pa.table({"h": pa.array([key[0].as_py()]), "wrapper": pa.array([pickle.dumps(wrapper)], pa.binary())})
 
 
 @lru_cache(512)
@@ -339,18 +446,24 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(h, wrapper) of every host of (id, url, html) rows, from at most `sample` pages of each.
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(h, wrapper) of every host of (id, url, html) rows, from all its pages.
 
-    A host's pages fall into `sample` classes by a hash of the id; the page of the least hash of
-    each is taken by an aggregation with partial results, so a hot host costs no more than others.
+    No page is shuffled: tasks sum up the pages of a stream. The distinct streams of a host are dealt by
+    their hash into classes of some CLASS_STREAMS, and the wrappers of its classes are aligned in turn,
+    so the wrapper doesn't depend on the order or the partitions of rows.
     """
-    hashed = pages.select(host_of(F.col("url")).alias("h"), F.xxhash64("id").alias("x"), "html")
-    one = hashed.groupBy("h", F.pmod("x", F.lit(sample)).alias("c")).agg(F.min_by("html", "x").alias("html"))
-    return one.groupBy("h").applyInArrow(_infer, "h string, wrapper binary")
+    schema = "h string, stream string, fixed array<binary>, low binary, high binary, bodies array<string>"
+    sums = written(pages.select(host_of(F.col("url")).alias("h"), "html").mapInArrow(_sums, schema), "html-streams")
+    count = sums.select("h", F.xxhash64("stream").alias("x")).distinct().groupBy("h").agg((F.floor((F.count("*") - 1) / CLASS_STREAMS) + 1).alias("classes"))
+    groups = sums.select("h", F.explode("bodies").alias("body")).distinct().groupBy("h").agg(F.sort_array(F.collect_list("body")).alias("groups"))
+    host = count.join(groups, "h", "left").withColumnRenamed("h", "of")
+    dealt = sums.join(host, F.col("h") == F.col("of")).withColumn("c", F.pmod(F.xxhash64("stream"), F.col("classes")))
+    one = dealt.select("h", "c", "stream", "fixed", "low", "high", "groups").groupBy("h", "c").applyInArrow(_class_wrapper, "h string, c long, wrapper binary")
+    return one.groupBy("h").applyInArrow(_host_wrapper, "h string, wrapper binary")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, url and the main text.
 
     Null html counts as empty, and pages without text give an empty one. Pages without a URL share a
@@ -358,7 +471,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     empty table an empty result; other columns are ignored.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    known = written(wrappers(own, sample), "html-wrappers")
+    known = written(wrappers(own), "html-wrappers")
     size = known.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     joined = own.join(known, host_of(F.col("url")) == F.col("h"), "left").select("id", "url", "html", "wrapper")

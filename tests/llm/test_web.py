@@ -76,6 +76,35 @@ def test_fixed_texts_of_a_template_go():
     assert html_extract.extract(pages[0], wrapper) == "News 0\nBody 0"
 
 
+def whole_host(spark, pages, h="h.org"):
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    return [r["text"] for r in html_extract.main_text(df).sort("page_id").collect()]
+
+
+def test_copies_of_one_page_make_no_template(spark):
+    copy = "<body><div>{ad}</div><div>text</div></body>"
+    assert whole_host(spark, [copy.format(ad="x")] * 3) == ["x\ntext"] * 3
+    labelled = [f"<body><div class=ad>Buy {k}</div><div>text</div></body>" for k in range(3)]
+    assert whole_host(spark, labelled) == ["text"] * 3
+    assert html_extract.extract(labelled[0], html_extract.infer(labelled)) == "text"
+
+
+def test_all_pages_of_a_host_take_part(spark):
+    """A text that all pages but one share is a field, and a template that few pages have is known."""
+    for odd in (0, 7, 29):
+        pages = [f"<body><h2>{'Mine' if k == odd else 'Yours'}</h2><div>Body {k}</div><address>Rights</address></body>" for k in range(30)]
+        assert whole_host(spark, pages) == [("Mine" if k == odd else "Yours") + f"\nBody {k}" for k in range(30)]
+    rare = [f"<body><h2>Yours</h2><div>Body {k}</div><section>Vote</section><address>Rights</address></body>" for k in range(30, 32)]
+    assert whole_host(spark, pages + rare)[-2:] == ["Yours\nBody 30", "Yours\nBody 31"]
+
+
+def test_wrapper_does_not_depend_on_order_or_classes(spark):
+    pages = [f"<body><pre>Site</pre>{'<h2>x</h2>' * (k % 2)}{'<hr>' * (k % 7)}<div>Body {k}</div><section>{'<h3>y</h3><hr>' * (k // 7 % 5)}</section></body>" for k in range(70)]
+    assert html_extract.infer(pages).items == html_extract.infer(pages[::-1]).items
+    texts = whole_host(spark, pages)
+    assert all(f"Body {k}" in text and "Site" not in text for k, text in enumerate(texts))
+
+
 def test_wrapper_has_repeats_and_options():
     pages = [render("A", ["x", "y", "z"]), render("B", ["x"], "<div class=ad>1</div>"), render("C", ["p", "q"])]
     shown = html_extract.infer(pages).expression()
