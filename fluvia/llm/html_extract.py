@@ -359,19 +359,22 @@ def infer(pages: list[str]) -> Wrapper:
 def extract(page: str, wrapper: Wrapper) -> str:
     """The main text of a page: its blocks in order, one a line.
 
-    With a main region, its fields and fixed texts; else all but side regions and the template's fixed texts.
+    The template's fixed texts and side regions go. Of what is left, only the main regions stay if they hold
+    at least half of it, so a teaser with a telltale name doesn't stand for the page.
     """
     stream, blocks, regions = tokens(page)
-    main = 1 in regions
     items = collapsed(stream)
     by_item = _by_item(stream, items)
     starts, places = wrapper.place(items)
-    kept: list[str] = []
+    fields: list[int] = []
     for (s, e), i in zip(pairwise([*starts, len(items)]), places, strict=True):
         a, b = by_item[s][0], by_item[e - 1][1]
-        if b > a and (main or not wrapper.is_fixed(i, blocks[a:b])):
-            kept += (text for k in range(a, b) if regions[k] == (1 if main else 0) for text in blocks[k])
-    return "\n".join(kept)
+        if b > a and not wrapper.is_fixed(i, blocks[a:b]):
+            fields += (k for k in range(a, b) if regions[k] < 2)
+    size = [sum(len(text) for k in fields if regions[k] == region for text in blocks[k]) for region in (0, 1)]
+    if size[1] >= size[0]:
+        fields = [k for k in fields if regions[k] == 1]
+    return "\n".join(text for k in fields for text in blocks[k])
 
 
 def _frozen(x: object) -> object:

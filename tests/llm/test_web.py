@@ -105,6 +105,16 @@ def test_wrapper_does_not_depend_on_order_or_classes(spark):
     assert all(f"Body {k}" in text and "Site" not in text for k, text in enumerate(texts))
 
 
+def test_the_wrapper_decides_in_main_regions(spark):
+    pages = [f"<body><article><h1>Title {k}</h1><div>Read on in our app</div><p>Body {k}</p></article></body>" for k in range(4)]
+    assert whole_host(spark, pages) == [f"Title {k}\nBody {k}" for k in range(4)]
+
+
+def test_a_teaser_does_not_stand_for_the_page(spark):
+    pages = [f"<body><h2>Title {k}</h2><div>{'Long body ' * 5}{k}</div><section class=post>Teaser {k}</section></body>" for k in range(4)]
+    assert whole_host(spark, pages) == [f"Title {k}\n{'Long body ' * 5}{k}\nTeaser {k}" for k in range(4)]
+
+
 def test_wrapper_has_repeats_and_options():
     pages = [render("A", ["x", "y", "z"]), render("B", ["x"], "<div class=ad>1</div>"), render("C", ["p", "q"])]
     shown = html_extract.infer(pages).expression()
