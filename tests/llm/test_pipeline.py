@@ -1,5 +1,7 @@
 """The stages on the smallest tables, each against a plain version on what it was given."""
 
+import hashlib
+
 import brute
 import numpy as np
 
@@ -43,6 +45,14 @@ def test_stages(spark, sf_dir):
     assert all(unpacked(bytes(r["ids"])) == library.encode(texts[r["doc_id"]] or "", add_bos=True, add_eos=True) for r in out)
 
 
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "Two  words"), (2, ""), (3, None), (4, "é\u2581 \U0001f600x")], "doc_id long, text string")
+    out = p.tokens(spark, docs, "").collect()
+    library = encoder(queries.piece_model_path()).library
+    assert len(out) == 4
+    assert all(r["decoded_sha256"] == hashlib.sha256(library.decode(unpacked(bytes(r["ids"]))).encode()).hexdigest() for r in out)
+
+
 def test_held_out_accuracy(spark):
     """On rows whose labels were never learned from, at a size with enough of them."""
     sf = "/root/testdata/sf0.1"
