@@ -8,6 +8,11 @@ explicitly allows a member of the component. A URL's own rule always comes first
 
 from __future__ import annotations
 
+import html as html_lib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +22,10 @@ from .storage import written
 #: Rules that may be broadcast, after counting them.
 BROADCAST_RULES = 100_000
 
-CANONICAL = r"""(?is)<link\s(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?\s*\d+\s*;\s*url\s*=\s*'?([^"'\s>]+)"""
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|textarea|title|template)\b[^>]*>.*?(?:</\1\s*>|$)|<(base|link|meta)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+REFRESH = re.compile(r"""\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']*)""", re.DOTALL | re.IGNORECASE)
+URL = re.compile(r"(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?", re.DOTALL)
 
 
 def _lower(c: Column) -> Column:
@@ -42,22 +49,75 @@ def node_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def _without_dots(path: str) -> str:
+    """RFC 3986, 5.2.4, for a path that starts with / or is empty."""
+    out: list[str] = []
+    parts = path.split("/")
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "..":
+            if len(out) > 1:
+                out.pop()
+        elif part != ".":
+            out.append(part)
+            continue
+        if last:
+            out.append("")
+    return "/".join(out)
+
+
+def resolved(base: str, target: str) -> str | None:
+    """A reference made absolute by RFC 3986, 5.2.2; null if it or its base isn't of the kind scheme://."""
+    scheme, host, path, query, _ = URL.fullmatch(target).groups()
+    if scheme is None:
+        base_scheme, base_host, base_path, base_query, _ = URL.fullmatch(base).groups()
+        if base_scheme is None or base_host is None:
+            return None
+        scheme = base_scheme
+        if host is None:
+            host = base_host
+            if not path:
+                path, query = base_path, query if query is not None else base_query
+            elif not path.startswith("/"):
+                path = (base_path.rpartition("/")[0] + "/" if base_path else "/") + path
+    return None if host is None else f"{scheme}://{host}{_without_dots(path)}{query or ''}"
+
+
+def declared(url: str, html: str) -> list[str]:
+    """All canonical links and refresh redirects of a page, made absolute by its URL and its first <base href>."""
+    base, targets = None, []
+    for m in TAG.finditer(html):
+        if m[2] is None:
+            continue  # comments, scripts and the like
+        found: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(m[3]):
+            found.setdefault(name.lower(), html_lib.unescape("".join(values)))
+        tag = m[2].lower()
+        if tag == "base" and base is None and "href" in found:
+            base = found["href"].strip()
+        elif tag == "link" and "canonical" in found.get("rel", "").lower().split():
+            targets.append(found.get("href", ""))
+        elif tag == "meta" and found.get("http-equiv", "").strip().lower() == "refresh" and (to := REFRESH.match(found.get("content", ""))):
+            targets.append(to[1])
+    around = (resolved(url, base) or url) if base else url
+    absolute = (resolved(around, t.strip()) for t in targets if t.strip())
+    return sorted({x for x in absolute if x is not None})
+
+
+def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(url, dst) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for dst in declared(url, html)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["src", "dst"])
+
+
 def declared_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): canonical links and refresh redirects that pages state, made absolute."""
+    """(src, dst): all canonical links and refresh redirects that pages state, made absolute.
+
+    Only pages with one of the two words, or with numeric character references that may spell it, are read as HTML.
+    """
     url, html = F.col(url_col), F.col(html_col)
-    targets = F.array(
-        *[F.when(F.lower(html).contains(word), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", CANONICAL), ("refresh", REFRESH))]
-    )
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    found = pages.select(url.alias("src"), scheme.alias("scheme"), host_of(url).alias("host"), F.explode(targets).alias("dst"))
-    found = found.filter("dst is not null and dst <> '' and src is not null")
-    dst = F.replace(F.col("dst"), F.lit("&amp;"), F.lit("&"))
-    absolute = (
-        F.when(dst.contains("://"), dst)
-        .when(dst.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), dst))
-        .when(dst.startswith("/"), F.concat(F.col("scheme"), F.lit("://"), F.col("host"), dst))
-    )
-    return found.select("src", absolute.alias("dst")).filter("dst is not null")
+    some = pages.select(url.alias("src"), html.alias("html")).filter(F.col("src").isNotNull() & F.col("html").rlike("(?i)canonical|refresh|&#"))
+    return some.mapInArrow(_declared, "src string, dst string")
 
 
 def matched(hosts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -41,6 +41,29 @@ def test_blocks_reach_aliases_unless_one_is_allowed(spark):
     assert {i: v[3] for i, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
 
 
+def test_relative_and_repeated_links_are_edges(spark):
+    link = '<link rel="canonical" href="{}">'
+    refresh = '<meta http-equiv="refresh" content="0;url={}">'
+    html = [
+        refresh.format("bad"), link.format("../bad"), refresh.format("?id=1"), '<base href="http://x.net/es/">' + link.format("7"),
+        link.format("http://fine.org/") + link.format("/es/1"), refresh.format("http://fine.org/2") + refresh.format("http://x.net/es/2"),
+        link.format("//x.net/es/3"), "<!-- " + link.format("http://x.net/es/4") + " -->", link.format("ok"),
+    ]
+    urls = ["http://a.org/p/1", "http://a.org/p/q/2", "http://b.org/1", "http://c.org/1", "http://y.net/q", "http://d.org/1", "http://e.org/1", "http://f.org/1", "http://g.org/1"]
+    edges = [("http://a.org/p/bad", "http://x.net/es/"), ("http://b.org/1?id=1", "http://x.net/es/")]
+    got = judged(spark, [page(k, u, h) for k, (u, h) in enumerate(zip(urls, html, strict=True))], edges)
+    assert [got[k][3] for k in range(9)] == ["block"] * 7 + ["allow"] * 2
+
+
+@pytest.mark.parametrize(
+    ("target", "want"),
+    [("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("g?y#s", "http://a/b/c/g?y"), ("", "http://a/b/c/d;p?q"),
+     (".", "http://a/b/c/"), ("..", "http://a/b/"), ("../g", "http://a/b/g"), ("../../g", "http://a/g"), ("../../../g", "http://a/g"), ("/./g", "http://a/g"), ("g;x=1/../y", "http://a/b/c/y"), ("g?y/../x", "http://a/b/c/g?y/../x"), ("mailto:x", None)],
+)
+def test_references_resolve_as_in_rfc_3986(target, want):
+    assert url_filter.resolved("http://a/b/c/d;p?q", target) == want
+
+
 def test_long_redirect_chains(spark):
     pages = [page(k, f"http://h.org/{k}") for k in range(40)]
     edges = [(f"http://h.org/{k}", f"http://h.org/{k + 1}") for k in range(39)] + [("http://h.org/39", "http://x.net/es/")]
