@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
 from .textkit import ALNUM, LOWER, Texts, U64, pieces, tidy
 
 WINDOW = 10
@@ -29,6 +30,7 @@ BLOCK_BYTES = 32 << 20
 #: Training text that one FM-index covers.
 SHARD_BYTES = 1 << 20
 SAMPLE_STEP = 8
+SPANS = "spans array<struct<start:long,end:long>>"
 
 
 class WaveletTree:
@@ -271,23 +273,25 @@ def contamination(
     """One row per row of docs: id, n_words, n_hit, items (sorted names of items with occurring windows).
 
     A window is a run of `window` item words, or all words of a shorter item; a document word inside
-    any occurrence is hit. With spans, also the merged byte ranges to remove from the UTF-8 text (of
-    the first block that finds any). Null and blank texts have no words, on either side; items
+    any occurrence is hit. With spans, also the merged byte ranges to remove from the UTF-8 text.
+    Null and blank texts have no words, on either side; items
     without an id are left out; an item that repeats counts once; an empty benchmark hits nothing
     and an empty table gives an empty result. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_hit long, items array<string>" + (", spans array<struct<start:long,end:long>>" if spans else "")
+    schema = f"id {kind}, n_words long, n_hit long, items array<string>" + (f", {SPANS}" if spans else "")
     out = None
     blocks = list(_models(benchmark, item_col, item_text_col, block_bytes, window))
     if len(blocks) == 1:
         return own.mapInArrow(_searched(blocks[0], spans), schema).withColumnRenamed("id", id_col)
-    # Hits of several blocks overlap, so their word spans are united by text position.
+    # Hits of several blocks overlap, so their spans are united by word. Ids may be null or repeat, so rows get keys.
+    keyed = written(own.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "decontaminate-rows")
     for model in blocks:
-        part = own.mapInArrow(_searched(model, True), f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+        part = keyed.select("row", "text").mapInArrow(_searched(model, True), f"id long, n_words long, n_hit long, items array<string>, {SPANS}")
         out = part if out is None else out.unionByName(part)
-    return _united(out, own).withColumnRenamed("id", id_col)
+    united = _united(out, keyed)
+    return (united if spans else united.drop("spans")).withColumnRenamed("id", id_col)
 
 
 def _models(benchmark, item_col, text_col, block_bytes, window):
@@ -295,8 +299,8 @@ def _models(benchmark, item_col, text_col, block_bytes, window):
         yield Benchmark(block, window)
 
 
-def _united(parts: DataFrame, own: DataFrame) -> DataFrame:
-    """One row an id from the parts of several benchmark blocks (ids are unique here)."""
+def _united(parts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row per row of keyed (row, id, text), from its parts of several benchmark blocks, whose id is the row."""
     grouped = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,23 +309,24 @@ def _united(parts: DataFrame, own: DataFrame) -> DataFrame:
             texts_of = [t.as_py() or "" for t in batch.column("text")]
             for text, own_spans in zip(texts_of, batch.column("spans").to_pylist(), strict=True):
                 data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-                starts, _, _ = Texts(data, np.array([0, len(data)]), 0).words(ALNUM)
+                starts, ends, _ = Texts(data, np.array([0, len(data)]), 0).words(ALNUM)
                 edge = np.zeros(len(data) + 1, np.int64)
                 for s in own_spans:
                     edge[s["start"]] += 1
                     edge[s["end"]] -= 1
-                covered = np.cumsum(edge) > 0
-                hit.append(int(covered[starts].sum()) if len(starts) else 0)
-                flips = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-                out.append([{"start": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)])
+                covered = np.cumsum(edge)[starts] > 0
+                hit.append(int(covered.sum()))
+                # Neighbouring hit words are one span, as in a single block.
+                runs = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).reshape(-1, 2)
+                out.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["id", "n_words", "n_hit", "items", "spans"],
             )
 
-    kind = own.schema["id"].dataType.simpleString()
-    both = grouped.join(own.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i")
-    return both.mapInArrow(count, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    kind = keyed.schema["id"].dataType.simpleString()
+    whole = keyed.join(grouped.withColumnRenamed("id", "part"), F.col("row") == F.col("part")).select("id", "n_words", "items", "spans", "text")
+    return whole.mapInArrow(count, f"id {kind}, n_words long, n_hit long, items array<string>, {SPANS}")
 
 
 def items_sha256(names: list[str]) -> str:

@@ -144,6 +144,17 @@ def test_contamination(spark, documents, corpus, items, block):
     assert got == brute.contamination(corpus, [x for x in items if x[0] is not None])
 
 
+def test_blocks_do_not_change_rows(spark):
+    """Rows with null ids stay, and rows that share an id keep their own words and spans."""
+    first, second = (" ".join(f"{c}{k}" for k in range(12)) for c in "qz")
+    texts = [(None, f"x {first} y"), (None, "short"), (1, first + " " + second), (1, "a"), (1, None), (2, f"{first} . {second} {first}"), (2, f"{first} . {second} {first}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    one, two = (decontaminate.contamination(docs, bench, spans=True, block_bytes=b) for b in (32 << 20, 10))
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.count() == 7
+    assert decontaminate.contamination(docs, bench, block_bytes=10).columns == ["doc_id", "n_words", "n_hit", "items"]
+
+
 def test_removal_spans(spark):
     docs = spark.createDataFrame([(1, "É start " + " ".join(f"q{k}" for k in range(15)) + " end")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(f"Q{k}" for k in range(15)))], "item_id long, text string")
