@@ -25,8 +25,8 @@ from .textkit import LOWER, pieces, tidy
 
 ORDER = 3
 MAX_ROWS = 1500
-#: Contexts of full order seen fewer times than this, in all languages together, stay out of the trees.
-LEAST_SEEN = 8
+#: Contexts of full order seen fewer times than this, in all languages together, stay out of the trees (1: none does).
+LEAST_SEEN = 1
 SEED = 29
 UNKNOWN = "und"
 

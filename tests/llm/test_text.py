@@ -84,6 +84,12 @@ def test_language(spark):
     assert language_id.fit(docs.filter("false")) is None
 
 
+def test_rare_contexts_have_states_of_their_own():
+    model = language_id.fit_model({"a": ["abracadabra"], "b": ["xyz"]})
+    a = int(model.symbols.max()) + 1
+    assert (model.states >= a * a).sum() == len({"abr", "bra", "rac", "aca", "cad", "ada", "dab"})
+
+
 def test_code_lengths_are_a_distribution():
     """After every context the probabilities of all symbols sum to one, and match a direct count at order 0 to 3."""
     model = language_id.fit_model({"a": ["abracadabra abracadabra"] * 3, "b": ["xyz"]}, least_seen=1)
