@@ -1,14 +1,14 @@
 """Benchmark decontamination by FM-indexes over the training text.
 
-Each shard (a run of training texts) is a sequence of word symbols. Words that no benchmark item
-has, and words between two neighbours with which they form no benchmark word pair, can lie in no
-window; they are collapsed into one separator symbol, so an index holds what may match and nothing
-else. Over that sequence the shard builds its suffix order, the Burrows-Wheeler transform as a
-wavelet tree with rank counts, and samples of suffix positions. All windows are searched backward at
-once; the occurrences are located by walking to the next sample, and their spans merged.
-
-Only the benchmark travels to the executors, in blocks of at most BLOCK_BYTES of item text; each
-block is one pass. Training text is never shuffled.
+Training texts are cut into shards, and each shard gets an FM-index over all its words: the suffix
+order of its word sequence, the Burrows-Wheeler transform as a wavelet matrix with rank counts, and
+samples of suffix positions. The indexes depend on the training text alone; they are written to the
+shared folder and searched by every block of the benchmark (`built` gives them for later searches).
+
+A block (at most BLOCK_BYTES of item text) travels to the executors. A shard maps the block's words to
+its own symbols, searches all windows of known words backward at once, locates their occurrences by
+walking to the next sample, and passes on the merged spans of each text. The spans of all blocks are
+then merged once more. Training text is never shuffled, only the rows that were hit are.
 """
 
 from __future__ import annotations
@@ -18,37 +18,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .textkit import ALNUM, LOWER, Texts, U64, pieces, tidy
+from .textkit import ALNUM, LOWER, U64, pieces, tidy
 
 WINDOW = 10
-#: Item text that one pass may carry to the executors.
+#: Item text that one pass over the indexes may carry to the executors.
 BLOCK_BYTES = 32 << 20
-#: Training text that one FM-index covers.
-SHARD_BYTES = 1 << 20
-SAMPLE_STEP = 8
+#: Training text that one FM-index covers; a longer text has an index of its own.
+SHARD_BYTES = 2 << 20
+SAMPLE_STEP = 16
+#: Rows of hits that may be broadcast to the list of rows, and their bytes, after summing them.
+BROADCAST_BYTES = 32 << 20
 SPANS = "spans array<struct<start:long,end:long>>"
 
 
-class WaveletTree:
-    """Ranks of symbols in a sequence, a bit vector a level (a wavelet matrix), in blocks of 64 bits."""
+class WaveletMatrix:
+    """Ranks of symbols in a sequence: a bit vector a level, in words of 64 bits with counts before each."""
 
-    def __init__(self, sequence: np.ndarray, symbols: int):
-        self.n, self.levels = len(sequence), max(1, int(symbols - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+    def __init__(self, words: np.ndarray, zeros: np.ndarray):
+        """words: a row of packed bits a level, most significant bit of the symbols first; zeros: how many a level has."""
+        self.words, self.zeros, self.levels = words, zeros, len(zeros)
+        self.counts = np.zeros((words.shape[0], words.shape[1] + 1), np.int64)
+        np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64, out=self.counts[:, 1:])
+
+    @classmethod
+    def of(cls, sequence: np.ndarray, symbols: int) -> WaveletMatrix:
+        n, levels = len(sequence), max(1, int(symbols - 1).bit_length())
+        words, zeros = np.zeros((levels, n // 64 + 1), U64), np.zeros(levels, np.int64)
         now = sequence
-        for level in reversed(range(self.levels)):
-            bit = (now >> level) & 1
-            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
-            padded[: self.n] = bit
-            packed = np.packbits(padded, bitorder="little").view(U64)
-            self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
-            self.zeros.append(self.n - int(bit.sum()))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+        for k in range(levels):
+            bit = ((now >> (levels - 1 - k)) & 1).astype(bool)
+            padded = np.zeros((n // 64 + 1) * 64, bool)
+            padded[:n] = bit
+            words[k] = np.packbits(padded, bitorder="little").view(U64)
+            ones = now[bit]
+            zeros[k] = n - len(ones)
+            now = np.concatenate([now[~bit], ones])
+        return cls(words, zeros)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits before each position of the level."""
@@ -66,41 +76,76 @@ class WaveletTree:
             at = np.where(bit, self.zeros[k] + one_at, at - one_at)
         return at - low
 
+    def symbols_at(self, at: np.ndarray) -> np.ndarray:
+        """The symbols at positions."""
+        out, at = np.zeros_like(at), at.copy()
+        for k in range(self.levels):
+            bit = (self.words[k][at >> 6] >> (at & 63).astype(U64)) & U64(1)
+            ones = self._ones(k, at)
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+            out = (out << 1) | bit.astype(np.int64)
+        return out
+
 
-def suffix_order(sequence: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first depth symbols (at least), by prefix doubling."""
-    n = len(sequence)
-    rank = sequence.astype(np.int64)
-    width = 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - width] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
+def suffix_order(sequence: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by prefix doubling of those that are not told apart yet.
+
+    The greatest depth is that of the longest repeat. The last symbol must be unique.
+    """
+    n, bits = len(sequence), max(1, int(sequence.max(initial=0) + 1).bit_length())
+    width = max(1, 63 // bits)
+    key = np.zeros(n + width, np.int64)
+    key[:n] = sequence + 1  # 0 is beyond the end
+    packed = np.zeros(n, np.int64)
+    for k in range(width):
+        packed = (packed << bits) | key[k : k + n]
+    order = np.argsort(packed, kind="stable")
+    packed = packed[order]
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    rank = np.empty(n, np.int64)
+    heads = np.flatnonzero(new)
+    rank[order] = heads[np.cumsum(new) - 1]
+    open_ = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    while len(open_):
+        rows = order[open_]
+        own, after = rank[rows], np.minimum(rows + width, n - 1)
+        key = own * (n + 1) + rank[after]
+        by = np.argsort(key, kind="stable")
+        order[open_], key = rows[by], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[open_]] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
+        open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
         width *= 2
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank = new
-        if width >= depth or int(rank.max()) == n - 1:
-            return order
+    return order
 
 
 class FMIndex:
-    """Backward search and location over a sequence of symbols 1..; symbol 0 ends the sequence."""
-
-    def __init__(self, sequence: np.ndarray, symbols: int, step: int = SAMPLE_STEP):
-        closed = np.concatenate([sequence, [0]])
-        n = len(closed)
-        # A total order is needed for the last-to-first mapping: depth beyond any repeat.
-        order = suffix_order(closed, n)
-        self.n, self.symbols = n, symbols
-        self.transform = closed[order - 1]
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(closed, minlength=symbols))])
-        self.tree = WaveletTree(self.transform, symbols)
-        self.sampled = order % step == 0
-        self.sample_rank = np.concatenate([[0], np.cumsum(self.sampled)])
-        self.samples = order[self.sampled]
+    """Backward search and location over texts of symbols 1.., each of which ends with a 0 of its own."""
+
+    def __init__(self, tree: WaveletMatrix, before: np.ndarray, marks: np.ndarray, samples: np.ndarray, n: int):
+        self.tree, self.before, self.samples, self.n, self.marks = tree, before, samples, n, marks
+        self.mark_counts = np.zeros(len(marks) + 1, np.int64)
+        np.cumsum(np.bitwise_count(marks), dtype=np.int64, out=self.mark_counts[1:])
+
+    @classmethod
+    def of(cls, sequence: np.ndarray, symbols: int, step: int = SAMPLE_STEP) -> FMIndex:
+        """sequence: symbols 1 to symbols - 1, and a 0 at the end of each text."""
+        n = len(sequence)
+        ends = sequence == 0
+        texts = int(ends.sum())
+        # Ends of texts differ, in order of the texts, so no comparison goes beyond a text.
+        told = np.where(ends, np.cumsum(ends) - 1, sequence + texts)
+        order = suffix_order(told)
+        before = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
+        # Starts of texts are samples, so no walk back leaves its text.
+        sampled = np.arange(n) % step == 0
+        sampled[0] = True
+        sampled[1:] |= ends[:-1]
+        chosen = sampled[order]
+        padded = np.zeros((n // 64 + 1) * 64, bool)
+        padded[:n] = chosen
+        marks = np.packbits(padded, bitorder="little").view(U64)
+        return cls(WaveletMatrix.of(sequence[order - 1], symbols), before, marks, order[chosen], n)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of suffixes that start with each row of patterns; all rows have one length."""
@@ -108,9 +153,9 @@ class FMIndex:
         high = np.full(len(patterns), self.n, np.int64)
         live = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[live, k]
-            low[live] = self.before[symbol] + self.tree.rank(symbol, low[live])
-            high[live] = self.before[symbol] + self.tree.rank(symbol, high[live])
+            symbol = patterns[live, k].astype(np.int64)
+            both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low[live], high[live]]))
+            low[live], high[live] = self.before[symbol] + both[: len(live)], self.before[symbol] + both[len(live) :]
             live = live[low[live] < high[live]]
             if not len(live):
                 break
@@ -121,144 +166,254 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes given by their place in the order."""
         out = np.empty(len(rows), np.int64)
-        at, steps, open_ = rows.copy(), 0, np.arange(len(rows))
+        at, steps, open_ = rows.astype(np.int64), 0, np.arange(len(rows))
         while len(open_):
-            done = self.sampled[at]
-            out[open_[done]] = self.samples[self.sample_rank[at[done]]] + steps
+            word, rest = at >> 6, (at & 63).astype(U64)
+            done = ((self.marks[word] >> rest) & U64(1)).astype(bool)
+            rank = self.mark_counts[word] + np.bitwise_count(self.marks[word] & ((U64(1) << rest) - U64(1)))
+            out[open_[done]] = self.samples[rank[done]] + steps
             open_, at = open_[~done], at[~done]
-            symbol = self.transform[at]
+            symbol = self.tree.symbols_at(at)
             at = self.before[symbol] + self.tree.rank(symbol, at)
             steps += 1
         return out
 
 
-class Benchmark:
-    """The items' words as symbols 2.., their windows by length, and the items of each window."""
+def _built(with_spans: bool, shard_bytes: int):
+    """(id, text) rows to shards: the rows' ids and numbers of words, and the index over their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        shard = (task.partitionId() if task else 0) << 32
+        for batch in batches:
+            for texts in pieces(batch.column(1), LOWER, shard_bytes):
+                starts, ends, doc = texts.words(ALNUM)
+                count = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+                vocabulary, coded = np.unique(texts.hashes(starts, ends), return_inverse=True)
+                sequence = np.zeros(len(starts) + len(texts), np.int64)
+                sequence[np.arange(len(starts)) + doc] = coded.ravel() + 1
+                index = FMIndex.of(sequence, len(vocabulary) + 1)
+                ids = batch.column(0).slice(texts.first, len(texts))
+                if isinstance(ids, pa.ChunkedArray):
+                    ids = ids.combine_chunks()
+                fields = {
+                    "shard": pa.array([shard]),
+                    "ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids),
+                    "counts": pa.array([count.astype("<i4").tobytes()], pa.binary()),
+                    "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
+                    "bits": pa.array([index.tree.words.tobytes()], pa.binary()),
+                    "zeros": pa.array([index.tree.zeros.tobytes()], pa.binary()),
+                    "before": pa.array([index.before.astype("<i4").tobytes()], pa.binary()),
+                    "marks": pa.array([index.marks.tobytes()], pa.binary()),
+                    "samples": pa.array([index.samples.astype("<i4").tobytes()], pa.binary()),
+                }
+                if with_spans:
+                    base = texts.offsets[doc]
+                    fields["starts"] = pa.array([(starts - base).astype("<i4").tobytes()], pa.binary())
+                    fields["ends"] = pa.array([(ends - base).astype("<i4").tobytes()], pa.binary())
+                shard += 1
+                yield pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
+
+    return tidy(run)
+
+
+#: Bytes of indexes in a batch between Spark and a worker.
+INDEX_BATCH = 8 << 20
+
+
+def built(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The shards' indexes, written in the shared folder; any number of benchmarks can be searched in them.
+
+    With spans, places of words in the texts are kept as well.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    blobs = ["counts", "vocabulary", "bits", "zeros", "before", "marks", "samples", *(["starts", "ends"] if spans else [])]
+    schema = f"shard long, ids array<{kind}>, " + ", ".join(f"{b} binary" for b in blobs)
+    return written(own.mapInArrow(_built(spans, shard_bytes), schema), "fm-index")
+
+
+class Block:
+    """Items' words as codes of a vocabulary, the distinct windows by length, and the items of each window."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
-        names = [str(i) for i, _ in items]
-        column = pa.array([t or "" for _, t in items], pa.string())
-        rows: list[np.ndarray] = []
+        self.names = [str(i) for i, _ in items]
+        column = pa.array([t or "" for _, t in items], pa.large_string())
+        hashes, counts = [np.zeros(0, U64)], []
         for texts in pieces(column, LOWER):
             starts, ends, doc = texts.words(ALNUM)
-            cut = np.searchsorted(doc, np.arange(1, len(texts)))
-            rows += np.split(texts.hashes(starts, ends), cut)
-        self.vocabulary = np.unique(np.concatenate([*rows, np.zeros(0, U64)]))
-        self.symbols = len(self.vocabulary) + 2
-        pairs, owned = [], {}
-        for k, own in enumerate(rows):
-            if not len(own):
+            hashes.append(texts.hashes(starts, ends))
+            counts.append(np.bincount(doc, minlength=len(texts)))
+        count = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+        first = np.cumsum(count) - count
+        self.vocabulary, coded = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.coded = coded.ravel().astype(np.int32)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(np.minimum(count, window)).tolist():
+            if not size:
                 continue
-            coded = np.searchsorted(self.vocabulary, own).astype(np.int64) + 2
-            pairs.append(coded[:-1] * self.symbols + coded[1:])
-            size = min(window, len(coded))
-            for piece in np.unique(np.lib.stride_tricks.sliding_window_view(coded, size), axis=0):
-                owned.setdefault(tuple(piece.tolist()), []).append(k)
-        self.pairs = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
-        self.names = names
-        self.groups = []
-        for size in sorted({len(x) for x in owned}):
-            own = [x for x in owned if len(x) == size]
-            self.groups.append((size, np.array(own, np.int64), [np.array(owned[x]) for x in own]))
-
-    def coded(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Symbols of the words; 1 for a word that can lie in no window."""
-        hashes = texts.hashes(starts, ends)
-        if not len(hashes) or not len(self.vocabulary):
-            return np.ones(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        coded = np.where(self.vocabulary[at] == hashes, at + 2, 1)
-        if any(size == 1 for size, _, _ in self.groups) or not len(self.pairs):
-            return coded
-        # A word stays if it forms a benchmark pair with a neighbour of the same text.
-        near = np.flatnonzero((coded[:-1] > 1) & (coded[1:] > 1) & (doc[:-1] == doc[1:]))
-        key = coded[near] * self.symbols + coded[near + 1]
-        found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        near = near[self.pairs[found] == key]
-        stays = np.zeros(len(coded), bool)
-        # Shorter runs of pairs than the shortest window needs can hold none.
-        if len(near):
-            least = self.groups[0][0] - 1
-            breaks = np.flatnonzero((np.diff(near) != 1) | (doc[near[1:]] != doc[near[:-1]])) + 1
-            first, last = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(near)]])
-            edge = np.zeros(len(coded) + 1, np.int64)
-            long = last - first >= least
-            np.add.at(edge, near[first[long]], 1)
-            np.add.at(edge, near[last[long] - 1] + 2, -1)
-            stays = np.cumsum(edge[:-1]) > 0
-        return np.where(stays, coded, 1)
-
-
-def _searched(benchmark: Benchmark, with_spans: bool):
+            own = np.flatnonzero(count >= window if size == window else count == size)
+            times = count[own] - size + 1
+            item = np.repeat(own, times)
+            at = np.repeat(first[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            # Equal windows are one: they get a number, a symbol at a time.
+            number = np.zeros(len(at), np.int64)
+            for k in range(size):
+                number = np.unique(number * (len(self.vocabulary) + 1) + self.coded[at + k], return_inverse=True)[1].ravel()
+            by = np.lexsort((item, number))
+            number, item, at = number[by], item[by], at[by]
+            fresh = np.concatenate([[True], (number[1:] != number[:-1]) | (item[1:] != item[:-1])])
+            number, item, at = number[fresh], item[fresh], at[fresh]
+            heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            self.groups.append((size, at[heads], np.concatenate([heads, [len(number)]]), item))
+
+
+def _merged(at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open ranges as disjoint ones that don't touch, in order."""
+    by = np.argsort(at, kind="stable")
+    at, reach = at[by], np.maximum.accumulate(until[by])
+    new = np.concatenate([[True], at[1:] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
+    return at[new], reach[last]
+
+
+HITS = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("from", pa.list_(pa.int32())), ("to", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _searched(block: Block):
+    """Shards to their rows with occurrences of the block's windows: merged ranges of words, and the items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = len(batch)
-            n_words, n_hit = np.zeros(count, np.int64), np.zeros(count, np.int64)
-            items: dict[int, set[int]] = {}
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for texts in pieces(batch.column(1), LOWER, SHARD_BYTES):
-                starts, ends, doc = texts.words(ALNUM)
-                n_words[texts.first : texts.first + len(texts)] = np.bincount(doc, minlength=len(texts))
-                coded = benchmark.coded(texts, starts, ends, doc)
-                if not (coded > 1).any():
+            for k in range(len(batch)):
+                blob = {name: np.frombuffer(batch.column(name)[k].as_buffer(), kind) for name, kind in (("counts", "<i4"), ("vocabulary", U64), ("bits", U64), ("zeros", np.int64), ("before", "<i4"), ("marks", U64), ("samples", "<i4"))}
+                vocabulary, count = blob["vocabulary"], blob["counts"].astype(np.int64)
+                if not len(vocabulary) or not len(block.vocabulary):
                     continue
-                # Runs of separators, and the bounds between texts, become one separator each.
-                fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
-                keep = (coded > 1) | fresh | np.concatenate([[True], coded[:-1] > 1])
-                source = np.flatnonzero(keep)
-                opens = np.flatnonzero(fresh[source] & (coded[source] > 1))
-                sequence = np.insert(coded[source], opens, 1)
-                source = np.insert(source, opens, -1)
-                index = FMIndex(sequence, benchmark.symbols)
-                edge = np.zeros(len(starts) + 1, np.int64)
-                for size, windows, owners in benchmark.groups:
-                    low, high = index.search(windows)
+                place = np.minimum(np.searchsorted(vocabulary, block.vocabulary), len(vocabulary) - 1)
+                symbol = np.where(vocabulary[place] == block.vocabulary, place + 1, 0).astype(np.int32)
+                coded = symbol[block.coded]
+                unknown = np.concatenate([[0], np.cumsum(coded == 0)])
+                levels = len(blob["zeros"])
+                tree = index = None
+                ends = np.cumsum(count + 1)  # in the sequence, behind each row's end mark
+                at_all, until_all, row_all, pairs = [], [], [], []
+                for size, starts, owned, owners in block.groups:
+                    live = np.flatnonzero(unknown[starts + size] == unknown[starts])
+                    if not len(live):
+                        continue
+                    if index is None:
+                        tree = WaveletMatrix(blob["bits"].reshape(levels, -1), blob["zeros"])
+                        index = FMIndex(tree, blob["before"].astype(np.int64), blob["marks"], blob["samples"], int(ends[-1]))
+                    low, high = index.search(np.lib.stride_tricks.sliding_window_view(coded, size)[starts[live]])
                     found = np.flatnonzero(low < high)
                     if not len(found):
                         continue
                     times = high[found] - low[found]
-                    which = np.repeat(found, times)
-                    rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[which]
-                    at = source[index.locate(rows)]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + size, -1)
-                    for w, d in set(zip(which.tolist(), doc[at].tolist(), strict=True)):
-                        items.setdefault(texts.first + d, set()).update(owners[w].tolist())
-                hit = np.cumsum(edge[:-1]) > 0
-                n_hit[texts.first : texts.first + len(texts)] = np.bincount(doc, hit, minlength=len(texts))
+                    which = np.repeat(live[found], times)
+                    rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[found], times)
+                    at = index.locate(rows)
+                    row = np.searchsorted(ends, at, "right")
+                    at_all.append(at)
+                    until_all.append(at + size)
+                    row_all.append(row)
+                    # Each row's windows once, then their items.
+                    window, row = np.divmod(np.unique(which * len(count) + row), len(count))
+                    each = owned[window + 1] - owned[window]
+                    item = owners[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(owned[window], each)]
+                    pairs.append(np.unique(np.repeat(row, each) * len(block.names) + item))
+                if not at_all:
+                    continue
+                # Ranges of different rows never touch, as an end mark lies between them.
+                at, until = _merged(np.concatenate(at_all), np.concatenate(until_all))
+                row = np.searchsorted(ends, at, "right")
+                base = np.concatenate([[0], ends])[row]
+                hit, first = np.unique(row, return_index=True)
+                bounds = pa.array(np.append(first, len(row)).astype(np.int32))
+                own, item = np.divmod(np.unique(np.concatenate(pairs)), len(block.names))
+                names = pa.array(block.names, pa.string()).take(pa.array(item))
+                lists = pa.array(np.searchsorted(own, np.append(hit, len(count))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(hit), batch.column("shard")[k].as_py(), np.int64)), pa.array(hit.astype(np.int32)),
+                        pa.ListArray.from_arrays(bounds, pa.array((at - base).astype(np.int32))),
+                        pa.ListArray.from_arrays(bounds, pa.array((until - base).astype(np.int32))),
+                        pa.ListArray.from_arrays(lists, names),
+                    ],
+                    schema=HITS,
+                )
+
+    return tidy(run)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the ranges of all blocks to merged ranges, and how many words these cover."""
+    for batch in batches:
+        hit, froms, tos = [], [], []
+        for a, b in zip(batch.column("from"), batch.column("to"), strict=True):
+            at, until = _merged(np.asarray(a.values), np.asarray(b.values))
+            hit.append(int((until - at).sum()))
+            froms.append(at)
+            tos.append(until)
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (froms, tos)]
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("row"), pa.array(hit, pa.int64()), *lists, batch.column("items")], names=["shard", "row", "n_hit", "from", "to", "items"])
+
+
+def _rows(kind: pa.DataType | None, with_spans: bool):
+    """Shards to their rows: id and number of words, and with spans the places of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                count = np.frombuffer(batch.column("counts")[k].as_buffer(), "<i4")
+                n = len(count)
+                columns = {
+                    "shard": pa.array(np.full(n, batch.column("shard")[k].as_py(), np.int64)), "row": pa.array(np.arange(n, dtype=np.int32)),
+                    "id": batch.column("ids")[k].values, "n_words": pa.array(count.astype(np.int64)),
+                }
                 if with_spans:
-                    first = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & ~fresh))
-                    last = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & ~np.concatenate([fresh[1:], [True]])))
-                    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                        base = int(texts.offsets[doc[a]])
-                        spans.setdefault(texts.first + int(doc[a]), []).append((int(starts[a]) - base, int(ends[b]) - base))
-            names = [sorted({benchmark.names[k] for k in items.get(i, ())}) for i in range(count)]
-            columns = [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(names, pa.list_(pa.string()))]
-            labels = ["id", "n_words", "n_hit", "items"]
-            if with_spans:
-                columns.append(pa.array([[{"start": a, "end": b} for a, b in spans.get(i, ())] for i in range(count)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                labels.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names=labels)
+                    bounds = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                    for name in ("starts", "ends"):
+                        columns[name] = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(batch.column(name)[k].as_buffer(), "<i4")))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return tidy(run)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size, one block on the driver at a time."""
+    """The items in blocks of bounded size, one block on the driver at a time; one empty block for no items."""
     rows = benchmark.select(F.col(item_col), F.col(text_col)).toLocalIterator()
-    block, size = [], 0
+    block, size, some = [], 0, False
     for item, text in rows:
-        if item is None:
+        if item is None or not text:
             continue
         block.append((item, text))
-        size += 4 * len(text or "")
+        size += len(text.encode())
         if size >= block_bytes:
             yield block
-            block, size = [], 0
-    if block or not size:
+            block, size, some = [], 0, True
+    if block or not some:
         yield block
 
 
+def searched(shards: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(shard, row, n_hit, from, to, items) of the rows of `built` shards in which windows of items occur.
+
+    from and to are disjoint ranges of words. Each block of the benchmark is one pass over the indexes.
+    """
+    schema = "shard long, row int, `from` array<int>, `to` array<int>, items array<string>"
+    index = shards.select("shard", "counts", "vocabulary", "bits", "zeros", "before", "marks", "samples")
+    found = None
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+        part = written(index.mapInArrow(_searched(Block(block, window)), schema), "fm-hits", INDEX_BATCH)
+        found = part if found is None else found.unionByName(part)
+    united = found.groupBy("shard", "row").agg(
+        F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return written(united.mapInArrow(tidy(_united), "shard long, row int, n_hit long, `from` array<int>, `to` array<int>, items array<string>"), "fm-found")
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -269,64 +424,36 @@ def contamination(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     spans: bool = False,
+    shard_bytes: int = SHARD_BYTES,
+    shards: DataFrame | None = None,
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, items (sorted names of items with occurring windows).
 
     A window is a run of `window` item words, or all words of a shorter item; a document word inside
     any occurrence is hit. With spans, also the merged byte ranges to remove from the UTF-8 text.
-    Null and blank texts have no words, on either side; items
-    without an id are left out; an item that repeats counts once; an empty benchmark hits nothing
-    and an empty table gives an empty result. Other columns are ignored.
+    shards may give the indexes that `built` made of docs before. Null and blank texts have no words, on
+    either side; items without an id are left out; an item that repeats counts once; an empty
+    benchmark hits nothing and an empty table gives an empty result. Ids may repeat or be null, as rows
+    are told apart by shard and place. However many blocks the benchmark has, the rows and the
+    spans are the same. Other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_hit long, items array<string>" + (f", {SPANS}" if spans else "")
-    out = None
-    blocks = list(_models(benchmark, item_col, item_text_col, block_bytes, window))
-    if len(blocks) == 1:
-        return own.mapInArrow(_searched(blocks[0], spans), schema).withColumnRenamed("id", id_col)
-    # Hits of several blocks overlap, so their spans are united by word. Ids may be null or repeat, so rows get keys.
-    keyed = written(own.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "decontaminate-rows")
-    for model in blocks:
-        part = keyed.select("row", "text").mapInArrow(_searched(model, True), f"id long, n_words long, n_hit long, items array<string>, {SPANS}")
-        out = part if out is None else out.unionByName(part)
-    united = _united(out, keyed)
-    return (united if spans else united.drop("spans")).withColumnRenamed("id", id_col)
-
-
-def _models(benchmark, item_col, text_col, block_bytes, window):
-    for block in benchmark_blocks(benchmark, item_col, text_col, block_bytes):
-        yield Benchmark(block, window)
-
-
-def _united(parts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """One row per row of keyed (row, id, text), from its parts of several benchmark blocks, whose id is the row."""
-    grouped = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, out = [], []
-            texts_of = [t.as_py() or "" for t in batch.column("text")]
-            for text, own_spans in zip(texts_of, batch.column("spans").to_pylist(), strict=True):
-                data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-                starts, ends, _ = Texts(data, np.array([0, len(data)]), 0).words(ALNUM)
-                edge = np.zeros(len(data) + 1, np.int64)
-                for s in own_spans:
-                    edge[s["start"]] += 1
-                    edge[s["end"]] -= 1
-                covered = np.cumsum(edge)[starts] > 0
-                hit.append(int(covered.sum()))
-                # Neighbouring hit words are one span, as in a single block.
-                runs = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).reshape(-1, 2)
-                out.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in runs])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    kind = keyed.schema["id"].dataType.simpleString()
-    whole = keyed.join(grouped.withColumnRenamed("id", "part"), F.col("row") == F.col("part")).select("id", "n_words", "items", "spans", "text")
-    return whole.mapInArrow(count, f"id {kind}, n_words long, n_hit long, items array<string>, {SPANS}")
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    index = built(docs, id_col, text_col, spans, shard_bytes) if shards is None else shards
+    found = searched(index, benchmark, item_col, item_text_col, window, block_bytes)
+    wide = ", starts array<int>, ends array<int>" if spans else ""
+    rows = index.select("shard", "ids", "counts", *(["starts", "ends"] if spans else [])).mapInArrow(_rows(None, spans), f"shard long, row int, id {kind}, n_words long{wide}")
+    own = found.select(F.col("shard").alias("s"), F.col("row").alias("r"), "n_hit", "from", "to", "items")
+    own = own if spans else own.drop("from", "to")
+    size = own.agg(F.coalesce(F.sum(32 + F.lit(32) * F.size("items") + (F.lit(8) * F.size("from") if spans else F.lit(0))), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(own) if size <= BROADCAST_BYTES else own.hint("merge"), (F.col("shard") == F.col("s")) & (F.col("row") == F.col("r")), "left")
+    columns = [F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")]
+    if spans:
+        ranges = F.transform(
+            F.arrays_zip("from", "to"),
+            lambda x: F.struct(F.element_at("starts", x["from"] + 1).cast("long").alias("start"), F.element_at("ends", x["to"]).cast("long").alias("end")),
+        )
+        columns.append(F.coalesce(ranges, F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    return joined.select(*columns)
 
 
 def items_sha256(names: list[str]) -> str:

@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch while a table is written: rows here are whole texts and sets of their shingles,
-#: and batches of ten thousand of them fill memory beside the heap, which is never given back.
-BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch while a table is written: rows here are whole texts and sets of their shingles,
+#: of which Spark's own limits (ten thousand rows, 64 MB) would lie in memory several times over.
+BATCH_BYTES, BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Ids (longs) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -33,12 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """df as a Parquet table in the shared folder, read again (with its schema, so empty tables work)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = int(spark.conf.get(BATCH))
-    spark.conf.set(BATCH, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(batch_bytes))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

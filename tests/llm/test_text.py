@@ -176,10 +176,31 @@ def test_contamination_of_nothing(spark, documents, nothing, items):
     assert decontaminate.contamination(nothing, spark.createDataFrame(items, "item_id string, text string")).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=40), st.lists(st.integers(1, 4), min_size=1, max_size=3))
-def test_fm_index(text, pattern):
-    index = decontaminate.FMIndex(np.array(text), 5, step=3)
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), max_size=25), min_size=1, max_size=5), st.lists(st.integers(1, 4), min_size=1, max_size=3))
+def test_fm_index(texts, pattern):
+    """All occurrences inside texts are found, none across two of them."""
+    sequence = np.array([s for t in texts for s in [*t, 0]])
+    index = decontaminate.FMIndex.of(sequence, 5, step=3)
     low, high = index.search(np.array([pattern]))
     got = sorted(index.locate(np.arange(low[0], high[0])).tolist())
-    assert got == [k for k in range(len(text)) if text[k : k + len(pattern)] == pattern]
+    assert got == [k for k in range(len(sequence)) if sequence[k : k + len(pattern)].tolist() == pattern]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_suffix_order(symbols):
+    sequence = np.array([*symbols, 9])
+    assert decontaminate.suffix_order(sequence).tolist() == sorted(range(len(sequence)), key=lambda k: sequence[k:].tolist())
+
+
+def test_an_index_serves_several_benchmarks(spark, documents, corpus, items):
+    """Shards hold all words of their texts, are made once, and give what a search of its own gives."""
+    shards = decontaminate.built(documents, shard_bytes=4000)
+    assert shards.count() > 3
+    words = sum(v[0] for v in brute.contamination(corpus, []).values())
+    assert sum(np.frombuffer(r["counts"], "<i4").sum() for r in shards.collect()) == words
+    for some in (items[:4], items[4:8]):
+        bench = spark.createDataFrame(some, "item_id string, text string")
+        out = decontaminate.contamination(documents, bench, shards=shards).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in out} == brute.contamination(corpus, some)
