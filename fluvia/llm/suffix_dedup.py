@@ -2,18 +2,20 @@
 
 Every string of LENGTH bytes (a window) has one anchor: of the GRAM-byte strings in it, the one with
 the least hash, leftmost first. Equal windows have equal anchors at equal places, so only suffixes
-at anchors are indexed, some three in a hundred of all.
+at anchors are indexed, some three in a hundred of all. An anchor's extent is the run of windows that
+have it: the suffix from the anchor to the last window's end, and the bytes before the anchor.
 
 1. Copies of whole texts are settled by a digest: all but the first go.
-2. Each text is cut into extents, the runs of windows with one anchor, known by the hash of the
-   anchor and that of their bytes. Dealt and sorted by both, all extents but the first of equal ones
-   are repeats; no text moves for them.
-3. Where an anchor has different extents, the first of each is fetched with its bytes. Sampled
-   splitters range-partition these suffixes by their leading bytes; every bucket sorts its windows by
-   multikey quicksort over eight bytes at a time, and compares neighbours. A bucket ends between
-   different anchors, so equal windows never lie on both sides of a boundary. Anchors with more than
-   HOT extents have their windows compared by hash in an aggregation instead, which no task holds whole.
-4. The spans found are united for each text, and cut out of it.
+2. Sampled splitters range-partition the suffixes by their leading bytes (then text and place, so a
+   common lead fills many buckets, not one). Each bucket is sorted by multikey quicksort. A suffix
+   that shares its lead with no neighbour, in the bucket or across its boundary, is in no repeat.
+3. The others come with their extents, and are range-partitioned and sorted by all their bytes.
+   Neighbours that are equal are repeats but for the first. The extents of one anchor that differ may
+   still have equal windows: these windows are sorted by multikey quicksort as well.
+4. Anchors that lie at a boundary of buckets, or have more than HOT different extents, have their
+   windows range-partitioned and sorted as rows of their own; a bucket's last window is compared with
+   the next bucket's first.
+5. The spans found are united for each text, and cut out of it.
 """
 
 from __future__ import annotations
@@ -22,24 +24,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import dropped, partitions, without, written
-from .textkit import Texts, U64, pieces, powers, tidy
+from .textkit import PIECE_BYTES, Texts, U64, pieces, powers, tidy
 
 LENGTH, GRAM = 100, 32
+#: Leading bytes by which suffixes are first sorted, in symbols of eight.
+LEAD = 3
+#: Different extents of one anchor that a task compares by itself.
 HOT = 20_000
 #: Windows that are sorted at once.
 CHUNK = 100_000
+#: Suffixes, extents and windows of a bucket, on average.
+BUCKET_SUFFIXES, BUCKET_EXTENTS, BUCKET_WINDOWS = 400_000, 100_000, 200_000
+SIGN = U64(1 << 63)
 
 
 def extents(texts: Texts, length: int, gram: int) -> dict[str, np.ndarray]:
-    """The runs of windows with one anchor: doc, first window, number of windows, anchor, and both hashes."""
+    """The runs of windows with one anchor: text, first window, number of windows, and place of the anchor."""
     data, n = texts.data, len(texts.data)
-    none = np.zeros(0, np.int64)
     if n < length:
-        return dict.fromkeys(("doc", "at", "windows", "anchor"), none) | dict.fromkeys(("h", "ext"), none.view(U64))
+        return dict.fromkeys(("doc", "at", "windows", "anchor"), np.zeros(0, np.int64))
     h = texts.prefix_hash()
     _, down = powers(n + 1)
     count = n - gram + 1
@@ -69,206 +77,324 @@ def extents(texts: Texts, length: int, gram: int) -> dict[str, np.ndarray]:
     doc = np.searchsorted(texts.offsets, start, "right") - 1
     last = texts.offsets[doc + 1] - length
     until = np.minimum(np.concatenate([start[1:], [n]]), last + 1)
-    return {
-        "doc": doc, "at": start, "windows": until - start, "anchor": anchor[start],
-        "h": grams[anchor[start]], "ext": texts.hashes(start, until - 1 + length, h),
-    }
+    return {"doc": doc, "at": start, "windows": until - start, "anchor": anchor[start]}
 
 
-def _runs(length: int, gram: int):
+# A spot is a run's place in its text in one number: first window, bytes before the anchor, windows.
+def packed_spots(at: np.ndarray, before: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return (at << 16) | (before << 8) | windows
+
+
+def unpacked_spots(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spots >> 16, (spots >> 8) & 255, spots & 255
+
+
+def _cut(column: pa.Array, length: int) -> Iterator[tuple[Texts, int]]:
+    """Runs of texts and where they start in their text: very long texts come in parts that overlap by all but one byte of a window.
+
+    A run of windows that a cut goes through becomes two extents; its windows stay the same.
+    """
+    for texts in pieces(column):
+        if len(texts.data) <= 2 * PIECE_BYTES:
+            yield texts, 0
+            continue
+        for at in range(0, len(texts.data) - length + 1, PIECE_BYTES):
+            part = texts.data[at : at + PIECE_BYTES + length - 1]
+            yield Texts(part, np.array([0, len(part)]), texts.first), at
+
+
+def _suffixes(length: int, gram: int):
+    """(id, text) rows to the suffixes at anchors: their leading symbols in order as longs, text and spot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in pieces(batch.column(1)):
+            for texts, base in _cut(batch.column(1), length):
                 e = extents(texts, length, gram)
-                base = texts.offsets[e["doc"]]
+                if not len(e["at"]):
+                    continue
+                lead = texts.data[e["anchor"][:, None] + np.arange(8 * LEAD)]
+                lead = (lead.view(">u8").astype(U64) ^ SIGN).view(np.int64)
+                spots = packed_spots(e["at"] - texts.offsets[e["doc"]] + base, e["anchor"] - e["at"], e["windows"])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(e["h"].view(np.int64)),
-                        pa.array(e["ext"].view(np.int64)),
-                        pa.array(ids[texts.first + e["doc"]]),
-                        pa.array((e["at"] - base).astype(np.int32)),
-                        pa.array(((e["windows"] << 8) | (e["anchor"] - e["at"])).astype(np.int32)),
-                    ],
-                    names=["h", "ext", "id", "at", "shape"],
+                    [*(pa.array(np.ascontiguousarray(lead[:, k])) for k in range(LEAD)), pa.array(ids[texts.first + e["doc"]]), pa.array(spots)],
+                    names=[*(f"l{k}" for k in range(LEAD)), "id", "spot"],
                 )
 
     return tidy(run)
 
 
-def _sorted_runs(length: int):
-    """Over rows in order of (h, ext, id, at): repeats as spans, and first extents of anchors that have several."""
-
-    def emit(rows: np.ndarray, first: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
-        repeat = ~first
-        keep = repeat | (first & several)
-        rows, repeat = rows[keep], repeat[keep]
-        windows = rows["shape"] >> 8
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows["id"]), pa.array(rows["at"]), pa.array(rows["at"] + windows - 1 + length),
-                pa.array(rows["shape"] & 255), pa.array(rows["h"]), pa.array(repeat),
-            ],
-            names=["id", "start", "stop", "anchor", "h", "repeat"],
+def multikey_quicksort(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of a matrix of symbols, and how many leading symbols each shares with the row before it.
+
+    Three-way radix quicksort: a segment is parted by one symbol into rows below, equal to and above a
+    pivot; the equal ones go on to the next symbol. All open segments are parted at once, a round each.
+    """
+    n, width = symbols.shape
+    order, shared = np.arange(n), np.zeros(n, np.int64)
+    start, size, depth = np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
+    live = size > 1 if width else np.zeros(1, bool)
+    start, size, depth = start[live], size[live], depth[live]
+    while len(start):
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(start - first, size)
+        rows = order[place]
+        key = symbols[rows, np.repeat(depth, size)]
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        below, above = key < pivot, key > pivot
+        # Where each row goes: behind those of its segment and part that stand before it.
+        n_below, n_above = np.cumsum(below), np.cumsum(above)
+        base_below, base_above = n_below[first] - below[first], n_above[first] - above[first]
+        last = first + size - 1
+        of_below, of_above = n_below[last] - base_below, n_above[last] - base_above
+        of_equal = size - of_below - of_above
+        rank_below = n_below - np.repeat(base_below, size)
+        rank_above = n_above - np.repeat(base_above, size)
+        step = place - np.repeat(start, size)
+        to = np.where(
+            below, rank_below - 1,
+            np.where(above, np.repeat(of_below + of_equal, size) + rank_above - 1, step - rank_below - rank_above + np.repeat(of_below, size)),
         )
+        order[np.repeat(start, size) + to] = rows
+        middle, high = start + of_below, start + of_below + of_equal
+        shared[middle[of_below > 0]] = depth[of_below > 0]
+        shared[high[of_above > 0]] = depth[of_above > 0]
+        done = (depth + 1 == width) & (of_equal > 1)
+        if done.any():  # equal in all symbols
+            n_done = of_equal[done] - 1
+            at = np.arange(n_done.sum()) + np.repeat(middle[done] + 1 - (np.cumsum(n_done) - n_done), n_done)
+            shared[at] = width
+        start, size, depth = (
+            np.concatenate([start, middle, high]),
+            np.concatenate([of_below, np.where(depth + 1 == width, 0, of_equal), of_above]),
+            np.concatenate([depth, depth + 1, depth]),
+        )
+        live = size > 1
+        start, size, depth = start[live], size[live], depth[live]
+    return order, shared
 
-    kind = np.dtype([("h", "<i8"), ("ext", "<i8"), ("id", "<i8"), ("at", "<i4"), ("shape", "<i4")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, kind)  # a first extent of which it's open whether its anchor has others
-        last: tuple | None = None  # key of the row before
-        lone = True  # whether the anchor before has had one extent only
-        for batch in batches:
-            rows = np.zeros(len(batch), kind)
-            for k, name in enumerate(kind.names):
-                rows[name] = batch.column(k).to_numpy(zero_copy_only=False)
-            if not len(rows):
-                continue
-            same_h = np.empty(len(rows), bool)
-            same_h[1:] = rows["h"][1:] == rows["h"][:-1]
-            same_h[0] = last is not None and rows["h"][0] == last[0]
-            same = np.empty(len(rows), bool)
-            same[1:] = same_h[1:] & (rows["ext"][1:] == rows["ext"][:-1])
-            same[0] = bool(same_h[0]) and rows["ext"][0] == last[1]
-            again = np.empty(len(rows), bool)  # a row that is there twice repeats nothing
-            again[1:] = same[1:] & (rows["id"][1:] == rows["id"][:-1]) & (rows["at"][1:] == rows["at"][:-1])
-            again[0] = bool(same[0]) and (rows["id"][0], rows["at"][0]) == last[2:]
-            rows, same_h, same = rows[~again], same_h[~again], same[~again]
-            if not len(rows):
-                continue
-            first = ~same
-            # Of the first extents: whether the next or the one before has the same anchor.
-            heads = np.flatnonzero(first)
-            several = np.zeros(len(rows), bool)
-            if len(heads):
-                h = rows["h"][heads]
-                next_same = np.concatenate([h[1:] == h[:-1], [False]])
-                before = np.concatenate([[False], h[1:] == h[:-1]])
-                before[0] = last is not None and h[0] == last[0]
-                several[heads] = next_same | before
-                if before[0] and len(held) and lone:
-                    yield emit(held, np.ones(1, bool), np.ones(1, bool))
-                    held = held[:0]
-                if not before[0]:
-                    held = held[:0]
-                if not several[heads[-1]]:
-                    held, lone = rows[heads[-1:]], True
-                else:
-                    held, lone = held[:0], False
-            last = (rows["h"][-1], rows["ext"][-1], rows["id"][-1], rows["at"][-1])
-            yield emit(rows, first, several)
+def _column(batches: list[pa.RecordBatch], k: int) -> np.ndarray:
+    return np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches])
 
-    return tidy(run)
 
+def _shared_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket of suffixes to those that share their lead with a neighbour, and what lies at its boundaries.
 
-def _contexts(gram: int):
-    """Rows (id, text, spots) to the bytes of each spot, led by its anchor."""
+    kind 0: shares it; 1: a first or last suffix that doesn't; 2: a first or last lead that is shared.
+    """
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    symbols = np.stack([_column(rows, k) for k in range(LEAD + 2)], axis=1)
+    rows = None
+    order, shared = multikey_quicksort(symbols)
+    symbols = symbols[order]
+    again = shared == LEAD + 2  # a row that is there twice
+    symbols, shared = symbols[~again], shared[~again]
+    same = shared >= LEAD
+    tie = same | np.concatenate([same[1:], [False]])
+    ends = np.unique([0, len(symbols) - 1])
+    at = np.concatenate([np.flatnonzero(tie), ends])
+    kind = np.concatenate([np.zeros(tie.sum(), np.int8), np.where(tie[ends], 2, 1).astype(np.int8)])
+    for k in range(0, len(at), 1 << 16):
+        some = symbols[at[k : k + (1 << 16)]]
+        edge = kind[k : k + (1 << 16)] > 0
+        leads = [pa.array(np.ascontiguousarray(some[:, c]), mask=~edge) for c in range(LEAD)]
+        yield pa.RecordBatch.from_arrays([pa.array(kind[k : k + (1 << 16)]), pa.array(np.ascontiguousarray(some[:, LEAD])), pa.array(np.ascontiguousarray(some[:, LEAD + 1])), *leads], names=["kind", "id", "spot", *(f"l{c}" for c in range(LEAD))])
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _with_bytes(length: int):
+    """Rows (id, text, spots) to their extents: the suffix from the anchor, the bytes before it, text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
-                data = text.as_buffer()
-                raw, spots = data.to_pybytes() if data is not None else b"", batch.column(2)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([raw[s["start"] + s["anchor"] : s["start"] + s["anchor"] + gram] for s in spots], pa.binary()),
-                        pa.array(np.full(len(spots), batch.column(0)[i].as_py(), np.int64)),
-                        pa.array([s["start"] for s in spots], pa.int32()),
-                        pa.array([raw[s["start"] : s["stop"]] for s in spots], pa.binary()),
-                        pa.array([s["hot"] for s in spots], pa.bool_()),
-                    ],
-                    names=["lead", "id", "at", "bytes", "hot"],
-                )
+                buffer = text.as_buffer()
+                raw = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+                at, before, windows = unpacked_spots(np.asarray(batch.column(2)[i].values))
+                inside = at + windows - 1 + length <= len(raw)  # rows of one id may have different texts
+                at, before, windows = at[inside], before[inside], windows[inside]
+                after = windows - 1 + length - before
+                for k in range(0, len(at), 4096):
+                    a, b, c = at[k : k + 4096], before[k : k + 4096], after[k : k + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [_binary(raw[_ranges(a + b, c)], c), _binary(raw[_ranges(a, b)], b), pa.array(np.full(len(a), batch.column(0)[i].as_py(), np.int64)), pa.array(a.astype(np.int32))],
+                        names=["after", "before", "id", "at"],
+                    )
 
     return tidy(run)
 
 
-def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of a matrix of symbols, and for each place whether its row equals the one before.
-
-    Multikey quicksort, a column at a time: rows are parted by one symbol, and only parts of several
-    rows go on to the next symbol.
-    """
-    n, depth = symbols.shape
-    order, part = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.arange(n)  # places that share a part with others
-    for d in range(depth):
-        if not len(open_):
-            break
-        rows = order[open_]
-        key = symbols[rows, d]
-        by = np.lexsort((key, part[open_]))
-        order[open_] = rows[by]
-        key, own = key[by], part[open_]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])])
-        part[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
-        alone = new & np.concatenate([new[1:], [True]])
-        open_ = open_[~alone]
-    return order, np.concatenate([[False], part[1:] == part[:-1]])
+def _flat(batches: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column of all batches, and where each row's start and how many they are."""
+    data, starts, sizes, base = [], [], [], 0
+    for b in batches:
+        column = b.column(k)
+        wide = pa.types.is_large_binary(column.type)
+        _, offs, own = column.buffers()
+        offsets = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        part = np.frombuffer(own, np.uint8)[offsets[0] : offsets[-1]] if own is not None else np.zeros(0, np.uint8)
+        data.append(part)
+        starts.append(offsets[:-1] - offsets[0] + base)
+        sizes.append(np.diff(offsets))
+        base += len(part)
+    return np.concatenate(data), np.concatenate(starts), np.concatenate(sizes)
+
+
+def _symbols(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of bytes as symbols of eight, filled up with zeros, and their sizes as the last symbol."""
+    width = -(-int(sizes.max(initial=0)) // 8) * 8
+    out = np.zeros((len(starts), width // 8 + 1), U64)
+    steps = np.arange(width)
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    for k in range(0, len(starts), 8192):
+        if width:
+            part = padded[starts[k : k + 8192, None] + steps]
+            part[steps >= sizes[k : k + 8192, None]] = 0
+            out[k : k + 8192, :-1] = part.view(">u8")
+        out[k : k + 8192, -1] = sizes[k : k + 8192]
+    return out
 
 
 def repeated_windows(blob: np.ndarray, starts: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """For windows given by their place in blob: whether an equal one stands earlier (smaller id, then place)."""
-    width = -(-length // 8) * 8
-    rows = np.zeros((len(starts), width), np.uint8)
-    rows[:, :length] = blob[starts[:, None] + np.arange(length)]
-    order, equal = multikey_order(rows.view(">u8"))
-    group = np.cumsum(~equal)
-    by = np.lexsort((at[order], ids[order], group))
-    order, group = order[by], group[by]
-    head = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])[group - 1]
+    by = np.lexsort((at, ids))  # the sort keeps the order of equal rows
+    symbols = _symbols(blob, starts[by], np.full(len(starts), length))[:, :-1]
+    order, shared = multikey_quicksort(symbols)
     out = np.zeros(len(starts), bool)
+    order, same = by[order], shared == symbols.shape[1]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     out[order] = (ids[order] != ids[order[head]]) | (at[order] != at[order[head]])
     return out
 
 
-def _compared(length: int, chunk: int):
-    """Within a bucket in order of its suffixes' leading bytes: spans of windows that stand earlier too."""
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        blob = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        sizes = np.array([len(r[3]) for r in rows])
-        counts = sizes - length + 1
-        which = np.repeat(np.arange(len(rows)), counts)
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.repeat(np.cumsum(sizes) - sizes, counts) + step
-        ids, at = np.array([r[1] for r in rows])[which], np.array([r[2] for r in rows])[which] + step
-        hit = repeated_windows(blob, starts, ids, at, length)
-        new = hit & ~np.concatenate([[False], hit[:-1] & (which[1:] == which[:-1])])
-        end = hit & ~np.concatenate([hit[1:] & (which[1:] == which[:-1]), [False]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[new]), pa.array(at[new].astype(np.int32)), pa.array((at[end] + length).astype(np.int32))],
-            names=["id", "start", "stop"],
-        )
+SPANS = ["kind", "id", "start", "stop", "after", "before"]
+
+
+def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Repeats: kind 0, without bytes."""
+    none = pa.nulls(len(ids), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none, none], names=SPANS)
+
+
+def _compared(length: int, gram: int, hot: int, chunk: int):
+    """A bucket of extents to the spans that repeat (kind 0) and the extents that are to be compared elsewhere (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        windows = 0
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if windows >= chunk and row[0] != rows[-1][0]:
-                    yield settle(rows)
-                    rows, windows = [], 0
-                rows.append(row)
-                windows += len(row[3]) - length + 1
-        if rows:
-            yield settle(rows)
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        ids, at = _column(rows, 2).astype(np.int64), _column(rows, 3).astype(np.int64)
+        after, after_at, after_size = _flat(rows, 0)
+        before, before_at, before_size = _flat(rows, 1)
+        rows = None
+        symbols = np.concatenate([_symbols(after, after_at, after_size), _symbols(before, before_at, before_size), ids[:, None].view(U64) ^ SIGN, at[:, None].view(U64)], axis=1)
+        width = symbols.shape[1]
+        order, shared = multikey_quicksort(symbols)
+        symbols = None
+        order, shared = order[shared < width], shared[shared < width]  # a row that is there twice is one row
+        same = shared >= width - 2
+        again = order[same]
+        yield _spans(ids[again], at[again], at[again] + before_size[again] + after_size[again])
+        heads, shared = order[~same], shared[~same]
+        # Extents of one anchor lie together: the bucket's first and last anchor may go on in its neighbours.
+        opens = np.flatnonzero(np.concatenate([[True], shared[1:] < gram // 8]))
+        counts = np.diff(np.concatenate([opens, [len(heads)]]))
+        apart = counts > hot
+        apart[[0, -1]] = True
+        elsewhere = heads[np.repeat(apart, counts)]
+        for k in range(0, len(elsewhere), 1 << 14):
+            some = elsewhere[k : k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.ones(len(some), np.int8)), pa.array(ids[some]), pa.array(at[some].astype(np.int32)), pa.array((at[some] + before_size[some] + after_size[some]).astype(np.int32)),
+                    _binary(after[_ranges(after_at[some], after_size[some])], after_size[some]), _binary(before[_ranges(before_at[some], before_size[some])], before_size[some]),
+                ],
+                names=SPANS,
+            )
+        here = np.repeat(~apart & (counts > 1), counts)
+        group = np.repeat(np.arange(len(counts)), counts)[here]
+        heads = heads[here]
+        total = np.cumsum(before_size[heads] + after_size[heads] - length + 1)
+        begin = 0
+        while begin < len(heads):
+            # Whole anchors, of some `chunk` windows together.
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk))
+            end = int(np.searchsorted(group, group[min(end, len(heads) - 1)], "right"))
+            some, begin = heads[begin:end], end
+            size = before_size[some] + after_size[some]
+            blob = np.zeros(int(size.sum()), np.uint8)
+            first = np.cumsum(size) - size
+            blob[_ranges(first, before_size[some])] = before[_ranges(before_at[some], before_size[some])]
+            blob[_ranges(first + before_size[some], after_size[some])] = after[_ranges(after_at[some], after_size[some])]
+            windows = size - length + 1
+            which, starts = np.repeat(np.arange(len(some)), windows), _ranges(first, windows)
+            own_ids, own_at = ids[some][which], at[some][which] + starts - first[which]
+            hit = repeated_windows(blob, starts, own_ids, own_at, length)
+            new = hit & ~np.concatenate([[False], hit[:-1] & (which[1:] == which[:-1])])
+            end_ = hit & ~np.concatenate([hit[1:] & (which[1:] == which[:-1]), [False]])
+            yield _spans(own_ids[new], own_at[new], own_at[end_] + length)
 
     return tidy(run)
 
 
-def _window_hashes(length: int):
+def _windows(length: int):
+    """Extents (after, before, id, start) to their windows: bytes, text and place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in pieces(batch.column(2)):
-                sizes = np.diff(texts.offsets) - length + 1
-                which = np.repeat(np.arange(len(texts)), sizes)
-                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                starts = texts.offsets[:-1][which] + step
-                ids = batch.column(0).to_numpy()[texts.first + which]
-                at = batch.column(1).to_numpy()[texts.first + which] + step
-                h = pa.array(texts.hashes(starts, starts + length).view(np.int64))
-                yield pa.RecordBatch.from_arrays([h, pa.array(ids), pa.array(at.astype(np.int32))], names=["w", "id", "at"])
+            for k in range(0, len(batch), 1024):
+                part = [batch.slice(k, 1024)]
+                after, after_at, after_size = _flat(part, 0)
+                before, before_at, before_size = _flat(part, 1)
+                size = before_size + after_size
+                first = np.cumsum(size) - size
+                blob = np.zeros(int(size.sum()), np.uint8)
+                blob[_ranges(first, before_size)] = before[_ranges(before_at, before_size)]
+                blob[_ranges(first + before_size, after_size)] = after[_ranges(after_at, after_size)]
+                windows = size - length + 1
+                which, starts = np.repeat(np.arange(len(size)), windows), _ranges(first, windows)
+                at = _column(part, 3).astype(np.int64)[which] + starts - first[which]
+                data = blob[starts[:, None] + np.arange(length)].ravel()
+                yield pa.RecordBatch.from_arrays([_binary(data, np.full(len(starts), length)), pa.array(_column(part, 2)[which]), pa.array(at.astype(np.int32))], names=["w", "id", "at"])
+
+    return tidy(run)
+
+
+def _repeated(length: int):
+    """A bucket of windows to those that repeat (kind 0), its first one (1) and its last one (2) with the bucket's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        task = TaskContext.get()
+        ids, at = _column(rows, 1).astype(np.int64), _column(rows, 2).astype(np.int64)
+        data, starts, sizes = _flat(rows, 0)
+        rows = None
+        symbols = np.concatenate([_symbols(data, starts, sizes)[:, :-1], ids[:, None].view(U64) ^ SIGN, at[:, None].view(U64)], axis=1)
+        width = symbols.shape[1]
+        order, shared = multikey_quicksort(symbols)
+        symbols = None
+        order, shared = order[shared < width], shared[shared < width]
+        again = order[shared >= width - 2]
+        chosen = np.concatenate([again, order[:1], order[-1:]])
+        kind = np.concatenate([np.zeros(len(again), np.int8), np.array([1, 2], np.int8)])
+        raw = [None] * len(again) + [data[starts[k] : starts[k] + length].tobytes() for k in (order[0], order[-1])]
+        bucket = np.full(len(chosen), task.partitionId() if task else 0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(ids[chosen]), pa.array(at[chosen].astype(np.int32)), pa.array(bucket), pa.array(raw, pa.binary())], names=["kind", "id", "start", "bucket", "w"])
 
     return tidy(run)
 
@@ -283,6 +409,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = memoryview(buffer) if buffer is not None else memoryview(b"")
             a = np.asarray(starts[i].values.to_numpy(zero_copy_only=False) if starts[i].is_valid else [], np.int64)
             b = np.asarray(stops[i].values.to_numpy(zero_copy_only=False) if stops[i].is_valid else [], np.int64)
+            a, b = a[a < len(raw)], b[a < len(raw)]
             by = np.argsort(a, kind="stable")
             a, reach = a[by], np.maximum.accumulate(np.minimum(b[by], len(raw))) if len(b) else b
             new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]])) if len(a) else a
@@ -300,10 +427,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, buckets: int | None = None
 ) -> DataFrame:
-    """(id, start, stop): byte spans, possibly overlapping, made of every window that also starts earlier."""
+    """(id, start, stop): byte spans, possibly overlapping, made of every window that also starts earlier.
+
+    gram is a multiple of 8 from 8 * LEAD to 248 bytes, length at most gram + 200. Buckets are at least buckets (by
+    default as many as shuffle partitions), and so many that they stay small.
+    """
+    if gram % 8 or not 8 * LEAD <= gram <= min(length, 248) or length > gram + 200:
+        raise ValueError("gram must be a multiple of 8 that fits the length")
     spark = docs.sparkSession
+    least = buckets or partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     whole = own.select("id", F.octet_length("text").alias("size"), F.md5(F.encode("text", "UTF-8")).alias("digest")).filter(F.col("size") >= length)
     whole = written(whole, "suffix-whole")
@@ -311,58 +445,55 @@ def repeated_spans(
     copies = whole.join(firsts, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))).filter("id > first").select("id", F.lit(0).alias("start"), F.col("size").alias("stop"))
     copies = written(copies, "suffix-copies")
     texts = without(own.filter(F.octet_length("text") >= length), copies.select("id"), "id")
-
-    runs = texts.mapInArrow(_runs(length, gram), "h long, ext long, id long, at int, shape int")
-    dealt = runs.repartition(partitions(spark), "h").sortWithinPartitions("h", "ext", "id", "at")
-    found = written(dealt.mapInArrow(_sorted_runs(length), "id long, start int, stop int, anchor int, h long, repeat boolean"), "suffix-found")
+    total = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    # Suffixes by their leading bytes; of those with a lead of their own nothing goes on.
+    leads = [f"l{k}" for k in range(LEAD)]
+    named = ", ".join(f"{c} long" for c in leads)
+    suffixes = texts.mapInArrow(_suffixes(length, gram), f"{named}, id long, spot long")
+    parts = max(least, 2 * total // (length - gram + 2) // BUCKET_SUFFIXES)
+    sorted_ = suffixes.repartitionByRange(parts, *leads, "id", "spot").mapInArrow(tidy(_shared_leads), f"kind byte, id long, spot long, {named}")
+    ties = written(sorted_, "suffix-ties")
     dropped(whole)
-
-    # First extents of anchors that have several, with their bytes.
-    open_ = found.filter("not repeat")
-    crowd = open_.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("hh", F.lit(True).alias("hot"))
-    spots = open_.join(crowd, F.col("h") == F.col("hh"), "left").groupBy(F.col("id").alias("i")).agg(
-        F.collect_list(F.struct("start", "stop", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots")
-    )
-    contexts = own.join(spots, F.col("id") == F.col("i")).select("id", F.col("text"), "spots")
-    contexts = written(
-        contexts.mapInArrow(_contexts(gram), "lead binary, id long, at int, bytes binary, hot boolean"), "suffix-contexts"
-    )
-    buckets = contexts.filter("not hot").select("lead", "id", "at", "bytes").repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead")
-    compared = buckets.mapInArrow(_compared(length, chunk), "id long, start int, stop int")
-    windows = contexts.filter("hot").select("id", "at", F.col("bytes")).mapInArrow(_binary_to_windows(length), "w long, id long, at int")
-    first = windows.groupBy(F.col("w").alias("ww")).agg(F.min(F.struct("id", "at")).alias("first"))
-    by_hash = windows.join(first, F.col("w") == F.col("ww")).filter(F.struct("id", "at") > F.col("first")).select("id", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    more = written(compared.union(by_hash), "suffix-more")
-    dropped(contexts)
-    return found.filter("repeat").select("id", "start", "stop").union(more).union(copies)
-
-
-def _binary_to_windows(length: int):
-    inner = _window_hashes(length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Bytes and text lie alike in memory; no text is decoded here.
-        for batch in batches:
-            raw = batch.column(2)
-            wide = pa.types.is_large_binary(raw.type)
-            column = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(raw), raw.buffers(), offset=raw.offset)
-            yield from inner(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=["id", "at", "b"])]))
-
-    return tidy(run)
+    edges = ties.filter("kind > 0")
+    meet = edges.groupBy(*[F.col(c).alias(f"m{c}") for c in leads]).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    across = edges.filter("kind = 1").join(meet, [F.col(c) == F.col(f"m{c}") for c in leads]).select("id", "spot")
+
+    # The others with their extents.
+    spots = ties.filter("kind = 0").select("id", "spot").union(across).groupBy(F.col("id").alias("i")).agg(F.collect_set("spot").alias("spots"))
+    known = own.join(spots, F.col("id") == F.col("i")).select("id", "text", "spots")
+    known = written(known.mapInArrow(_with_bytes(length), "after binary, before binary, id long, at int"), "suffix-extents")
+    dropped(ties)
+    parts = max(least, known.count() // BUCKET_EXTENTS)
+    sorted_ = known.repartitionByRange(parts, "after", "before", "id", "at")
+    found = written(sorted_.mapInArrow(_compared(length, gram, hot, chunk), "kind byte, id long, start int, stop int, after binary, before binary"), "suffix-found")
+    dropped(known)
+
+    # Anchors at boundaries, and crowded ones, window by window.
+    apart = found.filter("kind = 1")
+    parts = max(least, (apart.agg(F.coalesce(F.sum(F.col("stop") - F.col("start") - length + 1), F.lit(0))).first()[0]) // BUCKET_WINDOWS)
+    rows = apart.select("after", "before", "id", "start").mapInArrow(_windows(length), "w binary, id long, at int")
+    rows = rows.repartitionByRange(parts, "w", "id", "at").mapInArrow(_repeated(length), "kind byte, id long, start int, bucket int, w binary")
+    rows = written(rows, "suffix-windows")
+    last = rows.filter("kind = 2").select(F.col("w").alias("lw"), F.col("bucket").alias("lb"))
+    again = rows.filter("kind = 1").join(last, (F.col("w") == F.col("lw")) & (F.col("bucket") > F.col("lb")), "left_semi")
+    more = rows.filter("kind = 0").select("id", "start").union(again.select("id", "start")).select("id", "start", (F.col("start") + length).alias("stop"))
+    return found.filter("kind = 0").select("id", "start", "stop").union(more).union(copies)
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, buckets: int | None = None
 ) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the bytes that are left).
 
     Every byte goes that some string of `length` bytes covers which also starts earlier: in a text of
     smaller id, or before it in the same text. Texts are compared as they are given, never across
     two of them. A null text counts as empty; texts shorter than `length` stay whole; rows without an
-    id take no part and stay whole; rows that repeat an id and its text are one text and get equal results.
+    id take no part and stay whole; rows that repeat an id and its text are one text and get equal results,
+    and what repeats in one of different texts of an id goes at that place from all of them.
     An empty table gives an empty result; other columns are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram, hot, chunk)
+    spans = repeated_spans(docs, id_col, text_col, length, gram, hot, chunk, buckets)
     listed = spans.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     listed = listed.select("i", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

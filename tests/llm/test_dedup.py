@@ -99,7 +99,7 @@ def test_sketch_limit_lets_similar_pairs_pass():
     assert over == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "chunk": 50}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "chunk": 50}, {"buckets": 97}, {"buckets": 60, "hot": 1}])
 def test_repeated_strings(documents, corpus, options):
     out = suffix_dedup.without_repeats(documents, **options).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out}
@@ -114,13 +114,36 @@ def test_repeats_without_ids(spark):
     assert by[0] == (0, 0) and by[1] == by[2] and by[3] == (2, len(text))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=3), min_size=1, max_size=40))
-def test_multikey_order(rows):
+def test_a_crowded_anchor(spark):
+    """A line in most texts, with different and with equal surroundings, over more buckets than texts; a very long text as well."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{rng.integers(500)}" for _ in range(n))
+    line = "this one line stands in nearly all of the texts and is as long as a window, or somewhat longer than that is."
+    rows = [(k, f"{words(20)} {line} {words(20)}") for k in range(60)] + [(100 + k, f"same before {line} same after {words(15)}") for k in range(40)]
+    rows += [(200 + k, f"{line}{line}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"buckets": 150}, {"buckets": 7, "hot": 10}, {}):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.without_repeats(df, **options).collect()}
+        assert got == brute.without_repeats(rows)
+
+
+def test_long_texts_come_in_parts(spark):
+    rng = np.random.default_rng(9)
+    body = bytes(rng.integers(97, 123, 5 << 20, dtype=np.uint8)).decode()
+    df = spark.createDataFrame([(1, body), (2, "short"), (3, "x" + body[(1 << 20) - 300 : (1 << 20) + 400] + "y" + body[-150:])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.without_repeats(df).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (850, 2)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=3), min_size=1, max_size=60))
+def test_multikey_quicksort(rows):
     m = np.array(rows)
-    order, equal = suffix_dedup.multikey_order(m)
-    assert m[order].tolist() == sorted(rows)
-    assert equal.tolist() == [k > 0 and sorted(rows)[k] == sorted(rows)[k - 1] for k in range(len(rows))]
+    order, shared = suffix_dedup.multikey_quicksort(m)
+    want = sorted(range(len(rows)), key=lambda k: (rows[k], k))
+    assert order.tolist() == want
+    common = [next((d for d in range(3) if rows[a][d] != rows[b][d]), 3) for a, b in zip(want, want[1:], strict=False)]
+    assert shared.tolist() == [0, *common]
 
 
 @settings(max_examples=60, deadline=None)
