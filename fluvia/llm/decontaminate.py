@@ -29,7 +29,7 @@ WINDOW = 10
 #: Item text that one pass over the indexes may carry to the executors.
 BLOCK_BYTES = 32 << 20
 #: Training text that one FM-index covers; a longer text has an index of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE_STEP = 16
 #: Rows of hits that may be broadcast to the list of rows, and their bytes, after summing them.
 BROADCAST_BYTES = 32 << 20
@@ -182,37 +182,35 @@ class FMIndex:
 def _built(with_spans: bool, shard_bytes: int):
     """(id, text) rows to shards: the rows' ids and numbers of words, and the index over their words."""
 
+    def shard(number: int, ids: pa.Array, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        count = np.bincount(doc, minlength=len(ids)).astype(np.int64)
+        vocabulary, coded = np.unique(hashes, return_inverse=True)
+        sequence = np.zeros(len(hashes) + len(ids), np.int64)
+        sequence[np.arange(len(hashes)) + doc] = coded.ravel() + 1
+        index = FMIndex.of(sequence, len(vocabulary) + 1)
+        blobs = {
+            "counts": count.astype("<i4"), "vocabulary": vocabulary, "bits": index.tree.words, "zeros": index.tree.zeros,
+            "before": index.before.astype("<i4"), "marks": index.marks, "samples": index.samples.astype("<i4"),
+        } | ({"starts": starts.astype("<i4"), "ends": ends.astype("<i4")} if with_spans else {})
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in blobs.values())],
+            names=["shard", "ids", *blobs],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        shard = (task.partitionId() if task else 0) << 32
+        number = (task.partitionId() if task else 0) << 32
         for batch in batches:
-            for texts in pieces(batch.column(1), LOWER, shard_bytes):
+            first, size, parts = 0, 0, []
+            for texts in pieces(batch.column(1), LOWER):
                 starts, ends, doc = texts.words(ALNUM)
-                count = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-                vocabulary, coded = np.unique(texts.hashes(starts, ends), return_inverse=True)
-                sequence = np.zeros(len(starts) + len(texts), np.int64)
-                sequence[np.arange(len(starts)) + doc] = coded.ravel() + 1
-                index = FMIndex.of(sequence, len(vocabulary) + 1)
-                ids = batch.column(0).slice(texts.first, len(texts))
-                if isinstance(ids, pa.ChunkedArray):
-                    ids = ids.combine_chunks()
-                fields = {
-                    "shard": pa.array([shard]),
-                    "ids": pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), ids),
-                    "counts": pa.array([count.astype("<i4").tobytes()], pa.binary()),
-                    "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
-                    "bits": pa.array([index.tree.words.tobytes()], pa.binary()),
-                    "zeros": pa.array([index.tree.zeros.tobytes()], pa.binary()),
-                    "before": pa.array([index.before.astype("<i4").tobytes()], pa.binary()),
-                    "marks": pa.array([index.marks.tobytes()], pa.binary()),
-                    "samples": pa.array([index.samples.astype("<i4").tobytes()], pa.binary()),
-                }
-                if with_spans:
-                    base = texts.offsets[doc]
-                    fields["starts"] = pa.array([(starts - base).astype("<i4").tobytes()], pa.binary())
-                    fields["ends"] = pa.array([(ends - base).astype("<i4").tobytes()], pa.binary())
-                shard += 1
-                yield pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
+                base = texts.offsets[doc]
+                parts.append((texts.hashes(starts, ends), starts - base, ends - base, doc + texts.first - first))
+                size += len(texts.data)
+                after = texts.first + len(texts)
+                if size >= shard_bytes or after == len(batch):
+                    yield shard(number, batch.column(0).slice(first, after - first), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    number, first, size, parts = number + 1, after, 0, []
 
     return tidy(run)
 

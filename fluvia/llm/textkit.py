@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are laid out at once; a longer text forms a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
