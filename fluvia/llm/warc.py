@@ -1,17 +1,20 @@
 """WARC archives of pages, and their external capture index.
 
-Records are put together and written by Spark's own text writer, whose line end is the end of a WARC
-record; so archives go wherever Spark can write, compressed. Of pages with equal payloads of at
-least MIN_BYTES that with the largest id is a response and the others revisit it; groups are
-aggregated before the shuffle and only (id, id) pairs meet the pages again.
+Every record is a gzip member of its own, so a reader can seek to it. Members are packed into files of
+at most FILE_BYTES (a larger record is a file by itself), which Spark's own text writer writes, so
+archives go wherever Spark can write; a file's line end is a last, empty member. Of pages with equal
+payloads of at least MIN_BYTES that with the largest id is a response and the others revisit it;
+groups are aggregated before the shuffle and only (id, id) pairs meet the pages again.
 
 Reading an archive checks every payload's digest and gives a capture run sorted by URL key and
-timestamp. The runs are merged externally: sampled splitters range-partition the captures, and each
-partition merges its pieces of the runs by a loser tree. Partitions in order are the capture history.
+timestamp. The runs are merged externally: sampled splitters range-partition the captures into
+partitions of some RUN_ROWS, and each merges its pieces of the runs, as they arrive, by a loser tree.
+Partitions in order are the capture history.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -24,13 +27,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import BROADCAST_IDS, partitions, written
+from .textkit import tidy
 
 MIN_BYTES = 1000
-#: Records of an archive file.
-FILE_RECORDS = 2000
+#: Compressed bytes of an archive file; only a larger record exceeds them.
+FILE_BYTES = 32 << 20
+#: Captures that one task merges, on average.
+RUN_ROWS = 200_000
+#: Bytes that are unpacked at once.
+READ_BYTES = 1 << 16
 #: Time of the first capture; page n follows n seconds later, as pages carry no time of their own.
 EPOCH = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
+#: A gzip member without content, as characters that stand for its bytes.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 CAPTURES = (
     "url_key string, timestamp string, page_id long, url string, record_type string, refers_to long, "
     "payload_digest string, payload_bytes long, file string, offset long, length long"
@@ -79,12 +89,37 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return joined.select(F.concat(head, http, payload).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """Archives of all pages as gzip files under path."""
-    (
-        records(pages, **options)
-        .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    )
+def _packed(file_bytes: int):
+    """Records to files: gzip members, one a record, as many as fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            # Bytes go through the text writer as they are.
+            own = pa.array([b"".join(members)], pa.large_binary())
+            members.clear()
+            return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_string(), 1, own.buffers()).cast(pa.string())], names=["value"])
+
+        for batch in batches:
+            for record in batch.column(0):
+                member = gzip.compress(record.as_buffer().to_pybytes() + END.encode(), 6, mtime=0)
+                if members and size + len(member) > file_bytes:
+                    yield file()
+                    size = 0
+                members.append(member)
+                size += len(member)
+        if members:
+            yield file()
+
+    return tidy(run)
+
+
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, **options) -> None:
+    """Archives of all pages under path: files of gzip members, one member a record."""
+    files = records(pages, **options).mapInArrow(_packed(file_bytes), "value string")
+    files.write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -97,22 +132,46 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(labels)) + ")" + (slash or "/") + path
 
 
-def parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes, int, int]]:
-    """Header, HTTP head, payload, offset and length of every record of an unpacked archive."""
+def members(raw: memoryview) -> Iterator[tuple[bytes, int, int]]:
+    """Content, offset and length of every gzip member that has content; of unpacked bytes these themselves."""
+    if raw[:2] != b"\x1f\x8b":
+        if len(raw):
+            yield bytes(raw), 0, len(raw)
+        return
     at = 0
     while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        body = raw.index(b"\r\n\r\n", at) + 4
-        lines = raw[at : body - 4].decode().split("\r\n")[1:]
-        header = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
-        end = body + int(header["content-length"])
-        block = raw[body:end]
-        split = block.index(b"\r\n\r\n") + 4
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield header, block[:split], block[split:], at, end + 4 - at
-        at = end + 4
+        unpack, parts, to = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if to >= len(raw):
+                raise ValueError(f"the gzip member at byte {at} doesn't end")
+            parts.append(unpack.decompress(raw[to : to + READ_BYTES]))
+            to = min(to + READ_BYTES, len(raw))
+        to -= len(unpack.unused_data)
+        if any(parts):
+            yield b"".join(parts), at, to - at
+        at = to
+
+
+def parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes, int, int]]:
+    """Header, HTTP head, payload, offset and length of every record of an archive.
+
+    Offset and length are those of the record's gzip member; records that share a member share them.
+    """
+    for content, offset, length in members(memoryview(raw).cast("B")):
+        at = 0
+        while at < len(content):
+            if content[at : at + 5] != b"WARC/":
+                raise ValueError(f"no WARC record at byte {at} of the member at {offset}")
+            body = content.index(b"\r\n\r\n", at) + 4
+            lines = content[at : body - 4].decode().split("\r\n")[1:]
+            header = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
+            end = body + int(header["content-length"])
+            block = content[body:end]
+            split = block.index(b"\r\n\r\n") + 4
+            if content[end : end + 4] != END.encode():
+                raise ValueError(f"the record at byte {at} of the member at {offset} doesn't end where it says")
+            yield header, block[:split], block[split:], offset, length
+            at = end + 4
 
 
 def _page(name: str | None) -> int | None:
@@ -125,7 +184,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows = []
-            for header, http, payload, at, length in parsed(zlib.decompress(content.as_buffer(), 31)):
+            for header, http, payload, at, length in parsed(content.as_buffer()):
                 digest = header["warc-payload-digest"].removeprefix("sha1:")
                 size = int(re.search(rb"(?i)\r\ncontent-length: (\d+)", http)[1])
                 response = header["warc-type"] == "response"
@@ -184,21 +243,23 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    """A partition's pieces of runs, each in order as it arrives, to one run."""
+    rows = [b for b in batches if len(b)]
+    if not rows:
         return
+    table = pa.Table.from_batches(rows)
     keys = list(zip(table["url_key"].to_pylist(), table["timestamp"].to_pylist(), (-1 if x is None else x for x in table["page_id"].to_pylist()), range(table.num_rows), strict=True))
-    files = table["file"].to_pylist()
-    bounds = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+    # A piece of a run ends where the next key is smaller.
+    bounds = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
     order = np.fromiter((x[3] for x in LoserTree([iter(keys[a:b]) for a, b in pairwise(bounds)])), np.int64, len(keys))
-    yield from table.take(pa.array(order)).combine_chunks().to_batches(10_000)
+    for k in range(0, len(order), 10_000):
+        yield from table.take(pa.array(order[k : k + 10_000])).combine_chunks().to_batches()
 
 
 def merged_index(captures: DataFrame) -> DataFrame:
     """The capture history, in order of URL key and timestamp over all partitions, from sorted runs."""
-    keys = ["url_key", "timestamp", "page_id"]
-    dealt = captures.repartitionByRange(partitions(captures.sparkSession), *keys)
-    return dealt.sortWithinPartitions("file", *keys).mapInArrow(_merged, CAPTURES)
+    parts = max(partitions(captures.sparkSession), captures.count() // RUN_ROWS)
+    return captures.repartitionByRange(parts, "url_key", "timestamp", "page_id", "file", "offset").mapInArrow(tidy(_merged), CAPTURES)
 
 
 def archived(pages: DataFrame, path: str, **options) -> DataFrame:
