@@ -6,6 +6,7 @@ texts are equal in all of them); the distinct streams of a host are then aligned
 in classes and then class by class, and what differs becomes a text slot or an optional group. The
 wrapper tells, for every place of the template, what is fixed text of the template and what is a
 field: a text is fixed if all pages that have its place agree on it and are not copies of one page.
+Neighbours of one structure are one repeated group, whose texts are fixed only if all of them are.
 Each page is aligned with its host's wrapper.
 """
 
@@ -15,11 +16,14 @@ import html as html_lib
 import json
 import pickle
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +35,19 @@ from .url_filter import host_of
 CLASS_STREAMS = 64
 #: Bytes of streams that a task sums up before it passes them on.
 SUMMED_BYTES = 8 << 20
-#: Longest repeated group, in tokens.
-PERIOD = 12
+#: Cells of an alignment table; longer parts are cut at anchors first.
+CELLS = 1 << 18
 #: Bytes of wrappers that may be broadcast, after summing them.
 BROADCAST_BYTES = 32 << 20
 
 # Element names and words of class or id attributes.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics tspan".split()
 )
 #: Elements whose end may be left out; only their start is a token.
 OPEN_ENDED = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|title"
+RAW = "script|style|noscript|template|textarea|iframe|object|canvas|title|desc|metadata|annotation|annotation-xml"
 VOID = frozenset("area base col embed hr input link meta param source track".split())
 NEVER_MAIN = frozenset("head nav header footer aside form button select menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
@@ -95,6 +100,7 @@ def tokens(page: str) -> tuple[list[str], list[list[str]], list[int]]:
     blocks: list[list[str]] = []
     regions: list[int] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
 
     def flush() -> None:
@@ -125,10 +131,12 @@ def tokens(page: str) -> tuple[list[str], list[list[str]], list[int]]:
                 # A text after the end isn't one with the text before it.
                 continue
             out.append(f"</{name}>")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:  # an end tag that ends nothing costs nothing
+                while stack:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
             continue
         token, region = _tag(name, m[4] or "")
         around = stack[-1][1] if stack else 0
@@ -136,14 +144,37 @@ def tokens(page: str) -> tuple[list[str], list[list[str]], list[int]]:
         if name not in VOID and not (m[4] or "").endswith("/"):
             if name not in OPEN_ENDED:
                 stack.append((name, 3 if around == 3 else region or around))
+                opened[name] += 1
     flush()
     return out, blocks, regions
 
 
+def _periods(items: list, groups: set | None) -> Iterator[int]:
+    """Lengths, from 2 on, of bodies that stand twice in a row somewhere in the items as they are then, or that groups has."""
+    numbers: dict = {}
+    codes, known = None, {len(body) for body in groups or ()}
+    period = 2
+    while period <= max(len(items) // 2, max(known, default=0)):
+        if codes is None:
+            codes = np.fromiter((numbers.setdefault(x, len(numbers)) for x in items), np.int32, len(items))
+        some = period in known
+        if not some and 2 * period <= len(codes):
+            same = codes[:-period] == codes[period:]
+            if np.count_nonzero(same) >= period:
+                apart = np.flatnonzero(~same)
+                some = bool((np.diff(np.concatenate([[-1], apart, [len(same)]])) > period).any())
+        if some:
+            items = yield period
+            codes = None
+        period += 1
+
+
 def _collapsed(stream: list, groups: set | None = None) -> tuple[list, list[int]]:
     """The stream with tandem repeats as groups ('+', body), and where each item starts in it."""
     items, starts = stream, list(range(len(stream)))
-    for period in range(1, PERIOD + 1):
+    periods = _periods(items, groups)
+    period = next(periods, None)
+    while period is not None:
         out: list = []
         at: list[int] = []
         i, n, changed = 0, len(items), False
@@ -152,10 +183,9 @@ def _collapsed(stream: list, groups: set | None = None) -> tuple[list, list[int]
             j = i + period
             while j + period <= n and items[j : j + period] == body:
                 j += period
-            key = tuple(body)
             at.append(starts[i])
-            if len(body) == period and period > 1 and any(x[0] == "<" for x in body) and (j > i + period or (groups is not None and key in groups)):
-                out.append(("+", key))
+            if len(body) == period and (j > i + period or (groups is not None and tuple(body) in groups)) and any(x[0] == "<" for x in body):
+                out.append(("+", tuple(body)))
                 i, changed = j, True
             else:
                 out.append(items[i])
@@ -164,7 +194,11 @@ def _collapsed(stream: list, groups: set | None = None) -> tuple[list, list[int]
             # Neighbouring groups of one body are one group.
             kept = [k for k, x in enumerate(out) if not (k and x == out[k - 1] and isinstance(x, tuple))]
             out, at = [out[k] for k in kept], [at[k] for k in kept]
-        items, starts = out, at
+            items, starts = out, at
+        try:
+            period = periods.send(items)
+        except StopIteration:
+            period = None
     return items, starts
 
 
@@ -177,33 +211,101 @@ def bodies(items: list) -> set:
     return {x[1] for x in items if isinstance(x, tuple)}
 
 
-def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
-    """A longest common alignment of two item lists, as pairs of places."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of the pairs, given in order of their first, whose second rises as well."""
+    ends: list[int] = []  # the least last second of a run of each length
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1], last[at : at + 1] = [j], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _anchors(x: list, y: list) -> tuple[list[tuple[int, int]], bool]:
+    """Places of equal items, rising in both: of items that stand once in each; without any, of items' k-th
+    occurrences, which are then final (True)."""
+    in_x, in_y = Counter(x), Counter(y)
+    at = {item: j for j, item in enumerate(y) if in_y[item] == 1}
+    pairs = _rising([(i, at[item]) for i, item in enumerate(x) if in_x[item] == 1 and item in at])
+    if pairs:
+        return pairs, False
+    times: Counter = Counter()
+    place: dict[tuple, int] = {}
+    for j, item in enumerate(y):
+        place[item, times[item]] = j
+        times[item] += 1
+    times.clear()
+    pairs = []
+    for i, item in enumerate(x):
+        if (j := place.get((item, times[item]))) is not None:
+            pairs.append((i, j))
+        times[item] += 1
+    return _rising(pairs), True
+
+
+def _common(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
+        row, below, item = best[i], best[i + 1], x[i]
         for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+            row[j] = below[j + 1] + 1 if item == y[j] else max(below[j], row[j + 1])
+    out = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((head + i, head + j))
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append((head + i, None))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((None, head + j))
             j += 1
-    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return out
+
+
+def aligned(a: list, b: list, cells: int = CELLS) -> list[tuple[int | None, int | None]]:
+    """An alignment of two item lists, as pairs of places in order.
+
+    Equal heads and tails go together. What is between is aligned to a longest common subsequence if its table has at
+    most `cells` cells; else it is cut at items that stand once on both sides, and each part is aligned
+    likewise. So memory is bounded, and time grows with the lists' length but for the tables.
+    """
+    found: list[tuple[int, int]] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        i, m, j, n = parts.pop()
+        while i < m and j < n and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            found.append((m, n))
+        if i == m or j == n:
+            continue
+        x, y = a[i:m], b[j:n]
+        if len(x) * len(y) <= cells:
+            found += [(i + p, j + q) for p, q in _common(x, y)]
+            continue
+        anchors, final = _anchors(x, y)
+        anchors = [(i + p, j + q) for p, q in anchors]
+        found += anchors
+        if not final:
+            edges = [(i - 1, j - 1), *anchors, (m, n)]
+            parts += [(p + 1, r, q + 1, s) for (p, q), (r, s) in pairwise(edges)]
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for p, q in [*sorted(found), (len(a), len(b))]:
+        out += [(k, None) for k in range(i, p)] + [(None, k) for k in range(j, q)]
+        if p < len(a) and q < len(b):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
 
 
 class Wrapper:
@@ -252,9 +354,9 @@ class Wrapper:
                 self.places[key] = known
         return known
 
-    def is_fixed(self, place: int | None, texts: list[list[str]]) -> bool:
-        """Whether texts at a place are the template's."""
-        return place is not None and self.fixed[place] is not None and self.low[place] < self.high[place] and self.fixed[place] == _digest(texts)
+    def is_fixed(self, place: int | None, own: bytes | None) -> bool:
+        """Whether texts of this digest at a place are the template's."""
+        return place is not None and own is not None and self.low[place] < self.high[place] and self.fixed[place] == own
 
     def expression(self) -> str:
         """The wrapper as a regular expression over tokens, for people."""
@@ -312,6 +414,17 @@ def _digest(texts: list[list[str]]) -> bytes:
     return blake2b("\2".join("\1".join(t) for t in texts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _has_text(item: object) -> bool:
+    return any(map(_has_text, item[1])) if isinstance(item, tuple) else item == "#"
+
+
+def _together(digests: list[bytes | None]) -> bytes | None:
+    """The digest of the texts of several items; None if there are none, or some item's differ between pages."""
+    if len(digests) == 1:
+        return digests[0]
+    return blake2b(b"".join(digests), digest_size=16).digest() if digests and None not in digests else None
+
+
 #: Of pages of one stream: the digests of texts that are equal in all, the least and the greatest page digest.
 Summed = tuple[list, bytes, bytes]
 
@@ -334,8 +447,7 @@ def regrouped(items: tuple, known: Summed, groups: set) -> Wrapper:
     wrapper = Wrapper()
     fixed, low, high = known
     wrapper.items, starts = _collapsed(list(items), groups)
-    # Texts of a group over several items are taken for a field.
-    wrapper.fixed = [fixed[a] if b == a + 1 else None for a, b in pairwise([*starts, len(items)])]
+    wrapper.fixed = [_together([fixed[k] for k in range(a, b) if _has_text(items[k])]) for a, b in pairwise([*starts, len(items)])]
     n = len(wrapper.items)
     wrapper.optional, wrapper.low, wrapper.high, wrapper.empty = [False] * n, [low] * n, [high] * n, False
     return wrapper
@@ -369,7 +481,8 @@ def extract(page: str, wrapper: Wrapper) -> str:
     fields: list[int] = []
     for (s, e), i in zip(pairwise([*starts, len(items)]), places, strict=True):
         a, b = by_item[s][0], by_item[e - 1][1]
-        if b > a and not wrapper.is_fixed(i, blocks[a:b]):
+        own = _together([_digest(blocks[x:y]) for x, y in by_item[s:e] if y > x]) if i is not None and b > a and wrapper.fixed[i] is not None else None
+        if b > a and not wrapper.is_fixed(i, own):
             fields += (k for k in range(a, b) if regions[k] < 2)
     size = [sum(len(text) for k in fields if regions[k] == region for text in blocks[k]) for region in (0, 1)]
     if size[1] >= size[0]:

@@ -1,6 +1,9 @@
 """URL rules, main text of pages, and archives."""
 
+import gzip
 import hashlib
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -159,6 +162,63 @@ def test_collapsed_items_span_the_stream(stream):
     assert not spans or spans[-1][1] == len(stream)
 
 
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcde#"), max_size=30), st.lists(st.sampled_from("abcde#"), max_size=30), st.sampled_from([0, 20, 1 << 18]))
+def test_alignment(a, b, cells):
+    """All places once and in order, equal items together; with room for the table, as many as there can be."""
+    pairs = html_extract.aligned(a, b, cells)
+    assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+    both = [(i, j) for i, j in pairs if i is not None and j is not None]
+    assert all(a[i] == b[j] for i, j in both)
+    if cells > 900:
+        assert len(both) == longest_common(a, b)
+
+
+def test_long_pages_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+    pages = ["<body>" + "".join(f"<{rng.choice(['p', 'div', 'h2', 'section'])} class=c{rng.randrange(30)}>{rng.randrange(10**9)}</x>" for _ in range(36_000)) + "</body>" for _ in range(2)]
+    assert min(map(len, pages)) > 1_000_000
+    began = time.time()
+    tracemalloc.start()
+    wrapper = html_extract.infer(pages)
+    text = html_extract.extract(pages[0], wrapper)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text.split("\n")) == 36_000 and time.time() - began < 120 and peak < 400 << 20
+
+
+PLAIN = "<body><div><span>Daily post</span></div><ul><li>Home<li>News</ul><div><div>{title}</div>{body}</div><div><div>Write to us</div></div></body>"
+
+
+def test_pages_without_telling_names(spark):
+    """Only the wrapper tells fields from template on such pages; without it, all texts would stay."""
+    pages = [PLAIN.format(title=f"Title {k}", body="".join(f"<div>Part {k} {j}</div>" for j in range(1 + k % 3))) for k in range(6)]
+    want = ["\n".join([f"Title {k}", *(f"Part {k} {j}" for j in range(1 + k % 3))]) for k in range(6)]
+    assert whole_host(spark, pages) == want
+    bare = [html_extract.extract(p, html_extract.Wrapper()) for p in pages]
+    assert sum(x != y for x, y in zip(bare, want, strict=True)) == 6
+    assert all("Daily post" in x and "Write to us" in x for x in bare)
+
+
+def test_long_groups_and_formulas(spark):
+    item = "<dl>" + "".join(f"<div class=k{j}>#{j}</div>" for j in range(9)) + "</dl>"
+    stream, _, _ = html_extract.tokens("<body>" + item * 4 + "</body>")
+    assert any(isinstance(x, tuple) and len(x[1]) > 24 for x in html_extract.collapsed(stream))
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><svg><desc>no</desc><text>Figure</text></svg></article>"
+    assert whole_host(spark, [page]) == ["So x=2.\nFigure"]
+
+
 def test_archives(spark):
     big, other = "é" * 600, "b" * 1000
     rows = [(1, "http://www.b.org/x", big), (2, "http://a.org/", big), (3, None, big), (4, "http://a.org/", "small"), (5, "http://a.org/", "small"), (6, "http://a.org/\r\nEvil: 1", None), (7, "http://c.org/", other + "\r\n\r\nWARC/1.1\r\n\r\n"), (8, "http://c.org/", other)]
@@ -190,3 +250,60 @@ def test_damage_is_noticed():
     assert next(iter(warc.parsed(record)))[2] == b"x"
     with pytest.raises(ValueError):
         list(warc.parsed(record[:-2] + b"zz"))
+    with pytest.raises(ValueError):
+        list(warc.parsed(gzip.compress(record)[:-1]))
+
+
+def test_members_of_an_archive():
+    """One member a record, all records in one member, and no compression at all give the same records."""
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {9 + 8 * k}\r\n\r\nH: 1\r\n\r\n{'x' * (1 + 8 * k)}\r\n\r\n".encode() for k in range(0, 40_000, 9_000)]
+    several = [gzip.compress(r) for r in records]
+    empty = warc.EMPTY_MEMBER.encode("latin-1")
+    one = [(h, p) for h, _, p, _, _ in warc.parsed(b"".join(records))]
+    assert one == [(h, p) for h, _, p, _, _ in warc.parsed(gzip.compress(b"".join(records)))] and len(one) == 5
+    found = list(warc.parsed(empty + b"".join(several) + empty))
+    assert [(h, p) for h, _, p, _, _ in found] == one
+    assert [x[4] for x in found] == [len(x) for x in several] and found[0][3] == len(empty)
+
+
+def test_archive_files_are_bounded_and_seekable(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, f"http://h{k % 5}.org/{k}", rng.randbytes(3000 if k != 9 else 40_000).hex()) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    path = f"file://{tmp_path}/warc"
+    index = {r["page_id"]: r for r in warc.archived(df, path, file_bytes=20_000).collect()}
+    files = [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("part")]
+    assert len(files) > 10 and sum(p.stat().st_size > 21_000 for p in files) == 1
+    for i, _, html in rows:
+        r = index[i]
+        raw = open(r["file"].removeprefix("file:").replace("//", "/"), "rb").read()[r["offset"] : r["offset"] + r["length"]]
+        assert gzip.decompress(raw).decode().split("\r\n\r\n", 2)[2] == html + "\r\n\r\n"
+    assert list(index) == [r["page_id"] for r in sorted(index.values(), key=lambda r: (r["url_key"], r["timestamp"]))]
+
+
+def test_aliases_of_random_links(spark):
+    """Verdicts over random alias graphs against a plain union of sets."""
+    rng = random.Random(11)
+    hosts = ["a.org", "b.net", "example.com", "www.example.com", "c.info"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x'])}/{k}" for k in range(150)]
+    edges = [(rng.choice(urls), rng.choice(urls)) for _ in range(90)]
+    stated = {u: [b for a, b in edges[:45] if a == u] for u in urls}
+    pages = [page(k, u, "".join(f'<link rel=canonical href="{t}">' for t in stated[u])) for k, u in enumerate(urls)]
+    part = {u: {u} for u in urls}
+    for a, b in edges:
+        if part[a] is not part[b]:
+            part[a] |= part[b]
+            for u in part[b]:
+                part[u] = part[a]
+
+    def ruled(url):
+        host, path = re.fullmatch(r"http://([^/]*)(.*)", url).groups()
+        fits = [(len(h + p), act) for h, p, act in RULES if h and act != "maybe" and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    want = {}
+    for k, u in enumerate(urls):
+        own = {ruled(x) for x in part[u]}
+        want[k] = ruled(u) or ("block" if "block" in own and "allow" not in own else "allow")
+    got = {i: v[3] for i, v in judged(spark, pages, edges[45:]).items()}
+    assert got == want and len(set(want.values())) == 2
