@@ -21,26 +21,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, pieces, tidy
+from .textkit import LOWER, Texts, pieces, tidy
 
 ORDER = 3
 MAX_ROWS = 1500
 #: Contexts of full order seen fewer times than this, in all languages together, stay out of the trees (1: none does).
 LEAST_SEEN = 1
+#: Bytes of the table of code lengths, which every task gets.
+MODEL_BYTES = 256 << 20
 SEED = 29
 UNKNOWN = "und"
 
 
-def _alphabet(samples: list[np.ndarray]) -> np.ndarray:
+def _alphabet(samples: list[Texts]) -> np.ndarray:
     """Symbols of bytes: 0 for what no sample has (and before a text's start), else 1, 2, ..."""
     seen = np.zeros(256, bool)
-    for data in samples:
-        seen[data] = True
+    for texts in samples:
+        seen[texts.data] = True
     table = np.zeros(256, np.int32)
     table[seen] = np.arange(1, seen.sum() + 1)
     return table
 
 
+def contexts(texts: Texts, symbol: np.ndarray, size: int) -> np.ndarray:
+    """The ORDER symbols before each byte in one number, the nearest lowest; 0 stands before a text's start."""
+    n = len(symbol)
+    starts = texts.offsets[:-1][np.diff(texts.offsets) > 0]
+    out = np.zeros(n, np.int32)
+    for back in range(1, ORDER + 1):
+        part = np.zeros(n, np.int32)
+        part[back:] = symbol[:-back]
+        for k in range(back):
+            at = starts + k
+            part[at[at < n]] = 0
+        out += part * np.int32(size ** (back - 1))
+    return out
+
+
 @dataclass
 class Model:
     """langs; symbol of each byte; state of each last three symbols; nats of (state, symbol) by language."""
@@ -60,56 +77,47 @@ class Model:
             if not n:
                 continue
             symbol = self.symbols[texts.data]
-            starts = texts.offsets[:-1][np.diff(texts.offsets) > 0]
-            context = np.zeros(n, np.int32)
-            for back in range(1, ORDER + 1):  # a text's first bytes have shorter contexts
-                part = np.zeros(n, np.int32)
-                part[back:] = symbol[:-back]
-                for k in range(back):
-                    at = starts + k
-                    part[at[at < n]] = 0
-                context += part * np.int32(a ** (back - 1))
-            cell = self.states[context] * np.int32(a) + symbol
+            cell = self.states[contexts(texts, symbol, a)] * np.int32(a) + symbol
             real = np.flatnonzero(np.diff(texts.offsets) > 0)
             for k in range(len(self.langs)):
                 out[texts.first + real, k] = np.add.reduceat(self.nats[k][cell], texts.offsets[real], dtype=np.float64)
         return out
 
 
-def fit_model(texts: dict[str, list[str | None]], least_seen: int = LEAST_SEEN) -> Model:
-    """The context trees of each language's texts (whole texts, nothing cut)."""
+def fit_model(texts: dict[str, list[str | None]], least_seen: int = LEAST_SEEN, model_bytes: int = MODEL_BYTES) -> Model:
+    """The context trees of each language's texts (whole texts, nothing cut, no context over two texts).
+
+    least_seen is doubled until the table of code lengths, which grows with languages and contexts, has at most
+    model_bytes; contexts that are left out share the state of their longest shorter one.
+    """
     langs = sorted(texts)
-    samples = []
-    for lang in langs:
-        rows = [p.data for p in pieces(pa.array(texts[lang], pa.large_string()), LOWER)]
-        samples.append(np.concatenate([*rows, np.zeros(0, np.uint8)]))
-    symbols = _alphabet(samples)
+    samples = [[p for p in pieces(pa.array(texts[lang], pa.large_string()), LOWER) if len(p.data)] for lang in langs]
+    symbols = _alphabet([p for own in samples for p in own])
     a = int(symbols.max()) + 1
-    coded = [symbols[s].astype(np.int64) for s in samples]
+    coded = []
+    for own in samples:
+        parts = [(contexts(p, symbols[p.data], a), symbols[p.data]) for p in own]
+        coded.append(tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in parts)]).astype(np.int64) for k in (0, 1)))
     # Contexts of full order that are seen often enough make states of their own; others share
-    # the state of their longest shorter context.
-    grams = np.zeros(a**3, np.int64)
-    for c in coded:
-        if len(c) >= 4:
-            grams += np.bincount(c[:-3] * a * a + c[1:-2] * a + c[2:-1], minlength=a**3)
-    # context code: last symbol + a * the one before + a * a * the third, so shorter ones are remainders
+    # the state of their longest shorter context, which is the remainder of their number.
+    grams = sum((np.bincount(c, minlength=a**3) for c, _ in coded), np.zeros(a**3, np.int64))
     full = np.flatnonzero(grams >= least_seen)
+    while len(full) and (a * a + len(full)) * a * 4 * len(langs) > model_bytes:
+        least_seen *= 2
+        full = np.flatnonzero(grams >= least_seen)
     states = (np.arange(a**3, dtype=np.int64) % (a * a)).astype(np.int32)
     states[full] = a * a + np.arange(len(full), dtype=np.int32)
     count = a * a + len(full)
     nats = np.empty((len(langs), count * a), np.float32)
-    for k, c in enumerate(coded):
-        level = np.full(a, 1.0 / a)
-        level = _escaped(np.bincount(c, minlength=a)[None, :], level[None, :], np.zeros(1, np.int64))[0]
-        one = np.bincount(c[:-1] * a + c[1:], minlength=a * a).reshape(a, a)
-        one = _escaped(one, level[None, :], np.zeros(a, np.int64))
-        two = np.bincount((c[:-2] * a + c[1:-1]) * a + c[2:], minlength=a**3).reshape(a * a, a)
+    for k, (c, s) in enumerate(coded):
+        level = _escaped(np.bincount(s, minlength=a)[None, :], np.full((1, a), 1.0 / a), np.zeros(1, np.int64))
+        one = np.bincount(c % a * a + s, minlength=a * a).reshape(a, a)
+        one = _escaped(one, level, np.zeros(a, np.int64))
+        two = np.bincount(c % (a * a) * a + s, minlength=a**3).reshape(a * a, a)
         two = _escaped(two, one, np.arange(a * a) % a)
-        key = c[:-3] * a * a + c[1:-2] * a + c[2:-1]
-        place = np.searchsorted(full, key)
-        place = np.minimum(place, max(len(full) - 1, 0))
-        own = full[place] == key if len(full) else np.zeros(len(key), bool)
-        three = np.bincount(place[own] * a + c[3:][own], minlength=len(full) * a).reshape(len(full), a)
+        place = np.minimum(np.searchsorted(full, c), max(len(full) - 1, 0))
+        own = full[place] == c if len(full) else np.zeros(len(c), bool)
+        three = np.bincount(place[own] * a + s[own], minlength=len(full) * a).reshape(len(full), a)
         three = _escaped(three, two, full % (a * a))
         nats[k] = -np.log(np.concatenate([two, three])).astype(np.float32).ravel()
     return Model(langs, symbols, a, states, nats)
