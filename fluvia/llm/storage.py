@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,16 @@ BATCH_BYTES, BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Ids (longs) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Groups of rows that may be broadcast, as the largest ones of all.
+LARGE_GROUPS = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a private one is set only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a private one on this machine, for local runs only."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="fluvia-")
         atexit.register(shutil.rmtree, there, True)
         spark.sparkContext.setCheckpointDir(there)
@@ -76,6 +82,19 @@ def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
 
 
+def joined_to_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], members: str) -> DataFrame:
+    """The inner join of rows (written) with one row a group, by columns on (of rows: of groups); members counts a group's rows.
+
+    Groups of more than rows / LARGE_GROUPS rows are at most LARGE_GROUPS; these are broadcast, so the rows of a large
+    group never meet in a task. The others are joined by a shuffle.
+    """
+    limit = -(-rows.count() // LARGE_GROUPS)
+    same = reduce(lambda a, b: a & b, (F.col(r) == F.col(g) for r, g in on.items()))
+    large = F.broadcast(groups.filter(F.col(members) > limit))
+    rest = rows.join(large, same, "left_anti").join(groups.filter(F.col(members) <= limit).hint("merge"), same)
+    return rows.join(large, same).unionByName(rest)
+
+
 def among(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """The rows of docs whose key is in the one column of ids (written, distinct), which is broadcast only if it's few."""
     wanted = ids.select(F.col(ids.columns[0]).alias("__wanted"))

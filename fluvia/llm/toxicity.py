@@ -18,15 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 from .textkit import ALNUM, LOWER, U64, give_back_memory, pieces, tidy
 
 BITS = 18
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (5, 7)
-MAX_ROWS = 2500
+#: Hashed features of all kinds.
+SPACE = (1 + len(BEGINNINGS)) << BITS
+#: Labelled rows of each class that the fit is made on, and their bytes of text (a bound on what the driver gets).
+MAX_ROWS, MAX_BYTES = 4000, 64 << 20
 LEAST_ROWS = 3
 L2, PENALTY, STEPS, RATE = 1e-4, 1.0, 80, 0.1
 SEED = 17
@@ -73,15 +77,17 @@ def features(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tupl
         yield texts.first, Rows((key >> U64(BITS + 2)).astype(np.int32), feature, np.log1p(times).astype(np.float32), len(texts))
 
 
-def _all_rows(texts: list[str | None]) -> Rows:
+def _all_rows(texts: list[str | None], known: np.ndarray | None = None) -> Rows:
     rows, columns, values = [], [], []
-    for first, part in features(pa.array(texts, pa.large_string())):
-        rows.append(part.row + first)
+    for first, part in features(pa.array(texts, pa.large_string()), known):
+        rows.append(part.row + np.int32(first))
         columns.append(part.feature)
         values.append(part.value)
-    if not rows:
-        return Rows(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), len(texts))
-    return Rows(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), len(texts))
+    out = []
+    for parts, kind in ((rows, np.int32), (columns, np.int32), (values, np.float32)):
+        out.append(np.concatenate([np.zeros(0, kind), *parts]))
+        parts.clear()
+    return Rows(*out, len(texts))
 
 
 def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, turn: int = 1) -> str:
@@ -122,96 +128,116 @@ class Model:
         return tidy(run)
 
 
-def fit_model(
-    texts: list[str | None],
-    toxic: np.ndarray,
-    weight: np.ndarray | None = None,
-    groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
-    penalty: float = PENALTY,
-    least_rows: int = LEAST_ROWS,
-    l2: float = L2,
-    steps: int = STEPS,
-) -> Model:
-    """Fit on (text, label) rows; without rows of both classes the score is the share of the one there is."""
+class Fit:
+    """Labelled texts as features, and the loss to be minimised over the weights of those that count.
+
+    The loss is the weighted mean logistic loss, plus `penalty` times the weighted mean of the squared change of a score when a
+    text's identity terms are swapped, plus l2 / 2 of the squared weights (before features are scaled).
+    """
+
+    def __init__(self, texts: list[str | None], y: np.ndarray, weight: np.ndarray | None = None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = PENALTY, least_rows: int = LEAST_ROWS, l2: float = L2):
+        self.y, self.penalty, self.l2 = np.asarray(y, float), penalty, l2
+        weight = np.ones(len(self.y)) if weight is None else np.asarray(weight, float)
+        self.weight = weight / weight.sum()
+        # Texts are read twice, so that only features that count are ever held.
+        seen, pos, toxic = np.zeros(SPACE, np.int64), np.ones(SPACE), self.y.sum()
+        for first, part in features(pa.array(texts, pa.large_string())):
+            seen += np.bincount(part.feature, minlength=SPACE)
+            pos += np.bincount(part.feature[self.y[part.row + first] > 0], minlength=SPACE)
+        neg = seen - pos + 2.0
+        self.ratio = np.log(pos / (toxic + 2)) - np.log(neg / (len(self.y) - toxic + 2))
+        self.ratio[seen < least_rows] = 0
+        self.used = np.flatnonzero(self.ratio)
+        self.place = np.full(SPACE, -1, np.int32)
+        self.place[self.used] = np.arange(len(self.used))
+        self.own = self.scaled(texts)
+        self.pairs: list[tuple[np.ndarray, Rows]] = []
+        if penalty and groups:
+            for turn in range(1, min(3, max(map(len, groups)))):
+                other = [(k, s) for k, t in enumerate(texts) if t and (s := swapped(t, groups, turn)) != t]
+                if other:
+                    self.pairs.append((np.array([k for k, _ in other]), self.scaled([s for _, s in other])))
+
+    def scaled(self, texts: list[str | None]) -> Rows:
+        """Rows of the features that count, times their class ratios."""
+        rows = _all_rows(texts, self.place >= 0)
+        rows.value *= self.ratio[rows.feature].astype(np.float32)
+        rows.feature = self.place[rows.feature]
+        return rows
+
+    def loss(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """The loss and its gradient."""
+        z = np.clip(self.own.score(w, bias), -500, 500)
+        loss = float(self.weight @ (np.logaddexp(0, z) - self.y * z)) + self.l2 / 2 * float(w @ w)
+        slope = self.weight * (1 / (1 + np.exp(-z)) - self.y)
+        grad_b, grad = float(slope.sum()), self.l2 * w
+        for at, other in self.pairs:
+            change = z[at] - other.score(w, bias)
+            loss += self.penalty * float(self.weight[at] @ change**2)
+            change *= 2 * self.penalty * self.weight[at]  # the bias falls out of the difference
+            slope[at] += change
+            grad -= np.bincount(other.feature, other.value * change[other.row], len(w))
+        return loss, grad + np.bincount(self.own.feature, self.own.value * slope[self.own.row], len(w)), grad_b
+
+    def model(self, w: np.ndarray, bias: float) -> Model:
+        weights = np.zeros(SPACE, np.float32)
+        weights[self.used] = w * self.ratio[self.used]
+        return Model(weights, float(bias))
+
+
+def fit_model(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, **options) -> Model:
+    """Fit on (text, label) rows, by Adam; without rows of both classes the score is the share of the one there is."""
     y = np.asarray(toxic, float)
-    space = (1 + len(BEGINNINGS)) << BITS
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(space, np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
-    weight = weight / weight.sum()
-    own = _all_rows(texts)
-    seen = np.bincount(own.feature, minlength=space)
-    pos = np.bincount(own.feature[y[own.row] > 0], minlength=space) + 1.0
-    neg = seen - pos + 2.0
-    ratio = np.log(pos / (y.sum() + 2)) - np.log(neg / (len(y) - y.sum() + 2))
-    ratio[seen < least_rows] = 0
-    used = np.flatnonzero(ratio)
-    place = np.full(space, -1, np.int32)
-    place[used] = np.arange(len(used))
-
-    def scaled(rows: Rows) -> Rows:
-        keep = place[rows.feature] >= 0
-        feature = place[rows.feature[keep]]
-        return Rows(rows.row[keep], feature, rows.value[keep] * ratio[used][feature].astype(np.float32), rows.count)
-
-    own = scaled(own)
-    pairs: list[tuple[np.ndarray, Rows]] = []
-    if penalty and groups:
-        for turn in range(1, min(3, max(map(len, groups)))):
-            other = [(k, s) for k, t in enumerate(texts) if t and (s := swapped(t, groups, turn)) != t]
-            if other:
-                pairs.append((np.array([k for k, _ in other]), scaled(_all_rows([s for _, s in other]))))
-    w, bias = np.zeros(len(used)), float(np.log((weight * y).sum() / (weight * (1 - y)).sum()))
+        return Model(np.zeros(SPACE, np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+    fit = Fit(texts, y, weight, **options)
+    share = float(fit.weight @ y)
+    w, bias = np.zeros(len(fit.used)), float(np.log(share / (1 - share)))
     first, second, first_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = own.score(w, bias)
-        slope = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        grad_b = slope.sum()
-        grad = l2 * w
-        for at, other in pairs:
-            # Of (own score - other score)**2; the bias falls out of the difference.
-            change = 2 * penalty * weight[at] * (z[at] - other.score(w, bias))
-            slope[at] += change
-            grad -= np.bincount(other.feature, other.value * change[other.row], len(w))
-        grad += np.bincount(own.feature, own.value * slope[own.row], len(w))
+        _, grad, grad_b = fit.loss(w, bias)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         first_b, second_b = 0.9 * first_b + 0.1 * grad_b, 0.99 * second_b + 0.01 * grad_b**2
         up, down = 1 - 0.9**step, 1 - 0.99**step
         w -= RATE * (first / up) / (np.sqrt(second / down) + 1e-9)
         bias -= RATE * (first_b / up) / (np.sqrt(second_b / down) + 1e-9)
-    weights = np.zeros(space, np.float32)
-    weights[used] = w * ratio[used]
-    return Model(weights, float(bias))
+    return fit.model(w, bias)
 
 
 def remainder(id_: Column, parts: int) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % parts
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, **options) -> Model:
     """A model from the labelled texts of docs (doc_id, text) and labels (doc_id, toxic).
 
     learn says of doc_id which rows may teach. Rows without id or label are left out; of repeated
-    labels the higher counts. At most about max_rows rows of each class are fetched, chosen by a
-    hash of the id; that bound also holds for what is broadcast.
+    labels the higher counts. At most about max_rows rows of each class, and of these as many as
+    have max_bytes of text together, are fetched in the order of a hash of the id.
     """
     known = labels.filter("doc_id is not null and toxic is not null")
     if learn is not None:
         known = known.filter(learn)
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    part = F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(1 << 30))
+    known = known.withColumn("part", F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(1 << 30)))
     chosen = F.lit(False)
     for label, n in counts.items():
-        chosen = chosen | ((F.col("toxic") == label) & (part <= int(min(1.0, max_rows / n) * (1 << 30))))
-    sample = F.broadcast(known.filter(chosen))
-    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toArrow()
+        chosen = chosen | ((F.col("toxic") == label) & (F.col("part") <= int(min(1.0, max_rows / n) * (1 << 30))))
+    # The sample is bounded by max_rows, and so is what is broadcast.
+    sample = docs.select("doc_id", "text").join(F.broadcast(known.filter(chosen)), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", "part")
+    sample = written(sample, "toxicity-sample")
+    before = Window.partitionBy("toxic").orderBy("part", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sample.withColumn("before", F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before), F.lit(0)))
+    rows = sizes.filter(F.col("before") < max_bytes).select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(rows["toxic"].to_pylist(), float)
     got = {label: max(1, int((y == label).sum())) for label in counts}
     weight = np.array([counts[int(k)] / got[int(k)] for k in y])
-    model = fit_model(rows["text"].to_pylist(), y, weight, **options)
+    texts = rows["text"].to_pylist()
     del rows
+    model = fit_model(texts, y, weight, **options)
+    del texts
     give_back_memory()
     return model
 

@@ -45,6 +45,56 @@ def test_penalty_takes_the_weight_off_identity_terms():
     assert fair[2] > 0 and fair[0] < 0
 
 
+def plain_loss(texts, labels, model, used, ratio, l2, penalty):
+    """The objective by its definition, a text and a pair at a time."""
+
+    def z(text):
+        rows = toxicity._all_rows([text])
+        return sum(float(v) * float(model.weights[f]) for f, v in zip(rows.feature, rows.value, strict=True)) + model.bias
+
+    own = [z(t) for t in texts]
+    loss = sum(np.log1p(np.exp(s)) - y * s for s, y in zip(own, labels, strict=True)) / len(texts)
+    pairs = [(s, z(toxicity.swapped(t, turn=turn))) for turn in (1, 2) for t, s in zip(texts, own, strict=True) if toxicity.swapped(t, turn=turn) != t]
+    return loss + penalty / len(texts) * sum((a - b) ** 2 for a, b in pairs) + l2 / 2 * sum((model.weights[f] / ratio[f]) ** 2 for f in used)
+
+
+def test_the_fit_lowers_the_plain_loss():
+    """Loss and gradient of the fit equal the definition's: values, and differences along random directions."""
+    texts, labels = sentences(random.Random(5), 60)
+    fit = toxicity.Fit(texts, labels, penalty=2.0)
+    rng = np.random.default_rng(0)
+    w, bias = rng.normal(size=len(fit.used)), 0.3
+    loss, grad, grad_b = fit.loss(w, bias)
+    model = fit.model(w, bias)
+    assert np.isclose(loss, plain_loss(texts, labels, model, fit.used, fit.ratio, fit.l2, 2.0), rtol=1e-3)
+    for _ in range(3):
+        step = rng.normal(size=len(w))
+        up, down = (fit.loss(w + e * step, bias + e)[0] for e in (1e-4, -1e-4))
+        assert np.isclose((up - down) / 2e-4, grad @ step + grad_b, rtol=1e-3)
+    start, end = (plain_loss(texts, labels, m, fit.used, fit.ratio, fit.l2, 2.0) for m in (fit.model(np.zeros(len(w)), 0.0), toxicity.fit_model(texts, labels, penalty=2.0)))
+    assert end < start / 2
+
+
+def test_neutral_mentions_of_a_group(spark):
+    """The regularised fit reduces false positives on texts that mention a group and are not toxic."""
+    rng = random.Random(4)
+    plain = lambda n: rng.choices([f"w{k}" for k in range(60)], k=n)
+    rows = []
+    for i in range(900):
+        bad = rng.random() < 0.5
+        # Half the toxic texts have nothing else that tells them but the group that they attack.
+        own = plain(8) + (["vile"] if bad and rng.random() < 0.5 else []) + (["women"] if rng.random() < (0.8 if bad else 0.02) else [])
+        rows.append((i, " ".join(own), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral, toxic = ([" ".join([*plain(8), w]) for _ in range(200)] for w in ("women", "vile"))
+    wrong, caught = {}, {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.fit(docs, known, penalty=penalty)
+        wrong[penalty], caught[penalty] = (int((toxicity._all_rows(t).score(model.weights, model.bias) > 0).sum()) for t in (neutral, toxic))
+    assert wrong[0.0] > 100 and wrong[20.0] < wrong[0.0] / 2 and caught[20.0] > 150
+
+
 def test_scores_on_held_out_rows(spark):
     texts, labels = sentences(random.Random(2), 800, 0.3)
     model = toxicity.fit_model(texts[:500], labels[:500])
@@ -87,7 +137,51 @@ def test_language(spark):
 def test_rare_contexts_have_states_of_their_own():
     model = language_id.fit_model({"a": ["abracadabra"], "b": ["xyz"]})
     a = int(model.symbols.max()) + 1
-    assert (model.states >= a * a).sum() == len({"abr", "bra", "rac", "aca", "cad", "ada", "dab"})
+    # A text's first bytes have contexts that reach before its start.
+    assert (model.states >= a * a).sum() == len({"abr", "bra", "rac", "aca", "cad", "ada", "dab", "^^^", "^^a", "^ab", "^^x", "^xy"})
+
+
+def plain_code_length(texts, all_texts, text):
+    """Prediction by partial matching by its definition, with dictionaries; "" stands before a text's start."""
+    alphabet = {b for t in all_texts for b in t} | {""}
+    seen = {}
+    for t in texts:
+        padded = ["", "", "", *t]
+        for k in range(3, len(padded)):
+            for order in range(4):
+                own = seen.setdefault(tuple(padded[k - order : k]), {})
+                own[padded[k]] = own.get(padded[k], 0) + 1
+
+    def probability(context, symbol):
+        shorter = (lambda s: probability(context[1:], s)) if context else (lambda s: 1 / len(alphabet))
+        own = seen.get(context)
+        if not own:
+            return shorter(symbol)
+        total = sum(own.values())
+        unseen = sum(shorter(s) for s in alphabet - own.keys())
+        escape = len(own) / (total + len(own)) if unseen > 0 else 0
+        return own[symbol] / total * (1 - escape) if symbol in own else escape * shorter(symbol) / unseen
+
+    padded = ["", "", "", *(c if c in alphabet else "" for c in text)]
+    return -sum(np.log(probability(tuple(padded[k - 3 : k]), padded[k])) for k in range(3, len(padded)))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("abc ", max_size=9), min_size=1, max_size=4), st.lists(st.text("abd", min_size=1, max_size=9), min_size=1, max_size=3), st.text("abcdz ", min_size=1, max_size=12))
+def test_code_lengths_match_direct_counts(first, second, text):
+    import pyarrow as pa
+
+    model = language_id.fit_model({"x": first, "y": second})
+    got = model.code_lengths(pa.array([text, "", text]))
+    want = [plain_code_length(own, first + second, text) for own in (first, second)]
+    assert np.allclose(got[0], want, rtol=1e-4) and np.allclose(got[2], want, rtol=1e-4) and not got[1].any()
+
+
+def test_the_model_is_bounded():
+    rng = random.Random(1)
+    texts = {lang: ["".join(rng.choices("abcdefghij", k=400)) for _ in range(20)] for lang in "xyz"}
+    whole, small = language_id.fit_model(texts), language_id.fit_model(texts, model_bytes=20_000)
+    assert whole.nats.nbytes > 100_000 and small.nats.nbytes <= 20_000 and small.nats.shape[0] == 3
 
 
 def test_code_lengths_are_a_distribution():
