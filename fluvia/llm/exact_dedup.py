@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, partitions, written
+from .storage import joined_to_groups, new_path, partitions, written
 
 #: Characters that don't count when texts are compared: space, tab, line feed, vertical tab, form feed, return.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -88,7 +88,7 @@ def exact_duplicates(
     counts = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     keepers = index.read().select(F.col("digest").alias("d"), "keep_id")
     groups = counts.join(keepers, F.col("digest") == F.col("d")).select("d", "keep_id", "group_size")
-    return rows.join(groups, F.col("digest") == F.col("d")).select(
+    return joined_to_groups(rows, written(groups, "digest-groups"), {"digest": "d"}, "group_size").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .storage import among, dropped, written
+from .storage import among, dropped, joined_to_groups, written
 from .textkit import LOWER, SPACE, U64, mix, pieces, stream, tidy
 
 BANDS, ROWS, WORDS, SIMILARITY = 40, 4, 5, 0.75
@@ -226,9 +226,11 @@ def near_duplicates(
     whole = signed.filter("n > 0 and id is not null")
 
     # Classes of equal sets: the least id stands for each.
-    classes = whole.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"))
+    marked_as = {"set_a": "a", "set_b": "b", "n": "m"}
+    classes = whole.groupBy(*[F.col(c).alias(d) for c, d in marked_as.items()]).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    classes = written(classes, "minhash-classes")
     reps = written(
-        whole.join(classes.withColumnsRenamed({"set_a": "a", "set_b": "b", "n": "m"}), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("n") == F.col("m")) & (F.col("id") == F.col("rep")))
+        joined_to_groups(whole, classes, marked_as, "members").filter(F.col("id") == F.col("rep"))
         .select("id", "n", "bands", *[f"s{k}" for k in range(longs)])
         .dropDuplicates(["id"]),
         "minhash-reps",
@@ -237,11 +239,9 @@ def near_duplicates(
 
     # Members of every band that at least two classes share, beside the band's least member.
     banded = reps.select(F.col("id"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    members = written(
-        banded.join(shared.select(F.col("band").alias("b"), "least"), F.col("band") == F.col("b")).select("band", "id", "least"),
-        "minhash-bands",
-    )
+    shared = banded.groupBy(F.col("band").alias("b")).agg(F.min("id").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    shared = written(shared, "minhash-shared")
+    members = written(joined_to_groups(banded, shared, {"band": "b"}, "members").select("band", "id", "least"), "minhash-bands")
     marks = reps.select("id", "n", *[f"s{k}" for k in range(longs)])
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -327,10 +327,11 @@ def near_duplicates(
     roots = connected_components(links, "x", "y")
 
     # Back to every row: its class, the class's component, and the least id of all of them.
-    flat = classes.withColumnsRenamed({"set_a": "a", "set_b": "b", "n": "m"})
-    named = flat.join(roots, F.col("rep") == F.col("vertex"), "left").select("a", "b", "m", F.coalesce("root", "rep").alias("component"))
-    out = sizes.join(named, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("n") == F.col("m")), "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
+    named = classes.join(roots, F.col("rep") == F.col("vertex"), "left").select("a", "b", "m", "members", F.coalesce("root", "rep").alias("component"))
+    own = sizes.filter("n > 0 and id is not null")
+    out = joined_to_groups(own, written(named, "minhash-named"), marked_as, "members").select("id", "n", "component")
+    out = out.union(sizes.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    component = F.col("component")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -12,9 +12,10 @@ have it: the suffix from the anchor to the last window's end, and the bytes befo
 3. The others come with their extents, and are range-partitioned and sorted by all their bytes.
    Neighbours that are equal are repeats but for the first. The extents of one anchor that differ may
    still have equal windows: these windows are sorted by multikey quicksort as well.
-4. Anchors that lie at a boundary of buckets, or have more than HOT different extents, have their
-   windows range-partitioned and sorted as rows of their own; a bucket's last window is compared with
-   the next bucket's first.
+4. An anchor that lies at a boundary of buckets may go on in the next one: the different extents of such
+   anchors meet once more, by anchor. Anchors that then have more than HOT different extents have their
+   windows range-partitioned and sorted as rows of their own, and a bucket's last window is compared
+   with the next bucket's first.
 5. The spans found are united for each text, and cut out of it.
 """
 
@@ -28,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import dropped, partitions, without, written
+from .storage import dropped, joined_to_groups, partitions, without, written
 from .textkit import PIECE_BYTES, Texts, U64, pieces, powers, tidy
 
 LENGTH, GRAM = 100, 32
 #: Leading bytes by which suffixes are first sorted, in symbols of eight.
 LEAD = 3
-#: Different extents of one anchor that a task compares by itself.
+#: Different extents of one anchor that a task compares by itself; bounds the anchors of more, which are broadcast, as well.
 HOT = 20_000
 #: Windows that are sorted at once.
 CHUNK = 100_000
@@ -289,8 +290,11 @@ def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none, none], names=SPANS)
 
 
-def _compared(length: int, gram: int, hot: int, chunk: int):
-    """A bucket of extents to the spans that repeat (kind 0) and the extents that are to be compared elsewhere (kind 1)."""
+def _compared(length: int, gram: int, hot: int | None, chunk: int):
+    """A bucket of extents to the spans that repeat (kind 0) and the extents that are to be compared elsewhere (kind 1).
+
+    Without hot, the bucket holds all extents of its anchors, and no extent goes elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if len(b)]
@@ -312,8 +316,10 @@ def _compared(length: int, gram: int, hot: int, chunk: int):
         # Extents of one anchor lie together: the bucket's first and last anchor may go on in its neighbours.
         opens = np.flatnonzero(np.concatenate([[True], shared[1:] < gram // 8]))
         counts = np.diff(np.concatenate([opens, [len(heads)]]))
-        apart = counts > hot
-        apart[[0, -1]] = True
+        apart = np.zeros(len(counts), bool)
+        if hot is not None:
+            apart = counts > hot
+            apart[[0, -1]] = True
         elsewhere = heads[np.repeat(apart, counts)]
         for k in range(0, len(elsewhere), 1 << 14):
             some = elsewhere[k : k + (1 << 14)]
@@ -441,8 +447,8 @@ def repeated_spans(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     whole = own.select("id", F.octet_length("text").alias("size"), F.md5(F.encode("text", "UTF-8")).alias("digest")).filter(F.col("size") >= length)
     whole = written(whole, "suffix-whole")
-    firsts = whole.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min("id").alias("first"), F.max("id").alias("most")).filter("first < most")
-    copies = whole.join(firsts, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))).filter("id > first").select("id", F.lit(0).alias("start"), F.col("size").alias("stop"))
+    firsts = whole.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min("id").alias("first"), F.max("id").alias("most"), F.count("*").alias("n")).filter("first < most")
+    copies = joined_to_groups(whole, firsts, {"digest": "d", "size": "s"}, "n").filter("id > first").select("id", F.lit(0).alias("start"), F.col("size").alias("stop"))
     copies = written(copies, "suffix-copies")
     texts = without(own.filter(F.octet_length("text") >= length), copies.select("id"), "id")
     total = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -469,16 +475,23 @@ def repeated_spans(
     found = written(sorted_.mapInArrow(_compared(length, gram, hot, chunk), "kind byte, id long, start int, stop int, after binary, before binary"), "suffix-found")
     dropped(known)
 
-    # Anchors at boundaries, and crowded ones, window by window.
-    apart = found.filter("kind = 1")
-    parts = max(least, (apart.agg(F.coalesce(F.sum(F.col("stop") - F.col("start") - length + 1), F.lit(0))).first()[0]) // BUCKET_WINDOWS)
-    rows = apart.select("after", "before", "id", "start").mapInArrow(_windows(length), "w binary, id long, at int")
+    # Anchors at boundaries once more, whole; a boundary has two, so these and the crowded ones are few.
+    apart = found.filter("kind = 1").select("after", "before", "id", F.col("start").alias("at"), F.substring("after", 1, gram).alias("anchor"))
+    sizes = written(apart.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n"), F.sum(F.octet_length("after") + F.octet_length("before") - length + 1).alias("windows")), "suffix-anchors")
+    crowded = F.broadcast(sizes.filter(F.col("n") > hot).select("a"))
+    parts = max(least, (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BUCKET_EXTENTS)
+    rest = apart.join(crowded, F.col("anchor") == F.col("a"), "left_anti").repartition(parts, "anchor").drop("anchor")
+    across = written(rest.mapInArrow(_compared(length, gram, None, chunk), "kind byte, id long, start int, stop int, after binary, before binary"), "suffix-across")
+
+    # Crowded anchors window by window.
+    parts = max(least, (sizes.filter(F.col("n") > hot).agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]) // BUCKET_WINDOWS)
+    rows = apart.join(crowded, F.col("anchor") == F.col("a"), "left_semi").select("after", "before", "id", "at").mapInArrow(_windows(length), "w binary, id long, at int")
     rows = rows.repartitionByRange(parts, "w", "id", "at").mapInArrow(_repeated(length), "kind byte, id long, start int, bucket int, w binary")
     rows = written(rows, "suffix-windows")
     last = rows.filter("kind = 2").select(F.col("w").alias("lw"), F.col("bucket").alias("lb"))
     again = rows.filter("kind = 1").join(last, (F.col("w") == F.col("lw")) & (F.col("bucket") > F.col("lb")), "left_semi")
     more = rows.filter("kind = 0").select("id", "start").union(again.select("id", "start")).select("id", "start", (F.col("start") + length).alias("stop"))
-    return found.filter("kind = 0").select("id", "start", "stop").union(more).union(copies)
+    return found.filter("kind = 0").select("id", "start", "stop").union(across.select("id", "start", "stop")).union(more).union(copies)
 
 
 def without_repeats(
