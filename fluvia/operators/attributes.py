@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..network import Kind, Network, edges_of, given_back, hy, need
-from ..plans.iterate import closure, cut, levels, reach, reach_set, walk_to_root
+from ..plans.iterate import by_levels, closure, cut, forest_sums, reach, reach_set, walk_to_root
 from .topology import add_toids, add_topo_sort, with_toid
 
 
@@ -38,42 +38,24 @@ def accumulate_downstream(x: DataFrame | Network, var: str, total: bool = False)
             edges = edges.join(main, "dst", "left_semi").select("src", "dst")
         edges = cut(edges)
         if edges.groupBy("src").count().filter("count > 1").isEmpty():
-            sums = _forest_sums(facts, edges)
+            parents = facts.join(edges, F.col("id") == F.col("src"), "left").select("id", F.col("dst").alias("parent"), F.col("_w").alias("_acc"))
+            sums = forest_sums(parents, ["_acc"])
         else:
             sums = _by_levels(facts.withColumn("_f", F.lit(1.0)), edges)
     out = net.df.join(sums.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id").withColumnRenamed("_acc", f"{var}_accumulated")
     return given_back(x, net.with_df(out))
 
 
-def _forest_sums(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sums of all above in a forest, by pointer doubling downstream: each round adds twice as far."""
-    now = facts.join(edges, F.col("id") == F.col("src"), "left").select("id", F.col("dst").alias("ptr"), F.col("_w").alias("acc"))
-    now = cut(now)
-    for _ in range(66):
-        if now.filter("ptr is not null").isEmpty():
-            return now.select("id", F.col("acc").alias("_acc"))
-        given = now.filter("ptr is not null").groupBy(F.col("ptr").alias("_to")).agg(F.sum("acc").alias("_more"))
-        hop = now.select(F.col("id").alias("_at"), F.col("ptr").alias("_next"))
-        now = cut(
-            now.join(given, F.col("id") == F.col("_to"), "left").join(hop, F.col("ptr") == F.col("_at"), "left")
-            .select("id", F.col("_next").alias("ptr"), (F.col("acc") + F.coalesce("_more", F.lit(0.0))).alias("acc"))
-        )
-    raise ValueError("the network has loops")
-
-
 def _by_levels(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """own + fraction * sum of what flows in, level by level from the headwaters down."""
-    edges = cut(edges)
-    placed = cut(facts.join(levels(facts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "id"))
-    top = placed.agg(F.max("level")).first()[0] or 0
-    done = cut(placed.filter("level = 0").select("id", F.col("_w").alias("_acc")))
-    for k in range(1, top + 1):
-        here = placed.filter(F.col("level") == k)
-        given = edges.join(here.select(F.col("id").alias("dst")), "dst", "left_semi").join(done.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("_d")).agg(F.sum("_acc").alias("_in"))
-        step = here.join(given, F.col("id") == F.col("_d"), "left").select("id", (F.col("_w") + F.col("_f") * F.coalesce("_in", F.lit(0.0))).alias("_acc"))
-        done = done.union(step)
-        done = cut(done)
-    return done
+
+    def step(here: DataFrame, given: DataFrame | None) -> DataFrame:
+        if given is None:
+            return here.select("id", F.col("_w").alias("_acc"))
+        more = given.groupBy("dst").agg(F.sum("_acc").alias("_in"))
+        return here.join(more, F.col("id") == F.col("dst"), "left").select("id", (F.col("_w") + F.col("_f") * F.coalesce("_in", F.lit(0.0))).alias("_acc"))
+
+    return by_levels(facts, cut(edges), step)
 
 
 def add_pathlength(x: DataFrame | Network) -> Network | DataFrame:
@@ -150,12 +132,10 @@ def add_streamorder(x: DataFrame | Network) -> Network | DataFrame:
     div = F.coalesce(F.col("divergence") == 2, F.lit(False)) if full.has("divergence") else F.lit(False)
     edges = cut(edges_of(full.df))
     rows = full.df.groupBy("id").agg(F.max(div).alias("_minor"))
-    placed = cut(rows.join(levels(rows, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "id"))
-    top = placed.agg(F.max("level")).first()[0] or 0
-    done = cut(placed.filter("level = 0").select("id", F.lit(1).cast("long").alias("order"), F.when(F.col("_minor"), 0).otherwise(1).cast("long").alias("calc")))
-    for k in range(1, top + 1):
-        here = placed.filter(F.col("level") == k)
-        above = edges.join(here.select(F.col("id").alias("dst")), "dst", "left_semi").join(done.withColumnRenamed("id", "src"), "src")
+
+    def step(here: DataFrame, above: DataFrame | None) -> DataFrame:
+        if above is None:
+            return here.select("id", F.lit(1).cast("long").alias("order"), F.when(F.col("_minor"), 0).otherwise(1).cast("long").alias("calc"))
         seen = above.groupBy("dst").agg(
             F.max("order").alias("_all_max"),
             F.max(F.when(F.col("calc") > 0, F.col("order"))).alias("_main_max"),
@@ -165,13 +145,14 @@ def add_streamorder(x: DataFrame | Network) -> Network | DataFrame:
         zeros = F.col("_least") == 0
         most = F.when(zeros & (F.col("_most") > 0), F.col("_main_max")).otherwise(F.col("_all_max"))
         at_most = F.size(F.filter("_orders", lambda o: o == F.col("_max")))
-        step = here.join(seen.withColumn("_max", most), F.col("id") == F.col("dst"))
+        found = here.join(seen.withColumn("_max", most), F.col("id") == F.col("dst"))
         raised = ~F.col("_minor") & (at_most >= 2) & ~zeros
-        step = step.select(
+        return found.select(
             "id", F.when(raised, F.col("_max") + 1).otherwise(F.col("_max")).alias("order"),
             F.when(F.col("_minor"), 0).when(raised, F.col("_max") + 1).when(F.col("_most") > 0, F.col("_max")).otherwise(0).cast("long").alias("calc"),
         )
-        done = cut(done.union(step))
+
+    done = by_levels(rows, edges, step)
     orders = done.select(F.col("id").alias("_id"), F.col("order").alias("stream_order"), F.col("calc").alias("stream_calculator"))
     return given_back(x, net.with_df(net.df.join(orders, F.col("id") == F.col("_id"), "left").drop("_id")))
 

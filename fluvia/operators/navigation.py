@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..network import Kind, Network, edges_of, hy, need
-from ..plans.iterate import cut, reach, walk_to_root
+from ..plans.iterate import Rounds, cut, reach, walk_to_root
 from .topology import components, with_toid
 
 DIRECTIONS = ("down", "up", "downmain", "upmain")
@@ -72,10 +72,10 @@ def navigate_network_dfs(x: DataFrame | Network, starts: list, direction: str =
     ways_to = F.col("ways.to") if direction.startswith("down") else F.filter("ways.to", lambda w: w != "")
     table = table.join(part, F.col("id") == F.col("node")).select("part", "id", F.col("id").cast("string").alias("key"), ways_to.alias("ways"))
     order = {str(s): k for k, s in enumerate(starts)}
-    numeric = kind != "string"
+    numeric, number = kind != "string", float if kind in ("float", "double") else int
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        value = (lambda k: float(k)) if numeric else (lambda k: k)
+        value = (lambda k: number(k)) if numeric else (lambda k: k)
         ids = dict(zip(rows["key"], rows["id"], strict=True))
         ways = {k: sorted(w, key=lambda t: (t != "", value(t) if t else 0)) for k, w in zip(rows["key"], rows["ways"], strict=True)}
         out: list[tuple] = []
@@ -112,7 +112,9 @@ MODES = {"upmain": "UM", "downmain": "DM", "up": "UT", "down": "DD"}
 def navigate_hydro_network(x: DataFrame | Network, start, mode: str, distance: float | None = None) -> DataFrame:
     """(id): main path up (UM) or down (DM), tributaries up (UT) or diversions down (DD), within a distance in km.
 
-    Works path by path (levelpath), so rounds count tributaries passed, not features.
+    Works on the graph of main paths (levelpath): rounds count tributaries passed, and their rows are paths, not
+    features. With a distance, UT goes on from features beyond it whose minor connection
+    (dn_minor_topo_sort) leads to a feature within it, by the same distance from there.
     """
     net = hy(x)
     mode = MODES.get(mode, mode)
@@ -121,70 +123,76 @@ def navigate_hydro_network(x: DataFrame | Network, start, mode: str, distance: f
     columns = ["id", "levelpath", "topo_sort", "pathlength_km", "length_km"]
     columns += {"UM": [], "DM": ["dn_levelpath", "dn_topo_sort"], "UT": ["dn_topo_sort"], "DD": ["dn_levelpath", "dn_topo_sort"]}[mode]
     need(net, columns, f"navigation {mode}")
-    columns += ["dn_minor_topo_sort"] if mode in ("UT", "DD") and net.has("dn_minor_topo_sort") else []
-    df = cut(net.df.select(*columns).distinct())
+    minor = mode in ("UT", "DD") and net.has("dn_minor_topo_sort")
+    df = cut(net.df.select(*columns, *(["dn_minor_topo_sort"] if minor else [])).distinct())
     first = df.filter(F.col("id") == start).collect()
     if len(first) != 1:
         raise ValueError("start must be one feature of the network")
     s = first[0]
-    kind = df.select("id").schema
-    alone = df.sparkSession.createDataFrame([(start,)], kind)
-    if mode in ("UM", "UT"):
-        if distance is not None and s["length_km"] > distance:
-            return alone
-        main = df.filter((F.col("levelpath") == s["levelpath"]) & (F.col("topo_sort") >= s["topo_sort"]))
-        if mode == "UT":
-            # Minor connections add networks of their own, to which the distance isn't carried on.
-            main = _tributaries(df if distance is None else df.drop("dn_minor_topo_sort"), main.select(df.columns))
-        if distance is not None:
-            main = main.filter(F.col("pathlength_km") <= s["pathlength_km"] - s["length_km"] + distance)
-        return main.select("id").distinct()
-    if distance is not None and distance < s["length_km"]:
+    alone = df.sparkSession.createDataFrame([(start,)], df.select("id").schema)
+    if distance is not None and (s["length_km"] > distance):
         return alone
-    found = _hops(df, s, mode == "DD")
-    if distance is not None:
+    own = alone.select(F.lit(0).alias("start"), "id")
+    if mode == "UM":
+        found = df.filter((F.col("levelpath") == s["levelpath"]) & (F.col("topo_sort") >= s["topo_sort"]))
+    elif mode == "UT" and distance is not None and minor:
+        return _upstream_within(df, alone, distance)
+    else:
+        found = _spread(df, _path_links(df, minor), own, up=mode == "UT")
+    if distance is not None and mode in ("UM", "UT"):
+        found = found.filter(F.col("pathlength_km") <= s["pathlength_km"] - s["length_km"] + distance)
+    elif distance is not None:
         found = found.filter(F.col("pathlength_km") + F.col("length_km") >= s["pathlength_km"] + s["length_km"] - distance)
     return found.select("id").distinct()
 
 
-def _tributaries(df: DataFrame, main: DataFrame) -> DataFrame:
-    """main and all paths that flow to it, whole path by whole path, and what minor connections add."""
-    seen = cut(main.select([c for c in main.columns if c in df.columns]))
-    frontier = seen
-    minor = "dn_minor_topo_sort" in df.columns
-    while True:
-        at = frontier.select(F.col("topo_sort").alias("_t")).distinct()
-        rest = df.join(seen.select("id"), "id", "left_anti")
-        paths = rest.join(at, F.col("dn_topo_sort") == F.col("_t"), "left_semi").select(F.col("levelpath").alias("_l"), "topo_sort")
-        if minor:
-            paths = paths.union(rest.join(at, F.col("dn_minor_topo_sort") == F.col("_t"), "left_semi").select(F.col("levelpath").alias("_l"), "topo_sort"))
-        low = paths.groupBy("_l").agg(F.min("topo_sort").alias("_low"))
-        frontier = cut(rest.join(low, (F.col("levelpath") == F.col("_l")) & (F.col("topo_sort") >= F.col("_low"))).select(df.columns).distinct())
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
-
-
-def _hops(df: DataFrame, s, diversions: bool) -> DataFrame:
-    """The start's path downward, then on to the next path where it ends, and on through diversions."""
-    todo = cut(df.filter(F.col("id") == s["id"]).select(F.col("levelpath").alias("_l"), F.col("topo_sort").alias("_t")))
-    seen = None
-    while not todo.isEmpty():
-        top = todo.groupBy("_l").agg(F.max("_t").alias("_t"))
-        step = df.join(top, (F.col("levelpath") == F.col("_l")) & (F.col("topo_sort") <= F.col("_t"))).select(df.columns)
-        if seen is not None:
-            step = step.join(seen.select("id"), "id", "left_anti")
-        step = cut(step.select(df.columns))
-        seen = step if seen is None else cut(seen.union(step))
-        next_ = step.select(F.col("dn_topo_sort").alias("_n"))
-        if diversions and "dn_minor_topo_sort" in df.columns:
-            next_ = next_.union(step.select("dn_minor_topo_sort"))
-        next_ = next_.filter("_n is not null and _n <> 0").distinct()
-        todo = cut(
-            df.join(next_, F.col("topo_sort") == F.col("_n"), "left_semi").join(seen.select("id"), "id", "left_anti")
-            .select(F.col("levelpath").alias("_l"), F.col("topo_sort").alias("_t"))
-        )
-    return seen
+def _path_links(df: DataFrame, minor: bool) -> DataFrame:
+    """(above, above_at, below, below_at): where a path, at a feature's topo_sort, flows to a feature of another path."""
+    ways = df.select(F.col("levelpath").alias("above"), F.col("topo_sort").alias("above_at"), F.col("dn_topo_sort").alias("below_at"))
+    if minor:
+        ways = ways.union(df.select("levelpath", "topo_sort", "dn_minor_topo_sort"))
+    to = df.select(F.col("topo_sort").alias("_t"), F.col("levelpath").alias("below")).distinct()
+    return cut(ways.join(to, F.col("below_at") == F.col("_t")).filter("above <> below").select("above", "above_at", "below", "below_at").distinct())
+
+
+def _spread(df: DataFrame, links: DataFrame, starts: DataFrame, up: bool) -> DataFrame:
+    """(start, *df.columns) of all that (start, id) rows reach along whole paths and links between them, up or down.
+
+    A path is known by how far it is taken: from a topo_sort upward (up), or down from one.
+    """
+    if not up:
+        links = links.select(F.col("below").alias("above"), F.col("below_at").alias("above_at"), F.col("above").alias("below"), F.col("above_at").alias("below_at"))
+    end = F.min if up else F.max
+    beyond = (lambda a, b: a >= b) if up else (lambda a, b: a <= b)
+    begin = df.join(starts.select("start", F.col("id").alias("_s")), F.col("id") == F.col("_s")).select("start", F.col("levelpath").alias("path"), F.col("topo_sort").alias("end"))
+    taken = Rounds(df.sparkSession, begin.schema)
+    frontier = taken.append(begin.groupBy("start", "path").agg(end("end").alias("end")))
+    while not frontier.isEmpty():
+        known = taken.all().groupBy("start", "path").agg(end("end").alias("end")).select(F.col("start").alias("_s"), F.col("path").alias("_p"), F.col("end").alias("_e"))
+        step = frontier.join(links, (F.col("path") == F.col("below")) & beyond(F.col("below_at"), F.col("end"))).groupBy("start", "above").agg(end("above_at").alias("end"))
+        step = step.join(known, (F.col("start") == F.col("_s")) & (F.col("above") == F.col("_p")), "left").filter(F.col("_e").isNull() | ~beyond(F.col("end"), F.col("_e")))
+        frontier = taken.append(step.select("start", F.col("above").alias("path"), "end"))
+    known = taken.all().groupBy("start", "path").agg(end("end").alias("end"))
+    return df.join(known, (F.col("levelpath") == F.col("path")) & beyond(F.col("topo_sort"), F.col("end"))).select("start", *df.columns)
+
+
+def _upstream_within(df: DataFrame, start: DataFrame, distance: float) -> DataFrame:
+    """(id): what lies within the distance upstream, and of what flows there by minor connections only, likewise."""
+    links = _path_links(df, False)
+    begun, found = Rounds(df.sparkSession, start.schema), Rounds(df.sparkSession, start.schema)
+    frontier = begun.append(start)
+    while not frontier.isEmpty():
+        facts = df.join(frontier.select(F.col("id").alias("start")), F.col("id") == F.col("start"))
+        short = facts.filter(F.col("length_km") > distance).select("id")
+        limits = facts.filter(F.col("length_km") <= distance).select("start", "id", (F.col("pathlength_km") - F.col("length_km") + distance).alias("_far"))
+        reached = _spread(df, links, limits.select("start", "id"), up=True)
+        reached = cut(reached.join(limits.select(F.col("start").alias("_s"), "_far"), F.col("start") == F.col("_s")).withColumn("near", F.col("pathlength_km") <= F.col("_far")))
+        near = reached.filter("near")
+        found.append(near.select("id").union(short).distinct())
+        at = near.select(F.col("start").alias("_s2"), F.col("topo_sort").alias("_t"))
+        more = reached.filter("not near").join(at, (F.col("start") == F.col("_s2")) & (F.col("dn_minor_topo_sort") == F.col("_t")), "left_semi")
+        frontier = begun.append(more.select("id").distinct().join(begun.all(), "id", "left_anti"))
+    return found.all().distinct()
 
 
 def navigate_connected_paths(x: DataFrame | Network, outlets: list | tuple[list, list]) -> DataFrame:

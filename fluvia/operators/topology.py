@@ -112,30 +112,36 @@ def to_flownetwork(x: DataFrame | Network, warn_dendritic: bool = True) -> Netwo
     return given_back(x, Network(out, Kind.FLOW, net.names))
 
 
-def sorted_places(df: DataFrame) -> DataFrame:
-    """(id, toid) rows with _place (1 is furthest upstream), terminal and distance.
+def outlet_distances(df: DataFrame) -> DataFrame:
+    """(id, terminal, distance): the outlet that each id of (id, toid) rows reaches, and the longest way there.
 
-    Order: the greatest outlet first, then the longest distance to the outlet, then the id. A feature
-    that reaches several outlets counts to the greatest. A forest needs as many rounds as the
-    logarithm of its depth; other networks need one for each level.
+    A feature that reaches several outlets counts to the greatest. A forest needs as many rounds as the
+    logarithm of its depth; other networks need one for each level. A loop is an error.
     """
     base = cut(df.select("id", "toid").distinct())
     edges = cut(edges_of(base))
-    several = not edges.groupBy("src").count().filter("count > 1").isEmpty()
     nodes = base.select("id").distinct()
-    if not several:
+    if edges.groupBy("src").count().filter("count > 1").isEmpty():
         parents = nodes.join(edges, F.col("id") == F.col("src"), "left").select("id", F.col("dst").alias("parent"))
-        walked = walk_to_root(parents).select("id", F.col("root").alias("terminal"), F.col("depth").alias("distance"))
-    else:
-        far = levels(nodes, edges).withColumnRenamed("level", "distance")
-        ends = nodes.join(edges, F.col("id") == F.col("src"), "left_anti")
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = reach(back, ends.select(F.col("id").alias("start"), "id"))
-        walked = far.join(reached.groupBy("id").agg(F.max("start").alias("terminal")), "id", "left").select("id", "terminal", "distance")
+        return walk_to_root(parents).select("id", F.col("root").alias("terminal"), F.col("depth").alias("distance"))
+    far = levels(nodes, edges).withColumnRenamed("level", "distance")
+    ends = nodes.join(edges, F.col("id") == F.col("src"), "left_anti")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reached = reach(back, ends.select(F.col("id").alias("start"), "id"))
+    walked = far.join(reached.groupBy("id").agg(F.max("start").alias("terminal")), "id", "left").select("id", "terminal", "distance")
     if walked.count() < nodes.count():
         raise ValueError("the network has loops")
-    placed = positions(walked, [F.col("terminal").desc(), F.col("distance").desc(), F.col("id").asc()], "_place")
-    return base.join(placed, "id")
+    return walked
+
+
+#: The order of sorted networks: the greatest outlet first, then the longest distance to the outlet, then the id.
+PLACES = [("terminal", False), ("distance", False), ("id", True)]
+
+
+def sorted_places(df: DataFrame) -> DataFrame:
+    """(id, toid) rows with _place (1 is furthest upstream), terminal and distance."""
+    placed = positions(outlet_distances(df), [F.col(c).asc() if up else F.col(c).desc() for c, up in PLACES], "_place")
+    return df.select("id", "toid").distinct().join(placed, "id")
 
 
 def sort_network(x: DataFrame | Network, split: bool = False, outlets: list | None = None) -> Network | DataFrame:
@@ -147,12 +153,12 @@ def sort_network(x: DataFrame | Network, split: bool = False, outlets: list | No
             raise ValueError("two outlets lie in one network; a split needs independent ones")
         df = _restricted(df, outlets)
     try:
-        placed = sorted_places(df)
+        placed = outlet_distances(df)
     except ValueError:
         warnings.warn("some features are in loops and can't be sorted", stacklevel=2)
         return given_back(x, net)
-    rank = placed.select(F.col("id").alias("_id"), "_place", F.col("terminal").alias("terminal_id")).distinct()
-    out = df.join(rank, F.col("id") == F.col("_id")).drop("_id").orderBy("_place", "toid").drop("_place")
+    rank = placed.select(F.col("id").alias("_id"), F.col("terminal").alias("terminal_id"), F.col("distance").alias("_far"))
+    out = df.join(rank, F.col("id") == F.col("_id")).drop("_id").orderBy(F.col("terminal_id").desc(), F.col("_far").desc(), "id", "toid").drop("_far")
     return given_back(x, net.with_df(out if split else out.drop("terminal_id")))
 
 

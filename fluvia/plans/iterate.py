@@ -1,42 +1,82 @@
-"""Fixed points over DataFrames. Every round's rows are checkpointed in the folder that all executors share."""
+"""Fixed points over DataFrames. Every round's rows are written in the folder that all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAX_ROUNDS = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and without lineage, under spark.checkpoint.dir (a private folder where that is unset)."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a private one on this machine, for local runs only."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        there = spark.conf.get("spark.checkpoint.dir", None)
         if not there:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             there = tempfile.mkdtemp(prefix="fluvia-")
             atexit.register(shutil.rmtree, there, True)
         context.setCheckpointDir(there)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and without lineage, under spark.checkpoint.dir."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Rows that rounds append to, as a table in the shared folder: what is there is never written again.
+
+    With by, the rows lie in a folder for each value of that column, so one value's rows are read alone.
+    """
+
+    def __init__(self, spark: SparkSession, schema: StructType, by: str | None = None):
+        self.spark, self.by, self.schema = spark, by, schema
+        self.path = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        self.rounds = 0
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write rows as the next round's, and give them back as they were read again."""
+        rows = df.select(self.schema.names)
+        (rows.write.partitionBy(self.by) if self.by else rows.write).parquet(f"{self.path}/round={self.rounds}")
+        self.rounds += 1
+        return self.round(self.rounds - 1)
+
+    def round(self, k: int) -> DataFrame:
+        """What the k-th call appended."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={k}").select(self.schema.names)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(self.schema.names)
+
+    def where(self, value: int) -> DataFrame:
+        """The rows with that value of the column by, of all rounds."""
+        return self.all().filter(F.col(self.by) == value)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(start, id): all that each (start, id) row of seeds reaches along (src, dst) edges, itself included.
 
-    Semi-naive: only what the last round found is joined with the edges again.
+    Semi-naive: only what the last round found is joined with the edges again, and only that is written.
     """
-    frontier = cut(seeds.select("start", "id").distinct())
-    seen = frontier
+    first = seeds.select("start", "id").distinct()
+    seen = Rounds(seeds.sparkSession, first.schema)
+    frontier = seen.append(first)
     for _ in range(max_rounds):
-        step = frontier.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, ["start", "id"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
+            return seen.all()
+        step = frontier.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        frontier = seen.append(step.join(seen.all(), ["start", "id"], "left_anti"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
@@ -92,24 +132,84 @@ def walk_to_root(nodes: DataFrame, sums: list[str] | None = None) -> DataFrame:
     raise ValueError("the network has loops")
 
 
+def forest_sums(nodes: DataFrame, names: list[str], how=F.sum) -> DataFrame:
+    """(id, *names) of a forest of (id, parent, *names): each column summed up over all that flows to a node, its own included.
+
+    how is an aggregate that may join parts in any order (sum, max, bit_xor and the like). As many rounds
+    as the logarithm of the depth: each adds what is twice as far. A parent that is no id ends a path.
+    """
+    joined = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.bit_xor: lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0)))}[how]
+    ids = nodes.select(F.col("id").alias("_k"))
+    now = cut(nodes.join(ids, F.col("parent") == F.col("_k"), "left").select("id", F.col("_k").alias("ptr"), *names))
+    for _ in range(66):
+        if now.filter("ptr is not null").isEmpty():
+            return now.select("id", *names)
+        given = now.filter("ptr is not null").groupBy(F.col("ptr").alias("_to")).agg(*[how(c).alias(f"_{c}") for c in names])
+        hop = now.select(F.col("id").alias("_at"), F.col("ptr").alias("_next"))
+        now = cut(
+            now.join(given, F.col("id") == F.col("_to"), "left").join(hop, F.col("ptr") == F.col("_at"), "left")
+            .select("id", F.col("_next").alias("ptr"), *[joined(F.col(c), F.col(f"_{c}")).alias(c) for c in names])
+        )
+    raise ValueError("the network has loops")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest path of (src, dst) edges from each id to one without edges out; 0 there.
 
-    A round for every level; a loop is an error, as its nodes would rise for ever.
+    Where no id is the dst of several edges, these are a forest, and the rounds follow the logarithm of its
+    depth: an id's level is how much deeper the deepest id below it lies. Else a round for every level,
+    which writes that level's ids alone; a loop is an error, as its ids would rise for ever.
     """
-    ends = nodes.select("id").join(edges.select(F.col("src").alias("id")), "id", "left_anti").distinct()
-    frontier = cut(ends.select("id", F.lit(0).cast("long").alias("level")))
-    found, limit, level = frontier, nodes.select("id").distinct().count(), 0
-    back = edges.select("src", "dst").distinct()
+    ids = nodes.select("id").distinct()
+    back = cut(edges.select("src", "dst").distinct())
+    if back.groupBy("dst").count().filter("count > 1").isEmpty():
+        parents = ids.join(back, F.col("id") == F.col("dst"), "left").select("id", F.col("src").alias("parent"))
+        deep = walk_to_root(parents).select("id", "depth")
+        below = forest_sums(parents.join(deep, "id").select("id", "parent", F.col("depth").alias("most")), ["most"], F.max)
+        return cut(deep.join(below, "id").select("id", (F.col("most") - F.col("depth")).alias("level")))
+    first = ids.join(back.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("level"))
+    found, limit, level = Rounds(nodes.sparkSession, first.schema), ids.count(), 0
+    frontier = found.append(first)
     while not frontier.isEmpty():
         level += 1
         if level > limit:
             raise ValueError("the network has loops")
-        frontier = cut(
+        frontier = found.append(
             frontier.join(back, F.col("id") == F.col("dst")).select(F.col("src").alias("id")).distinct().withColumn("level", F.lit(level).cast("long"))
         )
-        found = cut(found.union(frontier)) if level % 8 == 0 else found.union(frontier)
-    return cut(found.groupBy("id").agg(F.max("level").alias("level")))
+    return cut(found.all().groupBy("id").agg(F.max("level").alias("level")))
+
+
+def by_levels(facts: DataFrame, edges: DataFrame, step) -> DataFrame:
+    """Values of ids level by level, from those without (src, dst) edges in.
+
+    step(rows, given) gets a level's facts (id, ...) and what their edges bring (dst and the values of src), or None
+    for the first level, and returns (id, values...). Every row is written once and read once: edges lie by the
+    level of their src, and what they bring by that of their dst.
+    """
+    spark = facts.sparkSession
+    placed = cut(facts.join(levels(facts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("id").alias("_i"), "level"), F.col("id") == F.col("_i")).drop("_i"))
+    top = placed.agg(F.max("level")).first()[0]
+    rows = Rounds(spark, placed.schema, "level")
+    rows.append(placed.repartition("level"))
+    at = placed.select(F.col("id").alias("_n"), "level")
+    known = edges.join(at.withColumnRenamed("level", "from"), F.col("src") == F.col("_n")).drop("_n").join(at.withColumnRenamed("level", "to"), F.col("dst") == F.col("_n")).select("src", "dst", "to", "from")
+    ways = Rounds(spark, known.schema, "from")
+    ways.append(known.repartition("from"))
+    done = given = None
+    for k in range((top if top is not None else 0) + 1):
+        here = rows.where(k).drop("level")
+        values = step(here, None if not k else given.where(k).drop("to"))
+        if done is None:
+            done = Rounds(spark, values.schema)
+        fresh = done.append(values)
+        if top is None or k == top:
+            break
+        brought = ways.where(k).join(fresh.withColumnRenamed("id", "_i"), F.col("src") == F.col("_i")).drop("src", "from", "_i")
+        if given is None:
+            given = Rounds(spark, brought.schema, "to")
+        given.append(brought)
+    return done.all()
 
 
 def positions(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
