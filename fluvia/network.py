@@ -124,6 +124,25 @@ def given_back(x: DataFrame | Network, net: Network) -> Network | DataFrame:
     return net if isinstance(x, Network) else hy_reverse(net)
 
 
+def get_geometry(net: Network) -> DataFrame | None:
+    """(id, geometry), one row an id, to be put aside while rows are shuffled; None without geometry."""
+    if not net.has("id", GEOMETRY):
+        return None
+    return net.df.select("id", GEOMETRY).dropDuplicates(["id"])
+
+
+def without_geometry(net: Network) -> Network:
+    return net.with_df(net.df.drop(GEOMETRY)) if net.has(GEOMETRY) else net
+
+
+def put_geometry(net: Network, geometry: DataFrame | None) -> Network:
+    """The network with the geometry that get_geometry took from it; rows without one have null."""
+    if geometry is None:
+        return net
+    own = geometry.select(F.col("id").alias("_g"), GEOMETRY)
+    return net.with_df(net.df.drop(GEOMETRY).join(own, F.col("id") == F.col("_g"), "left").drop("_g"))
+
+
 def network_type(x: DataFrame | Network) -> str:
     """The most specific kind."""
     return hy(x).kind.name

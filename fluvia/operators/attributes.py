@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..network import Kind, Network, edges_of, given_back, hy, need
+from ..network import Kind, Network, edges_of, get_geometry, given_back, hy, need, put_geometry, without_geometry
 from ..plans.iterate import by_levels, closure, cut, forest_sums, reach, reach_set, walk_to_root
 from .topology import add_toids, add_topo_sort, with_toid
 
@@ -26,9 +26,7 @@ def accumulate_downstream(x: DataFrame | Network, var: str, total: bool = False)
     facts = cut(facts)
     edges = edges_of(df)
     if total:
-        pairs = closure(edges)
-        above = pairs.join(facts.select(F.col("id").alias("src"), "_w"), "src").groupBy(F.col("dst").alias("_d")).agg(F.sum("_w").alias("_up"))
-        sums = facts.join(above, F.col("id") == F.col("_d"), "left").select("id", (F.col("_w") + F.coalesce("_up", F.lit(0.0))).alias("_acc"))
+        sums = _total_sums(facts, edges)
     elif full.kind is Kind.FLOW and full.has("divergence_fraction"):
         fraction = df.groupBy("id").agg(F.coalesce(F.max("divergence_fraction"), F.lit(1.0)).alias("_f"))
         sums = _by_levels(facts.join(fraction, "id"), edges)
@@ -46,6 +44,48 @@ def accumulate_downstream(x: DataFrame | Network, var: str, total: bool = False)
     return given_back(x, net.with_df(out))
 
 
+def bridge_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) edges of an acyclic graph in two tables: those whose removal parts all above from the rest, and the others.
+
+    The least way down of each id makes a forest. Every other edge puts a random number on both its ends; an
+    edge of the forest lies on no cycle if the numbers above it cancel out in an exclusive or.
+    """
+    edges = cut(edges)
+    tree = edges.groupBy("src").agg(F.min("dst").alias("parent"))
+    rest = cut(edges.join(tree.withColumnRenamed("src", "_s"), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("parent")), "left_anti"))
+    marks = rest.withColumn("_x", F.xxhash64("src", "dst"))
+    marks = marks.select(F.col("src").alias("_n"), "_x").union(marks.select("dst", "_x")).groupBy("_n").agg(F.bit_xor("_x").alias("_x"))
+    own = nodes.select("id").join(tree, F.col("id") == F.col("src"), "left").join(marks, F.col("id") == F.col("_n"), "left")
+    crossed = forest_sums(own.select("id", "parent", F.coalesce("_x", F.lit(0).cast("long")).alias("_x")), ["_x"], F.bit_xor)
+    tree = tree.join(crossed, F.col("src") == F.col("id")).select("src", F.col("parent").alias("dst"), (F.col("_x") == 0).alias("alone"))
+    tree = cut(tree)
+    return tree.filter("alone").select("src", "dst"), rest.union(tree.filter("not alone").select("src", "dst"))
+
+
+def _total_sums(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, _acc): the sum over all ids that reach each id, itself included, each counted once.
+
+    Pairs are made only between ids that cycles join. All else comes over bridges, and the sums above two of
+    them have nothing in common: these are added up by doubling along the bridges.
+    """
+    bridges, others = bridge_edges(facts, edges)
+    same = facts.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    inside = cut(closure(others).union(same))
+    base = cut(inside.join(facts.select(F.col("id").alias("_i"), "_w"), F.col("src") == F.col("_i")).groupBy(F.col("dst").alias("id")).agg(F.sum("_w").alias("_acc")))
+    # Of ids that end at a bridge: the next such ids that they reach behind it.
+    ends = bridges.select(F.col("src").alias("_b"))
+    ways = bridges.join(inside.select(F.col("src").alias("_in"), F.col("dst").alias("_at")), F.col("dst") == F.col("_in")).join(ends, F.col("_at") == F.col("_b")).select("src", F.col("_at").alias("dst"))
+    ways = cut(ways)
+    now = cut(base.join(ends, F.col("id") == F.col("_b"), "left_semi"))
+    while not ways.isEmpty():
+        more = ways.join(now, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("_d")).agg(F.sum("_acc").alias("_more"))
+        now = cut(now.join(more, F.col("id") == F.col("_d"), "left").select("id", (F.col("_acc") + F.coalesce("_more", F.lit(0.0))).alias("_acc")))
+        ways = cut(ways.join(ways.select(F.col("src").alias("_m"), F.col("dst").alias("_n")), F.col("dst") == F.col("_m")).select("src", F.col("_n").alias("dst")))
+    brought = bridges.join(now, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("_in")).agg(F.sum("_acc").alias("_from"))
+    brought = inside.join(brought, F.col("src") == F.col("_in")).groupBy(F.col("dst").alias("_d")).agg(F.sum("_from").alias("_from"))
+    return base.join(brought, F.col("id") == F.col("_d"), "left").select("id", (F.col("_acc") + F.coalesce("_from", F.lit(0.0))).alias("_acc"))
+
+
 def _by_levels(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """own + fraction * sum of what flows in, level by level from the headwaters down."""
 
@@ -79,7 +119,9 @@ def add_levelpaths(
     else, and between equals, that of the largest weight, then the smallest topo_sort. With
     override_factor only weights count, those of features with the name below times the factor.
     """
-    net = with_toid(hy(x))
+    net = hy(x)
+    aside = get_geometry(net)
+    net = with_toid(without_geometry(net))
     name, weight = (next((c for c in net.df.columns if c == a or c.lower() == a.lower()), a) for a in (name_attribute, weight_attribute))
     need(net, ["id", "toid", name, weight], "add_levelpaths")
     if not net.has("topo_sort"):
@@ -104,7 +146,7 @@ def add_levelpaths(
     paths = walked.join(ends, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), F.col("root").alias("levelpath_outlet_id"), "levelpath")
     out = df.join(paths, F.col("id") == F.col("_id")).drop("_id")
     first = ["id", "toid", "levelpath_outlet_id", "topo_sort", "levelpath"]
-    return given_back(x, net.with_df(out.select(*first, *[c for c in out.columns if c not in first])))
+    return given_back(x, put_geometry(net.with_df(out.select(*first, *[c for c in out.columns if c not in first])), aside))
 
 
 def add_streamlevel(x: DataFrame | Network, coastal: str | None = None) -> Network | DataFrame:

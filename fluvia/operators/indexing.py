@@ -98,13 +98,19 @@ def index_points_to_waterbodies(waterbodies: DataFrame, points: DataFrame, searc
     rings = waterbodies.select("wbid", "geom")
     vertices = rings.select("wbid", F.explode(F.flatten("geom")).alias("_v")).select("wbid", F.col("_v.x").alias("vx"), F.col("_v.y").alias("vy"))
     closest = near(own, vertices, search_radius).groupBy(F.col("point_id").alias("_p")).agg(F.min(F.struct("_d", "wbid")).alias("_n"))
-    # Containment: polygons and points meet in the grid cells of the polygons' boxes.
+    # Containment: polygons and points meet in grid cells. A polygon lies in the grid whose cells are as large as its box,
+    # to the next power of two, so it touches four cells at most, and points look into each grid that has polygons.
     boxed = rings.select(
         "wbid", "geom", *[F.expr(f"array_{k}(transform(element_at(geom, 1), p -> p.{axis}))").alias(f"{k}_{axis}") for k in ("min", "max") for axis in ("x", "y")]
     )
-    size = boxed.agg(F.max(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 1.0
-    cells = boxed.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_x") / size), F.floor(F.col("max_x") / size)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_y") / size), F.floor(F.col("max_y") / size))))
-    inside = own.join(cells, (F.floor(F.col("px") / size) == F.col("_cx")) & (F.floor(F.col("py") / size) == F.col("_cy")))
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
+    boxed = boxed.withColumn("_grid", F.ceil(F.log2(side)).cast("int"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_grid")))
+    cells = boxed.withColumn("_cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("_cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+    grids = [r["_grid"] for r in boxed.select("_grid").filter("_grid is not null").distinct().collect()]  # as many as doubles have powers, at most
+    probes = own.withColumn("_grid", F.explode(F.array(*[F.lit(k) for k in grids]).cast("array<int>"))).withColumn("_px", cell("px")).withColumn("_py", cell("py"))
+    probes = probes.withColumnRenamed("_grid", "_g")
+    inside = probes.join(cells, (F.col("_g") == F.col("_grid")) & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
     inside = inside.filter(F.col("px").between(F.col("min_x"), F.col("max_x")) & F.col("py").between(F.col("min_y"), F.col("max_y")) & g.in_polygon(g.point("px", "py"), "geom"))
     within = inside.groupBy(F.col("point_id").alias("_q")).agg(F.min("wbid").alias("in_wbid"))
     out = own.join(closest, F.col("point_id") == F.col("_p"), "left").join(within, F.col("point_id") == F.col("_q"), "left")

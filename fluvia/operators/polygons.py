@@ -1,8 +1,9 @@
-"""Polygon unions of noded coverages, and structural repair.
+"""Polygon unions, and repair of polygons.
 
-Polygons of a coverage share their edges. A group's union has those directed edges whose opposite no
-polygon of the group has; cancelling them is an aggregation over all edges, and only what is left, a
-group's outline, is joined to rings in one task.
+Polygons of a coverage share their edges. Directed edges whose opposite another polygon of the group has cancel
+out, which is an aggregation over all edges; cancelling changes no winding number. Only what is left, a
+group's outline and the edges of overlaps, meets in one task: there it is split where it crosses, what
+other polygons cover is left out, and the rest is joined to rings.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.overlay import Edge, noded, outline
 
 
 def _directed(rings: Column) -> Column:
@@ -24,14 +26,18 @@ def _directed(rings: Column) -> Column:
 
 def dissolve_polygons(
     polys: DataFrame, group_id: str, fns: dict[str, Callable[[str], Column]] | None = None, max_hole_area: float = math.inf,
-    gap_tolerance: float = 0.0, single_polygon: bool = False,
+    gap_tolerance: float = 0.0, single_polygon: bool = False, crs: int | None = None, work_crs: int | None = None,
 ) -> DataFrame:
     """One row a group: the union as parts (array of polygons), without holes smaller than max_hole_area.
 
     polys has group_id and geom (rings; parts of a multipolygon as rows). fns makes columns: name to a
     function of the column. gap_tolerance snaps vertices to a grid of that size, which closes gaps up to
-    half of it. single_polygon keeps the largest part.
+    half of it. single_polygon keeps the largest part. Polygons may overlap, touch in the middle of an edge or lie
+    in one another; each must be valid by itself (check_valid). With work_crs, geometry comes in crs and areas,
+    tolerances and the result are in work_crs (4326 and 5070).
     """
+    if work_crs is not None and crs is not None:
+        polys = polys.withColumn("geom", F.transform("geom", lambda r: g.reprojected(r, crs, work_crs)))
     rings = polys.select(F.col(group_id).alias("_g"), F.explode(_directed(F.col("geom"))).alias("_r"))
     edges = rings.select("_g", F.explode(g.segments("_r")).alias("_e")).select("_g", *[F.col(f"_e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
     if gap_tolerance:
@@ -45,7 +51,8 @@ def dissolve_polygons(
     kind = polys.schema[group_id].dataType.simpleString()
 
     def stitched(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = _polygons(_rings(rows), max_hole_area)
+        edges = [((px, py), (qx, qy), int(way)) for px, py, qx, qy, way in rows[["px", "py", "qx", "qy", "way"]].itertuples(index=False)]
+        parts = _polygons(_rings(outline(edges)), max_hole_area)
         if single_polygon and parts:
             parts = [max(parts, key=lambda p: abs(_area(p[0])) - sum(abs(_area(h)) for h in p[1:]))]
         shaped = [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in parts]
@@ -63,12 +70,11 @@ def _area(ring: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
 
 
-def _rings(rows: pd.DataFrame) -> list[list[tuple[float, float]]]:
+def _rings(edges: list[Edge]) -> list[list[tuple[float, float]]]:
     """Directed edges joined to rings; at a vertex with several ways on, the sharpest turn left closes the smaller ring."""
     onward: dict[tuple, list[tuple]] = {}
-    for px, py, qx, qy, way in rows[["px", "py", "qx", "qy", "way"]].itertuples(index=False):
-        a, b = ((px, py), (qx, qy)) if way > 0 else ((qx, qy), (px, py))
-        onward.setdefault(a, []).extend([b] * abs(int(way)))
+    for a, b, _ in edges:
+        onward.setdefault(a, []).append(b)
     out = []
     for start in sorted(onward):
         while onward[start]:
@@ -110,7 +116,9 @@ def check_valid(df: DataFrame, source: int | None = None, target: int | None = N
     """Lines or rings in order: rows without geometry go, repeated vertices and empty or flat rings too,
     rings are closed and directed, and coordinates reprojected (4326, 5070).
 
-    Crossing edges are not taken apart; a column `simple` says for polygons whether no ring touches itself at a vertex.
+    Polygons whose rings cross, overlap or touch themselves or each other are taken apart: what an odd number of rings is
+    around is inside. One of several parts gives a row for each, with its number in `part`; `simple`
+    says which were whole as they came.
     """
     kind = df.schema["geom"].dataType.simpleString()
     step = lambda line: F.aggregate(line, F.slice(line, 1, 0), lambda s, p: F.when((F.size(s) > 0) & (F.element_at(s, -1) == p), s).otherwise(F.concat(s, F.array(p))))
@@ -119,7 +127,27 @@ def check_valid(df: DataFrame, source: int | None = None, target: int | None = N
     if not kind.startswith("array<array"):
         return out.withColumn("geom", move(step(F.col("geom")))).filter("size(geom) > 1")
     closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    turn = lambda a, b, p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    flat = lambda r: F.forall(r, lambda p: turn(F.element_at(r, 1), F.element_at(r, 2), p) == 0)
     rings = F.transform(F.filter("geom", lambda r: F.size(r) > 2), lambda r: closed(step(r)))
-    out = out.withColumn("geom", F.filter(rings, lambda r: (F.size(r) > 3) & (g.ring_area(r) != 0))).filter("size(geom) > 0")
-    out = out.withColumn("simple", F.forall("geom", lambda r: F.size(F.array_distinct(r)) == F.size(r) - 1))
-    return out.withColumn("geom", F.transform(_directed(F.col("geom")), move))
+    out = out.withColumn("geom", F.filter(rings, lambda r: (F.size(r) > 3) & ~flat(r))).filter("size(geom) > 0")
+    own = out.withColumn("_parts", F.pandas_udf(_taken_apart, "array<array<array<array<double>>>>")(F.transform("geom", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))))
+    own = own.withColumn("simple", F.col("_parts").isNull())
+    parts = F.transform("_parts", lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: g.point(p[0], p[1]))))
+    own = own.select(*[c for c in own.columns if c not in ("geom", "_parts")], F.posexplode(F.coalesce(parts, F.array(F.col("geom")))).alias("part", "geom"))
+    own = own.select(*[c for c in df.columns if c != "geom"], "geom", "part", "simple")
+    return own.withColumn("geom", F.transform(_directed(F.col("geom")), move))
+
+
+def _taken_apart(geoms: pd.Series) -> pd.Series:
+    """The parts of each polygon whose rings meet themselves or each other; null for those that are as they should be."""
+    out = []
+    for rings in geoms:
+        points = [[(float(p[0]), float(p[1])) for p in ring] for ring in rings]
+        edges = [(a, b, 1) for ring in points for a, b in zip(ring, ring[1:], strict=False)]
+        if len({a for a, _, _ in edges}) == len(edges) and len(noded(edges)) == len(edges):
+            out.append(None)
+            continue
+        parts = _polygons(_rings(outline(edges, lambda w: w % 2 == 1)), 0.0)
+        out.append([[[[x, y] for x, y in ring] for ring in part] for part in parts])
+    return pd.Series(out, dtype=object)

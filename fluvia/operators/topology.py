@@ -7,6 +7,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..network import Kind, Network, edges_of, given_back, hy, need, outlet_value
 from ..plans.iterate import cut, levels, positions, reach, reach_set, walk_to_root
@@ -231,6 +232,24 @@ def check_hy_graph(x: DataFrame | Network, loop_check: bool = False) -> DataFram
     return df.join(other, (F.col("id") == F.col("_b")) & (F.col("toid") == F.col("_a")), "left_semi")
 
 
+def check_hy_outlets(x: DataFrame | Network, fix: bool = False) -> Network | DataFrame:
+    """x, with a warning if id and toid aren't both text or both not; fix gives all outlets the outlet mark.
+
+    Marks that tell outlets apart are lost by that.
+    """
+    net = hy(x)
+    need(net, ["id", "toid"], "check_hy_outlets")
+    text = [isinstance(net.df.schema[c].dataType, StringType) for c in ("id", "toid")]
+    if text[0] != text[1]:
+        warnings.warn("one of id and toid is text and the other is not; outlets may not be told", stacklevel=2)
+    if not fix:
+        return given_back(x, net)
+    ids = net.df.select(F.col("id").cast(net.df.schema["toid"].dataType).alias("_known")).distinct()
+    joined = net.df.join(ids, F.col("toid") == F.col("_known"), "left")
+    mark = outlet_value(net.df).cast(net.df.schema["toid"].dataType)
+    return given_back(x, net.with_df(joined.withColumn("toid", F.when(F.col("_known").isNull(), mark).otherwise(F.col("toid"))).drop("_known")))
+
+
 def loop_features(df: DataFrame) -> DataFrame:
     """(id) of features on loops or between loops: what is left when ends and headwaters are peeled off."""
     edges = cut(edges_of(df))

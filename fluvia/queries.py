@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .network import Network, capabilities, hy, outlets_of
+from .network import Network, capabilities, get_geometry, hy, hy_reverse, is_dendritic, is_hy, network_type, outlets_of, put_geometry, without_geometry
 from .operators import attributes, indexing, navigation, polygons, topology
-from .schema import align_names
+from .plans.iterate import checkpoint_dir
+from .schema import alias_names, align_names, name_definitions
+from .sources.files import read_csv, read_geojson
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,7 +145,10 @@ def outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlets_of(hy(forest(spark, sf_dir)).df).select("id", "toid")
 
 
-@query()
+@query("""SELECT operator, operator NOT IN ('add_pfafstetter', 'add_streamlevel', 'to_flownetwork', 'make_attribute_topology', 'index_points_to_lines') AS available
+FROM (VALUES ('sort_network'), ('add_topo_sort'), ('add_levelpaths'), ('add_streamorder'), ('accumulate_downstream'), ('navigate_network_dfs'), ('make_index_ids'),
+  ('make_node_topology'), ('add_pathlength'), ('check_hy_graph'), ('navigate_hydro_network'), ('add_pfafstetter'), ('add_streamlevel'), ('add_toids'), ('add_divergence'),
+  ('subset_network'), ('make_attribute_topology'), ('index_points_to_lines'), ('to_flownetwork'), ('add_return_divergence')) t(operator)""")
 def operators_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = capabilities(hy(nodes(spark, sf_dir)), include_conversions=True)
     return spark.createDataFrame(sorted(found.items()), "operator string, available boolean")
@@ -304,7 +310,23 @@ def streamorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.add_streamorder(hy(tree(spark, sf_dir))).df.select("id", "stream_order", "stream_calculator")
 
 
-@query()
+# As many rounds over all features as the longest way may have; each looks at what flows in after the round before.
+DIVERTED_ORDER_SQL = "WITH " + NODES_SQL + ", o0 AS (SELECT id, CAST(1 AS BIGINT) AS o, CAST(CASE WHEN divergence = 2 THEN 0 ELSE 1 END AS BIGINT) AS c FROM nodes)" + "".join(
+    f""", u{k} AS (
+  SELECT id, lo, hi, m, count(*) FILTER (WHERE o = m) AS n FROM (
+    SELECT *, CASE WHEN lo = 0 AND hi > 0 THEN mm ELSE am END AS m FROM (
+      SELECT f.toid AS id, o, min(c) OVER w AS lo, max(c) OVER w AS hi, max(o) OVER w AS am, max(CASE WHEN c > 0 THEN o END) OVER w AS mm
+      FROM (SELECT DISTINCT id, toid FROM flow WHERE toid > 0) f JOIN o{k - 1} USING (id) WINDOW w AS (PARTITION BY f.toid)))
+  GROUP BY id, lo, hi, m
+), o{k} AS (
+  SELECT n.id, CASE WHEN u.id IS NULL THEN 1 WHEN n.divergence <> 2 AND u.n >= 2 AND u.lo > 0 THEN u.m + 1 ELSE u.m END AS o,
+         CASE WHEN n.divergence = 2 THEN 0 WHEN u.id IS NULL THEN 1 WHEN u.n >= 2 AND u.lo > 0 THEN u.m + 1 WHEN u.hi > 0 THEN u.m ELSE 0 END AS c
+  FROM nodes n LEFT JOIN u{k} u ON u.id = n.id)"""
+    for k in range(1, _ORDER_LEVELS + 1)
+) + f" SELECT id, CAST(o AS BIGINT) AS stream_order, CAST(c AS BIGINT) AS stream_calculator FROM o{_ORDER_LEVELS}"
+
+
+@query(DIVERTED_ORDER_SQL)
 def streamorder_diversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.add_streamorder(hy(nodes(spark, sf_dir))).df.select("id", "stream_order", "stream_calculator").distinct()
 
@@ -359,7 +381,18 @@ def navigate_downmain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.reachable(topology.to_flownetwork(leveled(spark, sf_dir), warn_dendritic=False), [100], "downmain")
 
 
-@query()
+@query("WITH RECURSIVE " + NODES_SQL + """, adj AS (SELECT id, list(DISTINCT toid ORDER BY toid) AS ways FROM flow GROUP BY id
+), s(n, which, stack, closed, path_id, seq, node) AS (
+  SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT), [CAST(133 AS BIGINT)], CAST([] AS BIGINT[]), CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT n + 1, CASE WHEN len(stack) = 0 THEN which + 1 ELSE which END,
+    CASE WHEN len(stack) = 0 THEN [CAST(100 AS BIGINT)] WHEN stack[-1] = 0 OR list_contains(closed, stack[-1]) THEN stack[1:len(stack) - 1] ELSE list_concat(stack[1:len(stack) - 1], ways) END,
+    CASE WHEN len(stack) = 0 OR stack[-1] = 0 OR list_contains(closed, stack[-1]) THEN closed ELSE list_append(closed, stack[-1]) END,
+    CASE WHEN (len(stack) = 0 OR stack[-1] = 0 OR list_contains(closed, stack[-1])) AND seq > 0 THEN path_id + 1 ELSE path_id END,
+    CASE WHEN len(stack) = 0 OR stack[-1] = 0 OR list_contains(closed, stack[-1]) THEN 0 ELSE seq + 1 END,
+    CASE WHEN len(stack) = 0 OR stack[-1] = 0 OR list_contains(closed, stack[-1]) THEN NULL ELSE stack[-1] END
+  FROM s LEFT JOIN adj ON adj.id = stack[-1] WHERE NOT (which = 2 AND len(stack) = 0)
+) SELECT CASE which WHEN 1 THEN CAST(133 AS BIGINT) ELSE CAST(100 AS BIGINT) END AS start, path_id, seq, node AS id FROM s WHERE node IS NOT NULL""")
 def dfs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.navigate_network_dfs(hy(nodes(spark, sf_dir)), [133, 100], "down")
 
@@ -375,6 +408,19 @@ def navigate_ut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.navigate_hydro_network(navigable(spark, sf_dir), 3, "UT")
 
 
+@query(PATH_SQL + """, g(id) AS (
+  SELECT CAST(3 AS BIGINT)
+  UNION
+  SELECT f.id FROM g JOIN net s ON s.id = g.id AND s.length_km <= 150 JOIN up ON up.anc = s.id JOIN net f ON f.id = up.id AND f.id % 7 = 0 AND f.pathlength_km > s.pathlength_km - s.length_km + 150
+    JOIN up u2 ON u2.anc = s.id AND u2.id = f.id // 3 JOIN net t ON t.id = u2.id AND t.pathlength_km <= s.pathlength_km - s.length_km + 150
+) SELECT DISTINCT CASE WHEN s.length_km > 150 THEN s.id ELSE f.id END AS id
+FROM g JOIN net s USING (id) JOIN up ON up.anc = s.id JOIN net f ON f.id = up.id WHERE s.length_km > 150 OR f.pathlength_km <= s.pathlength_km - s.length_km + 150""")
+def navigate_ut_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = navigable(spark, sf_dir)
+    minor = F.when(F.col("id") % 7 == 0, F.floor(F.col("id") / 3)).otherwise(0)
+    return navigation.navigate_hydro_network(net.with_df(net.df.withColumn("dn_minor_topo_sort", minor)), 3, "UT", 150.0)
+
+
 @query("WITH RECURSIVE " + TREE_SQL + ", r(id) AS (SELECT CAST(101 AS BIGINT) UNION SELECT t.toid FROM r JOIN tree t ON t.id = r.id WHERE t.toid > 0) SELECT id FROM r")
 def navigate_dm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.navigate_hydro_network(navigable(spark, sf_dir), 101, "DM")
@@ -437,12 +483,27 @@ def add_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.add_divergence(net, [], ends, "name", "feature_type", ["STANDARD"]).df.select("id", "divergence")
 
 
-@query()
+@query("WITH RECURSIVE " + NODES_SQL + """, far(id, d) AS (
+  SELECT id, 0 FROM flow WHERE toid = 0 UNION SELECT f.id, far.d + 1 FROM far JOIN flow f ON f.toid = far.id
+), dist AS (SELECT id, max(d) AS d FROM far GROUP BY id
+), rm(start, id) AS (
+  SELECT fromnode, id FROM nodes WHERE divergence = 1 UNION SELECT r.start, f.toid FROM rm r JOIN flow f USING (id) WHERE f.toid > 0
+), rd(start, id) AS (
+  SELECT fromnode, id FROM nodes WHERE divergence = 2 UNION SELECT r.start, f.toid FROM rd r JOIN flow f USING (id) WHERE f.toid > 0
+), back AS (
+  SELECT DISTINCT o.start, f.toid AS id FROM (SELECT * FROM rd EXCEPT SELECT * FROM rm) o JOIN flow f USING (id) JOIN rm ON rm.start = o.start AND rm.id = f.toid
+), picked AS (SELECT DISTINCT id FROM (SELECT b.id, row_number() OVER (PARTITION BY start ORDER BY d DESC, b.id) AS rn FROM back b JOIN dist USING (id)) WHERE rn = 1)
+SELECT n.id, CASE WHEN p.id IS NULL THEN 0 ELSE 1 END AS return_divergence FROM nodes n LEFT JOIN picked p USING (id)""")
 def return_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributes.add_return_divergence(hy(nodes(spark, sf_dir))).df.select("id", "return_divergence")
 
 
-@query()
+@query("WITH RECURSIVE " + NODES_SQL + """, up(start, place) AS (
+  SELECT id, fromnode FROM nodes WHERE divergence = 2 UNION ALL SELECT start, place // 2 FROM up WHERE place > 1
+), side(start, place) AS (
+  SELECT id, tonode FROM nodes WHERE divergence = 2 AND tonode > 0 UNION ALL SELECT start, place // 2 FROM side WHERE place > 1
+), held AS (SELECT start, place FROM (SELECT * FROM up UNION ALL SELECT * FROM side) GROUP BY start, place HAVING count(*) = 1)
+SELECT id FROM tree WHERE id NOT IN (SELECT place FROM held)""")
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.get_bridge_flowlines(hy(nodes(spark, sf_dir)))
 
@@ -495,24 +556,39 @@ def index_points_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", "id", F.round("offset", 6).alias("offset"))
 
 
-@query("WITH " + LINES_SQL + """, parts AS (SELECT id, aggregate_id, len, sum(len) OVER (PARTITION BY aggregate_id) AS total FROM (SELECT *, abs(x1 - x0) + abs(y2 - y1) AS len FROM lines))
-SELECT id, CAST(0 AS DOUBLE) AS aggregate_id_from_measure, CAST(100 AS DOUBLE) AS aggregate_id_to_measure FROM parts""")
+@query("WITH RECURSIVE " + LINES_SQL + """, top(id, aggregate_id) AS (
+  SELECT id, id FROM lines WHERE id % 2 = 1 OR id = 1 UNION ALL SELECT l.id, t.aggregate_id FROM top t JOIN lines l ON l.toid = t.id WHERE l.id % 2 = 0
+), far(id, d) AS (
+  SELECT id, 0 FROM lines WHERE toid = 0 UNION ALL SELECT l.id, far.d + 1 FROM far JOIN lines l ON l.toid = far.id
+), v AS (
+  SELECT l.id, t.aggregate_id, far.d, p.k, p.x, p.y FROM lines l JOIN top t USING (id) JOIN far USING (id), LATERAL (VALUES (0, l.x0, l.y0), (1, l.x1, l.y1), (2, l.x2, l.y2)) p(k, x, y)
+), steps AS (
+  SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM v WINDOW w AS (PARTITION BY aggregate_id ORDER BY d DESC, k)
+), runs AS (
+  SELECT *, sum(step) OVER (PARTITION BY aggregate_id ORDER BY d DESC, k ROWS UNBOUNDED PRECEDING) AS run, sum(step) OVER (PARTITION BY aggregate_id) AS total FROM steps
+), m AS (SELECT id, 100 - CASE WHEN total > 0 THEN 100 * run / total ELSE 0 END AS m FROM runs)
+SELECT id, round(min(m), 6) AS aggregate_id_from_measure, round(max(m), 6) AS aggregate_id_to_measure FROM m GROUP BY id""")
 def add_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature as an aggregate of its own: measures run from 0 to 100."""
-    own = lines(spark, sf_dir).withColumn("aggregate_id", F.col("id")).drop("aggregate_id_from_measure", "aggregate_id_to_measure")
-    out = indexing.add_measures(hy(own)).df
-    return out.select("id", F.round("aggregate_id_from_measure", 6).alias("aggregate_id_from_measure"), "aggregate_id_to_measure")
-
-
-@query("WITH " + VERTEX_SQL + """, m AS (SELECT point_id, b.id, round(m, 4) AS ms, x0, y0, x1, y1, x2, y2, abs(x1 - x0) AS l1, abs(y2 - y1) AS l2 FROM best b JOIN lines l USING (id) WHERE r = 1)
-SELECT point_id, id, round(CASE WHEN ms = 100 OR l1 + l2 = 0 THEN x0 ELSE x1 END, 3) AS geom_x, round(CASE WHEN ms = 0 THEN y2 ELSE y0 END, 3) AS geom_y
-FROM m WHERE l1 + l2 > 0""")
+    """Aggregates of connected features: from an odd feature upstream by even ones."""
+    own = lines(spark, sf_dir).drop("aggregate_id", "aggregate_id_from_measure", "aggregate_id_to_measure")
+    # An id without its factors of two names the feature at the aggregate's lower end.
+    odd = F.expr("id div (id & -id)")
+    out = indexing.add_measures(hy(own.withColumn("aggregate_id", odd))).df
+    return out.select("id", F.round("aggregate_id_from_measure", 6).alias("aggregate_id_from_measure"), F.round("aggregate_id_to_measure", 6).alias("aggregate_id_to_measure"))
+
+
+@query("WITH " + VERTEX_SQL + """, m AS (
+  SELECT point_id, b.id, (point_id * 37 + b.id) % 101 AS m, x0, y0, x1, y1, x2, y2, abs(x1 - x0) AS l1, abs(y2 - y1) AS l2 FROM best b JOIN lines l USING (id) WHERE r = 1
+), d AS (SELECT *, (100 - m) / 100 * (l1 + l2) AS d FROM m)
+SELECT point_id, id, round(CASE WHEN l1 > 0 AND d < l1 THEN x0 + d / l1 * (x1 - x0) ELSE x1 END, 3) AS geom_x,
+       round(CASE WHEN d <= l1 OR l2 = 0 THEN y1 ELSE y1 + (d - l1) / l2 * (y2 - y1) END, 3) AS geom_y FROM d""")
 def hydro_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = hy(lines(spark, sf_dir).filter(g.length("geom") > 0))
+    """Places between vertices as well: each index gets a measure of its own."""
     every = hy(lines(spark, sf_dir))
-    indexes = indexing.index_points_to_lines(every, points(spark, sf_dir), 0.9)
-    found = indexing.get_hydro_location(indexes, net)
-    return found.select("point_id", "id", F.round("geom_x", 3).alias("geom_x"), F.round("geom_y", 3).alias("geom_y"))
+    found = indexing.index_points_to_lines(every, points(spark, sf_dir), 0.9)
+    indexes = found.withColumn("aggregate_id_measure", ((F.col("point_id") * 37 + F.col("id")) % 101).cast("double"))
+    out = indexing.get_hydro_location(indexes, every)
+    return out.select("point_id", "id", F.round("geom_x", 3).alias("geom_x"), F.round("geom_y", 3).alias("geom_y"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS aggregate_id, CAST(p_size AS DOUBLE) AS length_km, CAST(p_partkey % 101 AS DOUBLE) AS m FROM part)
@@ -595,6 +671,29 @@ def dissolve_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grp", F.round(total, 6).alias("area"), F.round("price", 2).alias("price"))
 
 
+@query("WITH " + SQUARES_SQL + """, bars AS (SELECT grp, y, min(x) AS x0, max(x) + 1.5 AS x1, count(*) AS n FROM squares GROUP BY grp, y)
+SELECT grp, CAST(sum(n) + 0.5 * count(*) AS DOUBLE) AS area FROM bars GROUP BY grp""")
+def dissolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of squares, each drawn half a unit too wide, so that neighbours overlap."""
+    k = F.col("p_partkey")
+    x, y = (k % 64).cast("double"), F.floor(k / 64).cast("double")
+    ring = F.array(g.point(x, y), g.point(x + 1.5, y), g.point(x + 1.5, y + 1), g.point(x, y + 1), g.point(x, y))
+    wide = _table(spark, sf_dir, "part").select(F.array(ring).alias("geom"), F.floor((k % 64) / 8).alias("grp"))
+    out = polygons.dissolve_polygons(wide, "grp")
+    return out.select("grp", F.round(F.aggregate("parts", F.lit(0.0), lambda s, p: s + g.area(p)), 6).alias("area"))
+
+
+@query("SELECT p_partkey AS wbid, CAST(2 AS BIGINT) AS parts, CAST(1 AS DOUBLE) AS area FROM part WHERE p_partkey % 5 = 0")
+def repaired_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings in the shape of an eight come apart."""
+    k = F.col("p_partkey")
+    x, y = (k % 64).cast("double"), F.floor(k / 64).cast("double")
+    ring = F.array(g.point(x, y), g.point(x + 2, y + 1), g.point(x + 2, y), g.point(x, y + 1), g.point(x, y))
+    eights = _table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select(k.alias("wbid"), F.array(ring).alias("geom"))
+    parts = polygons.check_valid(eights)
+    return parts.groupBy("wbid").agg(F.count("*").alias("parts"), F.round(F.sum(g.area("geom")), 6).alias("area"))
+
+
 @query("WITH " + SQUARES_SQL + " SELECT wbid, CAST(1 AS DOUBLE) AS area FROM squares")
 def valid_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons.check_valid(squares(spark, sf_dir).select("wbid", "geom")).select("wbid", g.area("geom").alias("area"))
@@ -615,4 +714,138 @@ def flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("id", node["x"].alias("x"), node["y"].alias("y"))
 
 
+RAW_NAMES = ["COMID", "toCOMID", "LENGTHKM", "GNIS_name"]
+
+
+@query(PATH_SQL + """SELECT id AS "COMID", toid AS "toCOMID", length_km AS "LENGTHKM", name AS "GNIS_name", pathlength_km FROM net""")
+def names_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table under its own names through an operator: new columns come, the others keep their names."""
+    net = hy(tree(spark, sf_dir).select("id", "toid", "length_km", "name").toDF(*RAW_NAMES))
+    return hy_reverse(attributes.add_pathlength(net))
+
+
+@query("""SELECT * FROM (VALUES ('COMID', 'id', true), ('ToNode', 'tonode', true), ('Hydroseq', 'topo_sort', true), ('LevelPathI', 'levelpath', true), ('TotDASqKM', 'total_da_sqkm', true),
+  ('ArbolateSu', 'arbolate_sum', true), ('REACHCODE', 'aggregate_id', true), ('ToMeas', 'aggregate_id_to_measure', true), ('StreamOrde', 'stream_order', true), ('stream_level', 'stream_level', true),
+  ('my_key', 'wbid', true), ('Other', 'Other', false)) t(given, known, is_defined)""")
+def names_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the registry, one added to it, and one that it doesn't have."""
+    alias_names({"My_Key": "wbid"})
+    try:
+        given = ["COMID", "ToNode", "Hydroseq", "LevelPathI", "TotDASqKM", "ArbolateSu", "REACHCODE", "ToMeas", "StreamOrde", "stream_level", "my_key", "Other"]
+        known = align_names(spark.range(1).select(*[F.lit(0).alias(c) for c in given])).columns
+    finally:
+        alias_names(clear=True)
+    return spark.createDataFrame([(a, b, b in name_definitions()) for a, b in zip(given, known, strict=True)], "given string, known string, is_defined boolean")
+
+
+@query("""SELECT * FROM (VALUES ('tree', 'TOPO', true, true), ('nodes', 'NODE', false, true), ('junctions', 'FLOW', false, true), ('paths', 'LEVELED', true, true), ('ids', 'BASE', true, true),
+  ('plain', 'TOPO', true, false)) t(network, kind, dendritic, is_network)""")
+def network_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    several = {
+        "tree": hy(tree(spark, sf_dir)), "nodes": hy(nodes(spark, sf_dir)), "junctions": topology.to_flownetwork(hy(nodes(spark, sf_dir))),
+        "paths": leveled(spark, sf_dir), "ids": hy(tree(spark, sf_dir).select("id", "length_km")), "plain": tree(spark, sf_dir),
+    }
+    rows = [(name, network_type(x), is_dendritic(x), is_hy(x)) for name, x in several.items()]
+    return spark.createDataFrame(rows, "network string, kind string, dendritic boolean, is_network boolean")
+
+
+_INDEXED_SQL = "WITH " + NODES_SQL + ", i AS (SELECT id, row_number() OVER (ORDER BY id) AS indid FROM nodes)"
+
+
+@query(_INDEXED_SQL + """SELECT f.id, a.indid, string_agg(DISTINCT CAST(coalesce(b.indid, 0) AS VARCHAR), ',' ORDER BY CAST(coalesce(b.indid, 0) AS VARCHAR)) AS ways,
+  count(DISTINCT coalesce(b.indid, 0)) AS lengths FROM flow f JOIN i a USING (id) LEFT JOIN i b ON f.toid = b.id GROUP BY f.id, a.indid""")
+def index_ids_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topology.format_index_ids(topology.make_index_ids(hy(nodes(spark, sf_dir))))
+    return found.select("id", "indid", F.array_join(F.array_sort(F.transform("toindid", lambda x: x.cast("string"))), ",").alias("ways"), "lengths")
+
+
+@query(_INDEXED_SQL + """SELECT i.id, i.indid, f.id AS fromid, coalesce(b.indid, 0) AS fromindid FROM i LEFT JOIN flow f ON f.toid = i.id LEFT JOIN i b ON f.id = b.id""")
+def index_ids_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.make_index_ids(hy(nodes(spark, sf_dir)), mode="from").select("id", "indid", "fromid", "fromindid")
+
+
+@query(_INDEXED_SQL + """SELECT 'to' AS direction, a.indid, coalesce(b.indid, 0) AS other FROM flow f JOIN i a USING (id) LEFT JOIN i b ON f.toid = b.id
+UNION ALL SELECT 'from', i.indid, coalesce(b.indid, 0) FROM i LEFT JOIN flow f ON f.toid = i.id LEFT JOIN i b ON f.id = b.id""")
+def index_ids_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.make_index_ids(hy(nodes(spark, sf_dir)), mode="both").select("direction", "indid", F.coalesce("toindid", "fromindid").alias("other"))
+
+
+@query("WITH " + FOREST_SQL + " SELECT id, toid FROM forest")
+def outlets_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlets that each have a mark of their own get the common one."""
+    own = forest(spark, sf_dir).withColumn("toid", F.when(F.col("toid") == 0, -F.col("id")).otherwise(F.col("toid")))
+    return topology.check_hy_outlets(hy(own), fix=True).df.select("id", "toid")
+
+
+@query(PATH_SQL.replace("CASE WHEN t.name = d.name THEN 1 ELSE 2 END, a.total_da_sqkm DESC", "a.total_da_sqkm * CASE WHEN t.name = d.name THEN 3 ELSE 1 END DESC") + "SELECT id, levelpath FROM net")
+def levelpaths_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main paths by weight alone, three times that of features with the name below."""
+    net = attributes.accumulate_downstream(hy(tree(spark, sf_dir)), "da_sqkm")
+    net = net.with_df(net.df.withColumnRenamed("da_sqkm_accumulated", "total_da_sqkm").withColumn("topo_sort", F.col("id")))
+    return attributes.add_levelpaths(net, "name", "total_da_sqkm", override_factor=3.0).df.select("id", "levelpath")
+
+
+@query("WITH " + LINES_SQL + " SELECT id, toid, x2 AS x, y2 AS y FROM lines")
+def geometry_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry that is put aside while a network is sorted, and put back by id."""
+    net = hy(lines(spark, sf_dir).select("id", "toid", "geom"))
+    aside = get_geometry(net)
+    back = put_geometry(topology.sort_network(without_geometry(net)), aside)
+    node = g.get_node("geom", "end")
+    return back.df.select("id", "toid", node["x"].alias("x"), node["y"].alias("y"))
+
+
+# The Albers projection by its definition on the ellipsoid.
+ALBERS_SQL = """WITH c AS (SELECT 6378137.0 AS a, 2 / 298.257222101 - 1 / (298.257222101 * 298.257222101) AS e2, sqrt(2 / 298.257222101 - 1 / (298.257222101 * 298.257222101)) AS e
+), p AS (SELECT p_partkey AS id, -120.0 + p_partkey % 50 AS lon, 25.0 + p_partkey % 24 AS lat FROM part
+), s AS (
+  SELECT id, lon, lat, a, e2, e, name, sin(radians(x)) AS s, cos(radians(x)) AS k FROM p, c, LATERAL (VALUES ('lat', lat), ('0', 23.0), ('1', 29.5), ('2', 45.5)) v(name, x)
+), q AS (
+  SELECT id, lon, lat, a, name, k * k / (1 - e2 * s * s) AS m2, (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) AS q FROM s
+), w AS (
+  SELECT id, lon, lat, max(a) AS a, max(q) FILTER (WHERE name = 'lat') AS q, max(q) FILTER (WHERE name = '0') AS q0, max(q) FILTER (WHERE name = '1') AS q1, max(q) FILTER (WHERE name = '2') AS q2,
+         max(m2) FILTER (WHERE name = '1') AS m1, max(m2) FILTER (WHERE name = '2') AS m2 FROM q GROUP BY id, lon, lat
+), n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM w), t AS (SELECT *, a * sqrt(m1 + n * q1 - n * q) / n AS rho, a * sqrt(m1 + n * q1 - n * q0) / n AS rho0, n * radians(lon + 96) AS theta FROM n)
+"""
+
+
+@query(ALBERS_SQL + "SELECT id, round(rho * sin(theta), 3) + 0 AS x, round(rho0 - rho * cos(theta), 3) AS y, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM t")
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longitudes and latitudes to metres, under the other table's geometry name, and back again."""
+    k = F.col("p_partkey")
+    at = _table(spark, sf_dir, "part").select(k.alias("id"), F.array(g.point(-120.0 + k % 50, 25.0 + k % 24)).alias("shape"))
+    there = g.st_compatibalize(at, 4326, 5070, "shape", "geom")
+    out = there.select("id", F.col("geom")[0].alias("p"), g.reprojected("geom", 5070, 4326)[0].alias("b"))
+    return out.select("id", (F.round("p.x", 3) + 0).alias("x"), F.round("p.y", 3).alias("y"), F.round("b.x", 7).alias("lon"), F.round("b.y", 7).alias("lat"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV in the shared folder and read again."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")).write.csv(path, header=True)
+    return read_csv(spark, path, "id long, name string, price double")
+
+
+@query("WITH " + LINES_SQL + """ SELECT id, toid, x0, y0, x2, y2, CASE WHEN id % 3 = 0 THEN 'polygon' WHEN id % 3 = 1 THEN 'line' ELSE 'point' END AS kind FROM lines""")
+def geojson_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, polygons and points written as collections of GeoJSON features in the shared folder, and read again."""
+    path = f"{checkpoint_dir(spark)}/geojson-{uuid.uuid4().hex}"
+    rows = lines(spark, sf_dir).select("id", "toid", F.col("geom")[0].alias("a"), F.col("geom")[2].alias("b"))
+    pair = lambda p: F.array(p["x"], p["y"])
+    text = lambda x: F.to_json(F.struct(x.alias("c")))
+    a, b = pair(F.col("a")), pair(F.col("b"))
+    inner = lambda x: F.regexp_extract(text(x), r"^\{\"c\":(.*)\}$", 1)
+    shape = F.when(F.col("id") % 3 == 0, F.concat(F.lit('"Polygon","coordinates":'), inner(F.array(F.array(a, b, a))))).when(
+        F.col("id") % 3 == 1, F.concat(F.lit('"LineString","coordinates":'), inner(F.array(a, b)))
+    ).otherwise(F.concat(F.lit('"Point","coordinates":'), inner(b)))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("id", "toid", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"))), F.lit(',"geometry":{"type":'), shape, F.lit("}}"))
+    collection = F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}"))
+    rows.select(collection.alias("value")).write.text(path)
+    read = read_geojson(spark, path, "id long, toid long, x0 double, y0 double")
+    end = F.coalesce(F.col("geom")[1], F.col("polygon")[0][1], F.col("point"))
+    kind = F.when(F.col("geom").isNotNull(), "line").when(F.col("polygon").isNotNull(), "polygon").when(F.col("point").isNotNull(), "point")
+    return read.select("id", "toid", "x0", "y0", end["x"].alias("x2"), end["y"].alias("y2"), kind.alias("kind"))
+
+
 FLAGSHIP = "accumulate_total"

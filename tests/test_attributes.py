@@ -136,3 +136,77 @@ def test_total_is_the_sum_over_what_is_upstream(spark):
     for i in (3, 4, 6):
         assert total[i] == sum(r["id"] for r in reachable(df, [i], "up").collect())
     assert hy(df).kind.name == "FLOW"
+
+
+def random_dag(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    pairs = [(i, rng.randrange(max(0, i - 6), i)) for i in range(2, n + 1) if rng.random() < 0.95]
+    pairs += [(i, rng.randrange(1, i)) for i in rng.sample(range(10, n + 1), n // 8)]
+    return sorted({(x, y) for x, y in pairs if y > 0} | {(i, 0) for i in range(1, n + 1) if not any(x == i and y > 0 for x, y in pairs)})
+
+
+def test_totals_by_bridges(spark):
+    """Every feature upstream counts once, whatever cycles and bridges there are."""
+    for seed in range(3):
+        pairs = random_dag(seed, 70)
+        above = {i: {i} for i in range(71)}
+        for x, y in sorted(pairs, reverse=True):  # ids fall downstream
+            above[y] |= above[x]
+        net = hy(spark.createDataFrame([(x, y, float(x)) for x, y in pairs], "id long, toid long, da_sqkm double"))
+        got = {r["id"]: round(r["da_sqkm_accumulated"], 6) for r in a.accumulate_downstream(net, "da_sqkm", total=True).df.collect()}
+        assert got == {i: float(sum(above[i])) for i in range(1, 71)}
+
+
+def test_bridges_of_connections(spark):
+    """Against taking each connection away; a tree has bridges only, so no pairs are made."""
+    pairs = [(x, y) for x, y in random_dag(5, 50) if y]
+
+    def parts(left):
+        part = {i: i for i in range(1, 51)}
+
+        def root(i):
+            while part[i] != i:
+                i = part[i]
+            return i
+
+        for x, y in left:
+            part[root(x)] = root(y)
+        return len({root(i) for i in part})
+
+    nodes = spark.range(1, 51)
+    bridges, others = a.bridge_edges(nodes, spark.createDataFrame(pairs, "src long, dst long"))
+    found = {(r["src"], r["dst"]) for r in bridges.collect()}
+    assert found | {(r["src"], r["dst"]) for r in others.collect()} == set(pairs)
+    whole = parts(pairs)
+    true = {p for p in pairs if parts([q for q in pairs if q != p]) > whole}
+    # Connections that join two networks with outlets of their own aren't looked for.
+    assert found <= true and len(found) > len(true) / 2
+    tree = [(i, i // 2) for i in range(2, 51)]
+    assert a.bridge_edges(nodes, spark.createDataFrame(tree, "src long, dst long"))[1].count() == 0
+
+
+def test_rounds_write_each_row_once(spark):
+    from fluvia.plans import iterate
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(3, 9)], "src long, dst long")
+    written = []
+    append = iterate.Rounds.append
+
+    def counted(self, df):
+        out = append(self, df)
+        written.append(out.count())
+        return out
+
+    iterate.Rounds.append = counted
+    try:
+        found = iterate.reach(chain, spark.createDataFrame([(0, 0)], "start long, id long"))
+        assert found.count() == 13 and sum(written) == 13
+        written.clear()
+        net = hy(spark.createDataFrame([(i, i - 1, 1) for i in range(2, 9)] + [(1, 0, 1), (20, 5, 1)], "id long, toid long, divergence int"))
+        a.add_streamorder(net).df.collect()
+        rows, ways = 9, 8  # features with their levels, connections, orders, and what each connection brings
+        assert sum(written) == rows + ways + rows + ways
+    finally:
+        iterate.Rounds.append = append

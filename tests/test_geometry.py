@@ -1,9 +1,16 @@
 """Projection, dissolve and repair of polygons."""
 
+import json
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fluvia.functions import geometry as g
-from fluvia.operators.polygons import check_valid, dissolve_polygons
+from fluvia.functions.overlay import outline
+from fluvia.operators import indexing
+from fluvia.operators.polygons import _area, _polygons, _rings, check_valid, dissolve_polygons
+from fluvia.sources.files import read_geojson
 
 
 def square(x, y, side=1.0):
@@ -50,3 +57,72 @@ def test_projection_there_and_back(spark):
     for r in m:
         assert abs(r["p"]["x"] - r["b"]["x"]) < 1e-7 and abs(r["p"]["y"] - r["b"]["y"]) < 1e-7
     assert abs(m[2]["m"]["x"]) < 1e-6 and abs(m[2]["m"]["y"]) < 1e-6
+
+
+def boxes_edges(boxes):
+    out = []
+    for x, y, w, h in boxes:
+        ring = [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]
+        out += [(a, b, 1) for a, b in zip(ring, ring[1:], strict=False)]
+    return out
+
+
+BOXES = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 4), st.integers(1, 4)), min_size=1, max_size=7)
+
+
+def covered(boxes):
+    cells = {}
+    for x, y, w, h in boxes:
+        for c in ((i, j) for i in range(x, x + w) for j in range(y, y + h)):
+            cells[c] = cells.get(c, 0) + 1
+    return cells
+
+
+@settings(max_examples=200, deadline=None)
+@given(BOXES)
+def test_outlines_of_overlapping_boxes(boxes):
+    """Unions (and places that an odd number of boxes covers) have the area of their unit cells, holes included."""
+    for rule, inside in ((lambda w: w > 0, lambda n: True), (lambda w: w % 2 == 1, lambda n: n % 2 == 1)):
+        parts = _polygons(_rings(outline(boxes_edges(boxes), rule)), 0.0)
+        total = sum(abs(_area(p[0])) - sum(abs(_area(h)) for h in p[1:]) for p in parts)
+        assert abs(total - sum(inside(n) for n in covered(boxes).values())) < 1e-6
+
+
+def test_polygons_that_are_not_noded(spark):
+    rows = [("t", [square(0, 0, 2)]), ("t", [square(2, 0)]), ("t", [square(2, 1)])]  # corners in the middle of an edge
+    rows += [("o", [square(0, 0, 3)]), ("o", [square(1, 1, 4)]), ("o", [square(1.5, 1.5)])]  # an overlap, and one inside
+    rows += [("d", [square(0, 0)]), ("d", [square(0, 0)])]
+    out = {r["grp"]: r["parts"] for r in dissolve_polygons(polys(spark, rows), "grp").collect()}
+    areas = {k: sum(abs(_area([(p["x"], p["y"]) for p in part[0]])) for part in v) for k, v in out.items()}
+    assert areas == {"t": 6.0, "o": 21.0, "d": 1.0} and {k: len(v) for k, v in out.items()} == {"t": 1, "o": 1, "d": 1}
+
+
+def test_crossing_rings_come_apart(spark):
+    eight = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)]
+    inner = [square(0, 0, 4), square(1, 1, 2)]
+    out = check_valid(polys(spark, [("eight", [eight]), ("hole", inner), ("same", [square(0, 0)])])).select("grp", "part", "simple", g.area("geom").alias("a")).collect()
+    assert sorted((r["grp"], r["part"], not r["simple"], round(r["a"], 9)) for r in out) == [("eight", 0, True, 1.0), ("eight", 1, True, 1.0), ("hole", 0, False, 12.0), ("same", 0, False, 1.0)]
+
+
+def test_large_and_small_waterbodies(spark):
+    """Grids by size: one polygon around everything doesn't bring all others into its cell."""
+    rows = [(0, [square(-50, -50, 300)])] + [(k, [square(k % 10 * 3, k // 10 * 3)]) for k in range(1, 60)]
+    water = spark.createDataFrame(rows, f"wbid long, geom {g.POLYGON}")
+    points = spark.createDataFrame([(k, k % 10 * 3 + 0.5, k // 10 * 3 + 0.5) for k in range(1, 60)] + [(99, 200.0, 200.0), (98, 900.0, 0.0)], "point_id long, x double, y double")
+    small = indexing.index_points_to_waterbodies(water.filter("wbid > 0"), points, 2.0)
+    assert {r["point_id"]: r["in_wbid"] for r in small.collect()} == {k: k for k in range(1, 60)} | {99: None, 98: None}
+    every = indexing.index_points_to_waterbodies(water, points, 2.0)
+    assert {r["point_id"]: r["in_wbid"] for r in every.collect()} == {k: 0 for k in range(1, 60)} | {99: 0, 98: None}
+
+
+def test_geojson_of_all_kinds(spark, tmp_path):
+    shapes = [
+        ("Point", [1, 2]), ("LineString", [[0, 0], [1, 1]]), ("MultiLineString", [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]),
+        ("Polygon", [[[0, 0], [1, 0], [1, 1], [0, 0]]]), ("MultiPolygon", [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]),
+    ]
+    features = [{"type": "Feature", "properties": {"id": k}, "geometry": {"type": t, "coordinates": c}} for k, (t, c) in enumerate(shapes)]
+    features.append({"type": "Feature", "properties": {"id": 9}, "geometry": None})
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = read_geojson(spark, str(tmp_path / "a.geojson"), "id long").collect()
+    kinds = sorted((r["id"], "line" if r["geom"] else "polygon" if r["polygon"] else "point" if r["point"] else "none") for r in rows)
+    assert kinds == [(0, "point"), (1, "line"), (2, "line"), (2, "line"), (3, "polygon"), (4, "polygon"), (4, "polygon"), (9, "none")]

@@ -1,7 +1,5 @@
 """Every query with an oracle gives what DuckDB gives on the smallest tables."""
 
-import os
-
 import duckdb
 import pytest
 
@@ -31,7 +29,7 @@ def same(df, result):
     return got == sorted(tuple(shown(row[i]) for i in at) for row in result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL) if os.environ.get("ALL_QUERIES") else ["accumulate_total", "levelpaths", "pfafstetter_l2", "add_divergence", "index_points", "dissolve_area", "index_waterbodies", "navigate_dd"])
+@pytest.mark.parametrize("name", sorted(q.SQL))
 def test_query_against_sql(spark, sf_dir, duck, name):
     assert same(q.QUERIES[name](spark, sf_dir), duck.sql(q.SQL[name]))
 
