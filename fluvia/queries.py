@@ -840,8 +840,9 @@ def geojson_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id") % 3 == 1, F.concat(F.lit('"LineString","coordinates":'), inner(F.array(a, b)))
     ).otherwise(F.concat(F.lit('"Point","coordinates":'), inner(b)))
     feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("id", "toid", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"))), F.lit(',"geometry":{"type":'), shape, F.lit("}}"))
-    collection = F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}"))
-    rows.select(collection.alias("value")).write.text(path)
+    several = rows.groupBy(F.floor(F.col("id") / 1000).alias("file")).agg(F.array_join(F.collect_list(feature), ",").alias("features"))
+    collection = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("features"), F.lit("]}"))
+    several.select(collection.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     read = read_geojson(spark, path, "id long, toid long, x0 double, y0 double")
     end = F.coalesce(F.col("geom")[1], F.col("polygon")[0][1], F.col("point"))
     kind = F.when(F.col("geom").isNotNull(), "line").when(F.col("polygon").isNotNull(), "polygon").when(F.col("point").isNotNull(), "point")
