@@ -7,6 +7,7 @@ functions stay inside the JVM.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +139,20 @@ def reprojected(line: Column | str, source: int, target: int) -> Column:
     return F.transform(_c(line), to_albers if target == 5070 else from_albers)
 
 
+def make_singlepart(df: DataFrame, geometry: str = "geom", stop_on_several: bool = False) -> DataFrame:
+    """Rows of lines of rows of multi-part lines (arrays of lines): one row a part, with a warning if there are several of one.
+
+    Columns of lines are given back as they are. With stop_on_several, rows with several parts are an error.
+    """
+    if not df.schema[geometry].dataType.simpleString().startswith("array<array"):
+        return df
+    if not df.filter(F.size(geometry) > 1).isEmpty():
+        if stop_on_several:
+            raise ValueError("geometries of several parts aren't supported here")
+        warnings.warn("geometries of several parts become a row for each", stacklevel=2)
+    return df.withColumn(geometry, F.explode_outer(geometry))
+
+
 def rename_geometry(df: DataFrame, name: str, old: str = "geom") -> DataFrame:
     return df.withColumnRenamed(old, name)
 

@@ -6,6 +6,8 @@ cells around each, so no pair that is further apart than two cells ever meets.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +61,51 @@ def add_measures(x: DataFrame | Network) -> Network | DataFrame:
     return given_back(x, net.with_df(out))
 
 
+# Radius by default in degrees and in metres, and units of length in metres.
+DEFAULT_DEGREES, DEFAULT_METRES = 0.01, 200.0
+METRES = {"m": 1.0, "km": 1000.0, "cm": 0.01, "ft": 0.3048, "mi": 1609.344}
+
+
+def search_radius_of(radius: float | tuple[float, str] | None, crs: int | None) -> float:
+    """A radius in the units of a reference system: degrees in EPSG 4326, else metres.
+
+    A number has these units; (number, unit) is turned into metres; by default it is 0.01 degrees or 200 metres.
+    """
+    degrees = crs == 4326
+    if radius is None:
+        return DEFAULT_DEGREES if degrees else DEFAULT_METRES
+    value, unit = radius if isinstance(radius, tuple) else (radius, None)
+    if unit is not None:
+        if (unit in ("degree", "degrees")) != degrees or not (degrees or unit in METRES):
+            raise ValueError(f"a radius in {unit} doesn't fit the reference system")
+        value = value if degrees else value * METRES[unit]
+    if degrees and value > 1:
+        warnings.warn("the search radius is large for degrees", stacklevel=3)
+    return float(value)
+
+
+def _placed(points: DataFrame, points_crs: int | None, crs: int | None) -> DataFrame:
+    """points with x and y in the other table's reference system."""
+    if points_crs is None or crs is None or points_crs == crs:
+        return points
+    warnings.warn("points are taken to the other table's reference system", stacklevel=3)
+    moved = points.withColumn("_at", g.reprojected(F.array(g.point("x", "y")), points_crs, crs)[0])
+    return moved.withColumn("x", F.col("_at.x")).withColumn("y", F.col("_at.y")).drop("_at")
+
+
 def index_points_to_lines(
-    x: DataFrame | Network, points: DataFrame, search_radius: float, precision: float | None = None, max_matches: int = 1, ids: str | None = None
+    x: DataFrame | Network, points: DataFrame, search_radius: float | tuple[float, str] | None = None, precision: float | None = None, max_matches: int = 1,
+    ids: str | None = None, crs: int | None = None, points_crs: int | None = None,
 ) -> DataFrame:
     """point_id, id, [aggregate_id, aggregate_id_measure,] offset: the nearest lines of each point within the radius.
 
     points has point_id, x and y. A line counts by its nearest vertex; precision adds vertices first.
-    ids names a column of points that forces the line. Points without a line in reach give no row.
+    ids names a column of points that forces the line. Points without a line in reach give no row. crs and points_crs
+    name the reference systems (4326, 5070), which tell the radius's units and where points belong.
     """
     net = hy(x)
     need(net, ["id", "geom"], "index_points_to_lines")
+    search_radius, points = search_radius_of(search_radius, crs), _placed(points, points_crs, crs)
     lines = net.df.withColumn("geom", g.densified("geom", precision)) if precision else net.df
     own = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), *([F.col(ids).alias("_want")] if ids else []))
     vertices = _measured(_vertices(lines.select("id", "geom"), ["id"]), ["id"], ["_k"]).select("id", "_k", "vx", "vy", "id_measure")
@@ -88,12 +125,16 @@ def index_points_to_lines(
     return joined.select("point_id", "id", "aggregate_id", measure.alias("aggregate_id_measure"), F.col("_d").alias("offset"))
 
 
-def index_points_to_waterbodies(waterbodies: DataFrame, points: DataFrame, search_radius: float, flowlines: DataFrame | Network | None = None) -> DataFrame:
+def index_points_to_waterbodies(
+    waterbodies: DataFrame, points: DataFrame, search_radius: float | tuple[float, str] | None = None, flowlines: DataFrame | Network | None = None,
+    crs: int | None = None, points_crs: int | None = None,
+) -> DataFrame:
     """One row a point: near_wbid and near_wb_dist (nearest boundary vertex), in_wbid (polygon around it) and,
     with flowlines (id, wbid, topo_sort), wb_outlet_id, the outlet feature of the waterbody.
 
-    waterbodies has wbid and geom (rings), points point_id, x and y.
+    waterbodies has wbid and geom (rings), points point_id, x and y; radius and reference systems are as for lines.
     """
+    search_radius, points = search_radius_of(search_radius, crs), _placed(points, points_crs, crs)
     own = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
     rings = waterbodies.select("wbid", "geom")
     vertices = rings.select("wbid", F.explode(F.flatten("geom")).alias("_v")).select("wbid", F.col("_v.x").alias("vx"), F.col("_v.y").alias("vy"))

@@ -550,6 +550,13 @@ def index_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", "id", "aggregate_id_measure", F.round("offset", 6).alias("offset"))
 
 
+@query("WITH " + VERTEX_SQL + " SELECT point_id, id, round(dist, 6) AS \"offset\" FROM best WHERE r = 1")
+def index_points_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius in another unit."""
+    found = indexing.index_points_to_lines(hy(lines(spark, sf_dir)), points(spark, sf_dir), (0.0009, "km"), crs=5070)
+    return found.select("point_id", "id", F.round("offset", 6).alias("offset"))
+
+
 @query("WITH " + VERTEX_SQL + " SELECT point_id, id, round(dist, 6) AS \"offset\" FROM best WHERE r <= 3")
 def index_points_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = indexing.index_points_to_lines(hy(lines(spark, sf_dir)), points(spark, sf_dir), 0.9, max_matches=3)

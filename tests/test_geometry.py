@@ -2,12 +2,14 @@
 
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fluvia.functions import geometry as g
 from fluvia.functions.overlay import outline
+from fluvia.network import hy
 from fluvia.operators import indexing
 from fluvia.operators.polygons import _area, _polygons, _rings, check_valid, dissolve_polygons
 from fluvia.sources.files import read_geojson
@@ -126,3 +128,28 @@ def test_geojson_of_all_kinds(spark, tmp_path):
     rows = read_geojson(spark, str(tmp_path / "a.geojson"), "id long").collect()
     kinds = sorted((r["id"], "line" if r["geom"] else "polygon" if r["polygon"] else "point" if r["point"] else "none") for r in rows)
     assert kinds == [(0, "point"), (1, "line"), (2, "line"), (2, "line"), (3, "polygon"), (4, "polygon"), (4, "polygon"), (9, "none")]
+
+
+def test_radius_units_and_parts(spark):
+    assert indexing.search_radius_of(None, 4326) == 0.01 and indexing.search_radius_of(None, 5070) == 200.0
+    assert indexing.search_radius_of((2, "km"), 5070) == 2000.0 and indexing.search_radius_of((0.5, "degrees"), 4326) == 0.5
+    with pytest.raises(ValueError):
+        indexing.search_radius_of((2, "km"), 4326)
+    with pytest.warns(UserWarning, match="large"):
+        indexing.search_radius_of(2.0, 4326)
+    multi = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0)], [(5.0, 5.0), (6.0, 5.0)]]), (2, [[(9.0, 9.0), (9.0, 8.0)]])], f"id long, geom {g.POLYGON}")
+    with pytest.warns(UserWarning, match="several parts"):
+        single = g.make_singlepart(multi)
+    assert sorted(r["id"] for r in single.collect()) == [1, 1, 2]
+    with pytest.raises(ValueError):
+        g.make_singlepart(multi, stop_on_several=True)
+    assert g.make_singlepart(single) is single
+
+
+def test_points_of_another_reference_system(spark):
+    at = spark.createDataFrame([(1, -96.0, 40.0)], "point_id long, x double, y double")
+    there = at.select(g.to_albers(g.point("x", "y")).alias("p")).first()["p"]
+    line = spark.createDataFrame([(7, [(there["x"] + 50, there["y"]), (there["x"] + 900, there["y"])])], f"id long, geom {g.LINE}")
+    with pytest.warns(UserWarning, match="reference system"):
+        row = indexing.index_points_to_lines(hy(line), at, crs=5070, points_crs=4326).first()
+    assert (row["point_id"], row["id"]) == (1, 7) and abs(row["offset"] - 50) < 1e-6
