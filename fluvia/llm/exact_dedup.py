@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import joined_to_groups, new_path, partitions, written
+from .storage import delete, exists, joined_to_groups, new_path, partitions, written
 
 #: Characters that don't count when texts are compared: space, tab, line feed, vertical tab, form feed, return.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -28,13 +28,19 @@ class DigestIndex:
     """digest, keep_id, keep_chars of every distinct text seen so far."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, table: str | None = None):
-        """An index at a path that all executors share (a new one by default).
+        """An index at a path that all executors share (a new one by default), opened again if it is there.
 
-        buckets is fixed when the index is made; give the same number to open it again.
+        buckets is fixed when the index is made, and known when it is opened again, by any session. table is its name in
+        the catalogue, by default one that no other has.
         """
         self.spark = spark
-        self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets or partitions(spark)
+        self.path = (path or new_path(spark, "digest-index")).rstrip("/")
+        about = f"{self.path}.about"
+        if exists(spark, about):
+            self.buckets = spark.read.schema("buckets int").json(about).first()["buckets"]
+        else:
+            self.buckets = buckets or partitions(spark)
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.json(about)
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.table):
             spark.sql(
@@ -42,6 +48,15 @@ class DigestIndex:
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
             )
 
+    def close(self) -> None:
+        """Take the index out of the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def destroy(self) -> None:
+        self.close()
+        delete(self.spark, self.path)
+        delete(self.spark, f"{self.path}.about")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -80,15 +95,19 @@ def exact_duplicates(
     points, then the smallest id, stays, unless the index has the text from an earlier batch, which
     then stays. group_size counts the batch's rows. A null text counts as empty; rows without an id
     are never kept before one with an id. Rows that repeat an id and text are one document: each is
-    reported, with equal results. Empty tables give empty results; other columns are ignored.
+    reported, with equal results. Without an index, one is made for this batch and goes with it. Empty tables give empty results; other columns are ignored.
     """
+    passing = index is None
     index = index or DigestIndex(docs.sparkSession)
     rows = written(digests(docs, id_col, text_col), "digests")
     index.append_new(rows)
     counts = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     keepers = index.read().select(F.col("digest").alias("d"), "keep_id")
     groups = counts.join(keepers, F.col("digest") == F.col("d")).select("d", "keep_id", "group_size")
-    return joined_to_groups(rows, written(groups, "digest-groups"), {"digest": "d"}, "group_size").select(
+    groups = written(groups, "digest-groups")
+    if passing:  # nothing of it is read any more
+        index.destroy()
+    return joined_to_groups(rows, groups, {"digest": "d"}, "group_size").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

@@ -27,6 +27,8 @@ from .textkit import ALNUM, LOWER, U64, give_back_memory, pieces, tidy
 BITS = 18
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (5, 7)
+#: Entries of sparse rows that are worked on at once.
+ENTRIES = 1 << 19
 #: Hashed features of all kinds.
 SPACE = (1 + len(BEGINNINGS)) << BITS
 #: Labelled rows of each class that the fit is made on, and their bytes of text (a bound on what the driver gets).
@@ -56,8 +58,22 @@ class Rows:
     value: np.ndarray
     count: int
 
+    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k in range(0, len(self.row), ENTRIES):
+            yield self.row[k : k + ENTRIES], self.feature[k : k + ENTRIES], self.value[k : k + ENTRIES]
+
     def score(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.feature], self.count) + bias
+        out = np.full(self.count, float(bias))
+        for row, feature, value in self._parts():
+            out += np.bincount(row, value * weights[feature], self.count)
+        return out
+
+    def spread(self, slope: np.ndarray, n: int) -> np.ndarray:
+        """For each of n features the sum over rows of its value times the row's slope."""
+        out = np.zeros(n)
+        for row, feature, value in self._parts():
+            out += np.bincount(feature, value * slope[row], n)
+        return out
 
 
 def features(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[int, Rows]]:
@@ -77,17 +93,26 @@ def features(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tupl
         yield texts.first, Rows((key >> U64(BITS + 2)).astype(np.int32), feature, np.log1p(times).astype(np.float32), len(texts))
 
 
-def _all_rows(texts: list[str | None], known: np.ndarray | None = None) -> Rows:
-    rows, columns, values = [], [], []
-    for first, part in features(pa.array(texts, pa.large_string()), known):
-        rows.append(part.row + np.int32(first))
-        columns.append(part.feature)
-        values.append(part.value)
-    out = []
-    for parts, kind in ((rows, np.int32), (columns, np.int32), (values, np.float32)):
-        out.append(np.concatenate([np.zeros(0, kind), *parts]))
-        parts.clear()
-    return Rows(*out, len(texts))
+def _column(texts: list[str | None] | pa.Array) -> pa.Array:
+    return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+
+
+def _all_rows(texts: list[str | None] | pa.Array, known: np.ndarray | None = None, size: int | None = None) -> Rows:
+    """All texts' features as one; size, if it is known, is how many entries these are."""
+    column = _column(texts)
+    if size is None:
+        size = sum(len(part.row) for _, part in features(column, known))
+    out = Rows(np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.float32), len(texts))
+    at = 0
+    for first, part in features(column, known):
+        end = at + len(part.row)
+        out.row[at:end], out.feature[at:end], out.value[at:end] = part.row + np.int32(first), part.feature, part.value
+        at = end
+    return out
+
+
+def _text(x: str | None | pa.Scalar) -> str | None:
+    return x.as_py() if isinstance(x, pa.Scalar) else x
 
 
 def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, turn: int = 1) -> str:
@@ -135,13 +160,13 @@ class Fit:
     text's identity terms are swapped, plus l2 / 2 of the squared weights (before features are scaled).
     """
 
-    def __init__(self, texts: list[str | None], y: np.ndarray, weight: np.ndarray | None = None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = PENALTY, least_rows: int = LEAST_ROWS, l2: float = L2):
+    def __init__(self, texts: list[str | None] | pa.Array, y: np.ndarray, weight: np.ndarray | None = None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = PENALTY, least_rows: int = LEAST_ROWS, l2: float = L2):
         self.y, self.penalty, self.l2 = np.asarray(y, float), penalty, l2
         weight = np.ones(len(self.y)) if weight is None else np.asarray(weight, float)
         self.weight = weight / weight.sum()
         # Texts are read twice, so that only features that count are ever held.
         seen, pos, toxic = np.zeros(SPACE, np.int64), np.ones(SPACE), self.y.sum()
-        for first, part in features(pa.array(texts, pa.large_string())):
+        for first, part in features(_column(texts)):
             seen += np.bincount(part.feature, minlength=SPACE)
             pos += np.bincount(part.feature[self.y[part.row + first] > 0], minlength=SPACE)
         neg = seen - pos + 2.0
@@ -150,19 +175,20 @@ class Fit:
         self.used = np.flatnonzero(self.ratio)
         self.place = np.full(SPACE, -1, np.int32)
         self.place[self.used] = np.arange(len(self.used))
-        self.own = self.scaled(texts)
+        self.own = self.scaled(texts, int(seen[self.used].sum()))
         self.pairs: list[tuple[np.ndarray, Rows]] = []
         if penalty and groups:
             for turn in range(1, min(3, max(map(len, groups)))):
-                other = [(k, s) for k, t in enumerate(texts) if t and (s := swapped(t, groups, turn)) != t]
+                other = [(k, s) for k, t in enumerate(map(_text, texts)) if t and (s := swapped(t, groups, turn)) != t]
                 if other:
                     self.pairs.append((np.array([k for k, _ in other]), self.scaled([s for _, s in other])))
 
-    def scaled(self, texts: list[str | None]) -> Rows:
+    def scaled(self, texts: list[str | None] | pa.Array, size: int | None = None) -> Rows:
         """Rows of the features that count, times their class ratios."""
-        rows = _all_rows(texts, self.place >= 0)
-        rows.value *= self.ratio[rows.feature].astype(np.float32)
-        rows.feature = self.place[rows.feature]
+        rows = _all_rows(texts, self.place >= 0, size)
+        for _, feature, value in rows._parts():  # parts are views
+            value *= self.ratio[feature].astype(np.float32)
+            feature[:] = self.place[feature]
         return rows
 
     def loss(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
@@ -176,8 +202,8 @@ class Fit:
             loss += self.penalty * float(self.weight[at] @ change**2)
             change *= 2 * self.penalty * self.weight[at]  # the bias falls out of the difference
             slope[at] += change
-            grad -= np.bincount(other.feature, other.value * change[other.row], len(w))
-        return loss, grad + np.bincount(self.own.feature, self.own.value * slope[self.own.row], len(w)), grad_b
+            grad -= other.spread(change, len(w))
+        return loss, grad + self.own.spread(slope, len(w)), grad_b
 
     def model(self, w: np.ndarray, bias: float) -> Model:
         weights = np.zeros(SPACE, np.float32)
@@ -185,7 +211,7 @@ class Fit:
         return Model(weights, float(bias))
 
 
-def fit_model(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, **options) -> Model:
+def fit_model(texts: list[str | None] | pa.Array, toxic: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, **options) -> Model:
     """Fit on (text, label) rows, by Adam; without rows of both classes the score is the share of the one there is."""
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -234,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
     y = np.array(rows["toxic"].to_pylist(), float)
     got = {label: max(1, int((y == label).sum())) for label in counts}
     weight = np.array([counts[int(k)] / got[int(k)] for k in y])
-    texts = rows["text"].to_pylist()
+    texts = pa.concat_arrays(rows["text"].chunks) if rows["text"].num_chunks else pa.array([], pa.string())
     del rows
     model = fit_model(texts, y, weight, **options)
     del texts

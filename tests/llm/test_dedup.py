@@ -31,6 +31,24 @@ def test_exact_over_batches(spark, documents, corpus):
     assert len(known) == len({d for *_, d in brute.exact_groups(first).values()})
 
 
+def test_an_index_is_opened_again(spark, documents, corpus, tmp_path):
+    """Files alone, under another name and without the number of buckets, as a new session finds them; queries leave no table behind."""
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path, buckets=3)
+    exact_duplicates(documents.filter("doc_id % 2 = 1"), index=index)
+    known = {r["digest"]: r["keep_id"] for r in index.read().collect()}
+    index.close()
+    tables = {t.name for t in spark.catalog.listTables()}
+    again = DigestIndex(spark.newSession(), path, table="opened_again")
+    assert again.buckets == 3 and {r["digest"]: r["keep_id"] for r in again.read().collect()} == known
+    out = exact_duplicates(documents.filter("doc_id % 2 = 0"), index=again).collect()
+    assert any(r["text_sha256"] in known for r in out) and all(r["keep_id"] == known[r["text_sha256"]] for r in out if r["text_sha256"] in known)
+    again.destroy()
+    assert not (tmp_path / "index").exists()
+    exact_duplicates(documents).count()
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_exact_ties_nulls_and_repeats(spark):
     rows = [(2, "a b"), (1, "ab "), (3, "a  b"), (None, "ab"), (5, "ab"), (5, "ab"), (None, None), (7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
