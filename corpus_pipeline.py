@@ -46,8 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, packed as little-endian unsigned 32-bit integers, and the digest of
     the text that they decode to."""
-    # Workers share the executor with a heap that earlier stages have filled, so they remember less.
-    return encoded(docs, piece_model_path(), cache=130_000).select(
+    return encoded(docs, piece_model_path()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
