@@ -18,15 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, Texts, pieces, tidy
+from .textkit import LOWER, Texts, give_back_memory, pieces, tidy
 
 ORDER = 3
 MAX_ROWS = 1500
 #: Contexts of full order seen fewer times than this, in all languages together, stay out of the trees (1: none does).
 LEAST_SEEN = 1
+#: Contexts whose code lengths are worked out at once.
+ROWS = 4096
 #: Bytes of the table of code lengths, which every task gets.
 MODEL_BYTES = 256 << 20
 SEED = 29
@@ -84,42 +87,50 @@ class Model:
         return out
 
 
-def fit_model(texts: dict[str, list[str | None]], least_seen: int = LEAST_SEEN, model_bytes: int = MODEL_BYTES) -> Model:
+def fit_model(texts: dict[str, list[str | None] | pa.Array], least_seen: int = LEAST_SEEN, model_bytes: int = MODEL_BYTES) -> Model:
     """The context trees of each language's texts (whole texts, nothing cut, no context over two texts).
 
     least_seen is doubled until the table of code lengths, which grows with languages and contexts, has at most
     model_bytes; contexts that are left out share the state of their longest shorter one.
     """
     langs = sorted(texts)
-    samples = [[p for p in pieces(pa.array(texts[lang], pa.large_string()), LOWER) if len(p.data)] for lang in langs]
+    columns = [t if isinstance(t := texts[lang], pa.Array) else pa.array(t, pa.large_string()) for lang in langs]
+    samples = [[p for p in pieces(column, LOWER) if len(p.data)] for column in columns]
     symbols = _alphabet([p for own in samples for p in own])
     a = int(symbols.max()) + 1
-    coded = []
-    for own in samples:
-        parts = [(contexts(p, symbols[p.data], a), symbols[p.data]) for p in own]
-        coded.append(tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in parts)]).astype(np.int64) for k in (0, 1)))
     # Contexts of full order that are seen often enough make states of their own; others share
     # the state of their longest shorter context, which is the remainder of their number.
-    grams = sum((np.bincount(c, minlength=a**3) for c, _ in coded), np.zeros(a**3, np.int64))
+    grams = np.zeros(a**3, np.int64)
+    for own in samples:
+        for p in own:
+            grams += np.bincount(contexts(p, symbols[p.data], a), minlength=a**3)
     full = np.flatnonzero(grams >= least_seen)
     while len(full) and (a * a + len(full)) * a * 4 * len(langs) > model_bytes:
         least_seen *= 2
         full = np.flatnonzero(grams >= least_seen)
+    del grams
     states = (np.arange(a**3, dtype=np.int64) % (a * a)).astype(np.int32)
     states[full] = a * a + np.arange(len(full), dtype=np.int32)
-    count = a * a + len(full)
-    nats = np.empty((len(langs), count * a), np.float32)
-    for k, (c, s) in enumerate(coded):
-        level = _escaped(np.bincount(s, minlength=a)[None, :], np.full((1, a), 1.0 / a), np.zeros(1, np.int64))
-        one = np.bincount(c % a * a + s, minlength=a * a).reshape(a, a)
-        one = _escaped(one, level, np.zeros(a, np.int64))
-        two = np.bincount(c % (a * a) * a + s, minlength=a**3).reshape(a * a, a)
-        two = _escaped(two, one, np.arange(a * a) % a)
-        place = np.minimum(np.searchsorted(full, c), max(len(full) - 1, 0))
-        own = full[place] == c if len(full) else np.zeros(len(c), bool)
-        three = np.bincount(place[own] * a + s[own], minlength=len(full) * a).reshape(len(full), a)
-        three = _escaped(three, two, full % (a * a))
-        nats[k] = -np.log(np.concatenate([two, three])).astype(np.float32).ravel()
+    nats = np.empty((len(langs), (a * a + len(full)) * a), np.float32)
+    for k, own in enumerate(samples):
+        none, one, two, three = (np.zeros(n, np.int32) for n in (a, a * a, a**3, len(full) * a))
+        for p in own:
+            s = symbols[p.data].astype(np.int64)
+            c = contexts(p, symbols[p.data], a).astype(np.int64)
+            np.add.at(none, s, 1)
+            one += np.bincount(c % a * a + s, minlength=len(one)).astype(np.int32)
+            two += np.bincount(c % (a * a) * a + s, minlength=len(two)).astype(np.int32)
+            state = states[c].astype(np.int64) - a * a
+            cell, times = np.unique((state * a + s)[state >= 0], return_counts=True)
+            three[cell] += times.astype(np.int32)
+        level = _escaped(none[None, :], np.full((1, a), 1.0 / a), np.zeros(1, np.int64))
+        level = _escaped(one.reshape(a, a), level, np.zeros(a, np.int64))
+        level = _escaped(two.reshape(a * a, a), level, np.arange(a * a) % a)
+        nats[k, : a**3] = -np.log(level).astype(np.float32).ravel()
+        three = three.reshape(len(full), a)
+        for at in range(0, len(full), ROWS):
+            part = _escaped(three[at : at + ROWS], level, full[at : at + ROWS] % (a * a))
+            nats[k, a**3 + at * a : a**3 + at * a + part.size] = -np.log(part).astype(np.float32).ravel()
     return Model(langs, symbols, a, states, nats)
 
 
@@ -145,12 +156,19 @@ def fit(docs: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS,
     part, chosen = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)), F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (part <= int(min(1.0, max_rows / n) * (1 << 30))))
-    texts: dict[str, list[str]] = {}
-    if counts:
-        rows = known.filter(chosen).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-        for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(text)
-    return fit_model(texts) if texts else None
+    if not counts:
+        return None
+    rows = known.filter(chosen).select("lang", "text").toArrow()
+    texts = {}
+    for lang in counts:  # counts of bytes after bytes don't depend on the order of rows
+        own = rows.filter(pc.equal(rows["lang"], lang))["text"]
+        if own.num_chunks and len(own):
+            texts[lang] = pa.concat_arrays(own.chunks)
+    del rows
+    model = fit_model(texts) if texts else None
+    del texts
+    give_back_memory()
+    return model
 
 
 def _predicted(model: Model | None):
