@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if (count, total) == seen or not count:
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
         seen = (count, total)
-        after = written(_small_star(_large_star(now)), "cc")
+        after = written(_small_star(_large_star(now)), "cc", rows=count)
         dropped(now)
         now = after
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -223,12 +223,13 @@ def near_duplicates(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(own, words, bands, rows, longs), "minhash-signed")
     sizes = signed.select("id", "n", "set_a", "set_b")
+    count = signed.count()
     whole = signed.filter("n > 0 and id is not null")
 
     # Classes of equal sets: the least id stands for each.
     marked_as = {"set_a": "a", "set_b": "b", "n": "m"}
     classes = whole.groupBy(*[F.col(c).alias(d) for c, d in marked_as.items()]).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    classes = written(classes, "minhash-classes")
+    classes = written(classes, "minhash-classes", rows=count)
     reps = written(
         joined_to_groups(whole, classes, marked_as, "members").filter(F.col("id") == F.col("rep"))
         .select("id", "n", "bands", *[f"s{k}" for k in range(longs)])
@@ -240,8 +241,8 @@ def near_duplicates(
     # Members of every band that at least two classes share, beside the band's least member.
     banded = reps.select(F.col("id"), F.explode("bands").alias("band"))
     shared = banded.groupBy(F.col("band").alias("b")).agg(F.min("id").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    shared = written(shared, "minhash-shared")
-    members = written(joined_to_groups(banded, shared, {"band": "b"}, "members").select("band", "id", "least"), "minhash-bands")
+    shared = written(shared, "minhash-shared", rows=bands * count)
+    members = written(joined_to_groups(banded, shared, {"band": "b"}, "members").select("band", "id", "least"), "minhash-bands", rows=bands * count)
     marks = reps.select("id", "n", *[f"s{k}" for k in range(longs)])
 
     def estimated(pairs: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Links among (x, y) pairs, by the full sets of the texts."""
-        pairs = written(pairs.select("x", "y"), "minhash-pairs")
+        pairs = written(pairs.select("x", "y"), "minhash-pairs", rows=bands * count)
         texts = among(own, pairs.select(F.col("x").alias("w")).union(pairs.select("y")).distinct())
         sets = written(texts.mapInArrow(_sets(words), "id long, own binary").dropDuplicates(["id"]), "minhash-sets")
         both = (
@@ -288,16 +289,16 @@ def near_duplicates(
         return _apart(p, q, SET_LONGS, "f") * (100 + percent) <= (F.col(f"{p}.n") + F.col(f"{q}.n")) * (100 - percent)
 
     # Each class against the likeliest of its bands' least members.
-    stars = written(estimated(members.filter("id > least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()), "minhash-stars")
+    stars = written(estimated(members.filter("id > least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()), "minhash-stars", rows=bands * count)
     best = stars.groupBy("y").agg(F.min_by("x", F.struct("bits", "x")).alias("x")).select("x", "y")
     links = confirmed(best, "minhash-links")
     roots = connected_components(links, "x", "y")
 
     # Members of open bands: how many members their bands have in all, and their whole sets' sketches.
-    open_ = written(rooted_members(members.select("band", "id"), roots), "minhash-open")
+    open_ = written(rooted_members(members.select("band", "id"), roots), "minhash-open", rows=bands * count)
     crowd = open_.groupBy(F.col("band").alias("b")).agg(F.count("*").alias("c"))
     weights = open_.join(crowd, F.col("band") == F.col("b")).groupBy("id").agg(F.sum("c").alias("weight"))
-    weights = written(weights, "minhash-weights")
+    weights = written(weights, "minhash-weights", rows=count)
     fields = ", ".join(f"f{k} long" for k in range(SET_LONGS))
     texts = among(own, weights.select("id")).dropDuplicates(["id"])
     sketches = texts.mapInArrow(_set_sketches(words, SET_LONGS), f"id long, n long, {fields}")
@@ -315,7 +316,7 @@ def near_duplicates(
     roots = connected_components(links, "x", "y")
 
     # Every pair that is left: one side lies outside the component of its band's hub.
-    still = written(rooted_members(placed, roots), "minhash-open")
+    still = written(rooted_members(placed, roots), "minhash-open", rows=bands * count)
     hub_roots = still.join(hubs(still), (F.col("band") == F.col("b")) & (F.col("id") == F.col("hub"))).select(F.col("band").alias("hb"), F.col("root").alias("hub_root"))
     outside = still.join(hub_roots, F.col("band") == F.col("hb")).filter("root != hub_root").alias("p")
     pairs = (
@@ -329,7 +330,7 @@ def near_duplicates(
     # Back to every row: its class, the class's component, and the least id of all of them.
     named = classes.join(roots, F.col("rep") == F.col("vertex"), "left").select("a", "b", "m", "members", F.coalesce("root", "rep").alias("component"))
     own = sizes.filter("n > 0 and id is not null")
-    out = joined_to_groups(own, written(named, "minhash-named"), marked_as, "members").select("id", "n", "component")
+    out = joined_to_groups(own, written(named, "minhash-named", rows=count), marked_as, "members").select("id", "n", "component")
     out = out.union(sizes.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
     component = F.col("component")
     return out.select(

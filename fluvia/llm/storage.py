@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: of which Spark's own limits (ten thousand rows, 64 MB) would lie in memory several times over.
 BATCH_BYTES, BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Rows of a file of narrow rows.
+FILE_ROWS = 250_000
+
 #: Ids (longs) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -39,9 +42,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again (with its schema, so empty tables work)."""
+def written(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again (with its schema, so empty tables work).
+
+    rows says how many there are at most, of a few numbers each: then the last step's tasks, and so the files, are no
+    more than these rows and the cluster's cores need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     path = new_path(spark, name)
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(batch_bytes))

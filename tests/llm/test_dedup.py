@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fluvia.llm import minhash, suffix_dedup
+from fluvia.llm import minhash, storage, suffix_dedup
 from fluvia.llm.exact_dedup import DigestIndex, digests, exact_duplicates
 from fluvia.llm.graph import connected_components
 from fluvia.llm.textkit import SPACE, pieces
@@ -164,6 +164,17 @@ def test_multikey_quicksort(rows):
     assert shared.tolist() == [0, *common]
 
 
+@pytest.mark.parametrize("several", [1, 3, 50_000])
+def test_large_groups_are_joined_like_others(spark, monkeypatch, several):
+    """However many groups are broadcast, all rows of all groups come, each once."""
+    monkeypatch.setattr(storage, "LARGE_GROUPS", several)
+    keys = [0] * 40 + [1] * 9 + [2] * 8 + list(range(3, 30)) + [None]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k long")
+    groups = spark.createDataFrame([(k, keys.count(k), f"g{k}") for k in set(keys) - {None, 5}], "kk long, n long, name string")
+    got = storage.joined_to_groups(rows, groups, {"k": "kk"}, "n").collect()
+    assert sorted((r["id"], r["name"]) for r in got) == [(i, f"g{k}") for i, k in enumerate(keys) if k is not None and k != 5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab ", max_size=12), max_size=8))
 def test_words_stay_inside_texts(texts):
