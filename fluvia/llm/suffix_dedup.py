@@ -6,12 +6,14 @@ at anchors are indexed, some three in a hundred of all. An anchor's extent is th
 have it: the suffix from the anchor to the last window's end, and the bytes before the anchor.
 
 1. Copies of whole texts are settled by a digest: all but the first go.
-2. Sampled splitters range-partition the suffixes by their leading bytes (then text and place, so a
-   common lead fills many buckets, not one). Each bucket is sorted by multikey quicksort. A suffix
-   that shares its lead with no neighbour, in the bucket or across its boundary, is in no repeat.
+2. Splitters, sampled from short pieces of the texts, range-partition the suffixes by their leading bytes
+   (then text and place, so a common lead fills many buckets, not one); they move in blocks, a row for each
+   task and bucket. Each bucket is sorted by multikey quicksort. A suffix that shares its lead with no
+   neighbour, in the bucket or across its boundary, is in no repeat.
 3. The others come with their extents, and are range-partitioned and sorted by all their bytes.
    Neighbours that are equal are repeats but for the first. The extents of one anchor that differ may
-   still have equal windows: these windows are sorted by multikey quicksort as well.
+   still have equal windows: they are cut to what they share with neighbours, forwards and backwards, until
+   that leaves most of them as they are, and the windows left are sorted by multikey quicksort as well.
 4. An anchor that lies at a boundary of buckets may go on in the next one: the different extents of such
    anchors meet once more, by anchor. Anchors that then have more than HOT different extents have their
    windows range-partitioned and sorted as rows of their own, and a bucket's last window is compared
@@ -22,6 +24,7 @@ have it: the suffix from the anchor to the last window's end, and the bytes befo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ HOT = 20_000
 CHUNK = 100_000
 #: Suffixes, extents and windows of a bucket, on average.
 BUCKET_SUFFIXES, BUCKET_EXTENTS, BUCKET_WINDOWS = 400_000, 100_000, 200_000
+#: Suffixes of a bucket, on average, that splitters are chosen from, and bytes of text of which such suffixes are taken at once.
+SAMPLED, SAMPLE_BYTES = 200, 512
+#: Suffixes that a task deals out to buckets at once.
+DEALT = 1_000_000
 SIGN = U64(1 << 63)
 
 
@@ -104,23 +111,87 @@ def _cut(column: pa.Array, length: int) -> Iterator[tuple[Texts, int]]:
             yield Texts(part, np.array([0, len(part)]), texts.first), at
 
 
-def _suffixes(length: int, gram: int):
-    """(id, text) rows to the suffixes at anchors: their leading symbols in order as longs, text and spot."""
+def _keys(texts: Texts, e: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Suffixes at anchors as rows of longs: their leading symbols in order, text and spot."""
+    lead = texts.data[e["anchor"][:, None] + np.arange(8 * LEAD)]
+    lead = (lead.view(">u8").astype(U64) ^ SIGN).view(np.int64)
+    return np.column_stack([lead, ids, packed_spots(at, e["anchor"] - e["at"], e["windows"])])
+
+
+def _sampled(length: int, gram: int, rate: float):
+    """(id, text) rows to the suffixes in a share of all pieces of SAMPLE_BYTES, wherever these are cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        rng = np.random.default_rng(task.partitionId() if task else 0)
+        for batch in batches:
+            data, starts, sizes = _flat([batch], 1)
+            begin = np.flatnonzero(rng.random(-(-len(data) // SAMPLE_BYTES)) < rate) * SAMPLE_BYTES
+            size = np.minimum(begin + SAMPLE_BYTES, len(data)) - begin
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            some = Texts(data[_ranges(begin, size)], offsets, 0)
+            e = extents(some, length, gram)
+            place = begin[e["doc"]] + e["at"] - offsets[e["doc"]]
+            text = np.searchsorted(starts, place, "right") - 1
+            keys = _keys(some, e, _column([batch], 0)[text], place - starts[text])
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], names=["rows"])
+
+    return tidy(run)
+
+
+def splitters(keys: np.ndarray, parts: int) -> np.ndarray:
+    """parts - 1 rows that part the sampled rows evenly (none if there are no rows)."""
+    keys = keys[np.lexsort(keys.T[::-1])]
+    return keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else keys
+
+
+def bucket_of(keys: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """How many splitters are no greater than each row."""
+    if not len(split):
+        return np.zeros(len(keys), np.int64)
+    low, high = (np.searchsorted(split[:, 0], keys[:, 0], side) for side in ("left", "right"))
+    rows = np.flatnonzero(low < high)
+    while len(rows):  # the first symbol doesn't tell
+        middle = (low[rows] + high[rows]) // 2
+        first = (split[middle] != keys[rows]).argmax(axis=1)
+        below = split[middle, first] <= keys[rows, first]
+        low[rows] = np.where(below, middle + 1, low[rows])
+        high[rows] = np.where(below, high[rows], middle)
+        rows = rows[low[rows] < high[rows]]
+    return low
+
+
+def _suffixes(length: int, gram: int, split: np.ndarray):
+    """(id, text) rows to their suffixes at anchors, by bucket: a row has many, column by column."""
+
+    def dealt(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(keys)
+        keys.clear()
+        bucket = bucket_of(rows, split)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for k in range(0, len(first), 64):
+            edges = [*first[k : k + 64].tolist(), first[k + 64] if k + 64 < len(first) else len(rows)]
+            blobs = [np.ascontiguousarray(rows[x:y].T).tobytes() for x, y in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first[k : k + 64]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = _column([batch], 0).astype(np.int64)
             for texts, base in _cut(batch.column(1), length):
                 e = extents(texts, length, gram)
                 if not len(e["at"]):
                     continue
-                lead = texts.data[e["anchor"][:, None] + np.arange(8 * LEAD)]
-                lead = (lead.view(">u8").astype(U64) ^ SIGN).view(np.int64)
-                spots = packed_spots(e["at"] - texts.offsets[e["doc"]] + base, e["anchor"] - e["at"], e["windows"])
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.ascontiguousarray(lead[:, k])) for k in range(LEAD)), pa.array(ids[texts.first + e["doc"]]), pa.array(spots)],
-                    names=[*(f"l{k}" for k in range(LEAD)), "id", "spot"],
-                )
+                keys.append(_keys(texts, e, ids[texts.first + e["doc"]], e["at"] - texts.offsets[e["doc"]] + base))
+                held += len(keys[-1])
+                if held >= DEALT:
+                    yield from dealt(keys)
+                    held = 0
+        if held:
+            yield from dealt(keys)
 
     return tidy(run)
 
@@ -185,16 +256,14 @@ def _shared_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     kind 0: shares it; 1: a first or last suffix that doesn't; 2: a first or last lead that is shared.
     """
-    rows = [b for b in batches if len(b)]
+    rows = [np.frombuffer(x.as_buffer(), np.int64).reshape(LEAD + 2, -1) for b in batches for x in b.column(1)]
     if not rows:
         return
-    symbols = np.stack([_column(rows, k) for k in range(LEAD + 2)], axis=1)
+    symbols = np.ascontiguousarray(np.concatenate(rows, axis=1).T)
     rows = None
-    order, shared = multikey_quicksort(symbols)
+    order, shared = multikey_quicksort(symbols[:, :LEAD])
     symbols = symbols[order]
-    again = shared == LEAD + 2  # a row that is there twice
-    symbols, shared = symbols[~again], shared[~again]
-    same = shared >= LEAD
+    same = shared == LEAD
     tie = same | np.concatenate([same[1:], [False]])
     ends = np.unique([0, len(symbols) - 1])
     at = np.concatenate([np.flatnonzero(tie), ends])
@@ -221,29 +290,30 @@ def _with_bytes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                buffer = text.as_buffer()
-                raw = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-                at, before, windows = unpacked_spots(np.asarray(batch.column(2)[i].values))
-                inside = at + windows - 1 + length <= len(raw)  # rows of one id may have different texts
-                at, before, windows = at[inside], before[inside], windows[inside]
-                after = windows - 1 + length - before
-                for k in range(0, len(at), 4096):
-                    a, b, c = at[k : k + 4096], before[k : k + 4096], after[k : k + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [_binary(raw[_ranges(a + b, c)], c), _binary(raw[_ranges(a, b)], b), pa.array(np.full(len(a), batch.column(0)[i].as_py(), np.int64)), pa.array(a.astype(np.int32))],
-                        names=["after", "before", "id", "at"],
-                    )
+            ids = _column([batch], 0).astype(np.int64)
+            data, starts, sizes = _flat([batch], 1)
+            spots = batch.column(2)
+            row = np.repeat(np.arange(len(batch)), np.diff(spots.offsets.to_numpy()))
+            at, before, windows = unpacked_spots(spots.flatten().to_numpy(zero_copy_only=False))
+            inside = at + windows - 1 + length <= sizes[row]  # rows of one id may have different texts
+            row, at, before, windows = row[inside], at[inside], before[inside], windows[inside]
+            begin, after = starts[row] + at, windows - 1 + length - before
+            for k in range(0, len(row), 8192):
+                a, b, c = begin[k : k + 8192], before[k : k + 8192], after[k : k + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [_binary(data[_ranges(a + b, c)], c), _binary(data[_ranges(a, b)], b), pa.array(ids[row[k : k + 8192]]), pa.array(at[k : k + 8192].astype(np.int32))],
+                    names=["after", "before", "id", "at"],
+                )
 
     return tidy(run)
 
 
 def _flat(batches: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of a binary column of all batches, and where each row's start and how many they are."""
+    """Bytes of a binary or text column of all batches, and where each row's start and how many they are."""
     data, starts, sizes, base = [], [], [], 0
     for b in batches:
         column = b.column(k)
-        wide = pa.types.is_large_binary(column.type)
+        wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
         _, offs, own = column.buffers()
         offsets = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         part = np.frombuffer(own, np.uint8)[offsets[0] : offsets[-1]] if own is not None else np.zeros(0, np.uint8)
@@ -290,6 +360,73 @@ def _spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), pa.array(ids.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), none, none], names=SPANS)
 
 
+class Extents(NamedTuple):
+    """Extents of several anchors (group): text, the anchor's place in it, and the bytes from it on and before it."""
+
+    group: np.ndarray
+    ids: np.ndarray
+    place: np.ndarray
+    after_at: np.ndarray
+    ahead: np.ndarray
+    before_end: np.ndarray
+    behind: np.ndarray
+
+    def take(self, rows: np.ndarray | slice) -> Extents:
+        return Extents(*(x[rows] for x in self))
+
+
+def most_common(symbols: np.ndarray, shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of sorted rows (group, bytes in symbols, size), the bytes that each shares at most with another one of its group: with a neighbour."""
+    out = np.zeros(len(symbols), np.int64)
+    width = symbols.shape[1] - 2
+    if not width or len(out) < 2:
+        return out
+    k = np.clip(shared[1:] - 1, 0, width - 1)  # the first symbol in which they differ, or the last one
+    rows = np.arange(len(k))
+    differ = symbols[rows, 1 + k] ^ symbols[rows + 1, 1 + k]
+    common = 8 * k + sum((differ >> U64(8 * j) == 0).astype(np.int64) for j in range(8))
+    common = np.where(shared[1:] > 0, np.minimum(common, np.minimum(sizes[1:], sizes[:-1])), 0)
+    out[1:] = common
+    out[:-1] = np.maximum(out[:-1], common)
+    return out
+
+
+def narrowed(e: Extents, after: np.ndarray, before: np.ndarray, length: int) -> tuple[Extents, list[pa.RecordBatch]]:
+    """Extents by group, cut to the windows that may have an equal one in another, and the spans that are found repeated on the way.
+
+    Equal windows have their anchor at one place. So an extent's windows need no more bytes after the anchor than it
+    shares with its neighbours in the order of these, and no more before it than with those in the order of the bytes
+    before, read backwards. Extents that have become equal are repeats but for the first.
+    """
+    backwards, found = before[::-1], []
+    e = e.take(np.lexsort((e.place, e.ids)))  # the sort keeps the order of equal rows
+    windows = int((e.ahead + e.behind - length + 1).sum())
+    while windows:
+        behind = _symbols(backwards, len(before) - e.before_end, e.behind)
+        group = e.group[:, None].astype(U64)
+        symbols = np.concatenate([group, _symbols(after, e.after_at, e.ahead), behind], axis=1)
+        order, shared = multikey_quicksort(symbols)
+        same = shared == symbols.shape[1]
+        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        again = order[same & ((e.ids[order] != e.ids[first]) | (e.place[order] != e.place[first]))]
+        found.append(_spans(e.ids[again], e.place[again] - e.behind[again], e.place[again] + e.ahead[again]))
+        order, shared = order[~same], shared[~same]
+        ahead = np.minimum(e.ahead[order], most_common(symbols[order, : -behind.shape[1]], shared, e.ahead[order]))
+        live = ahead + e.behind[order] >= length
+        by = np.argsort(order[live])
+        e, behind, group = (x[order[live][by]] if x is not e else e.take(order[live][by])._replace(ahead=ahead[live][by]) for x in (e, behind, group))
+        symbols = np.concatenate([group, behind], axis=1)
+        order, shared = multikey_quicksort(symbols)
+        least = np.zeros(len(order), np.int64)
+        least[order] = np.minimum(e.behind[order], most_common(symbols[order], shared, e.behind[order]))
+        e = e._replace(behind=least).take(e.ahead + least >= length)
+        left = int((e.ahead + e.behind - length + 1).sum())
+        if left > 0.7 * windows:
+            break
+        windows = left
+    return e.take(np.argsort(e.group, kind="stable")), found
+
+
 def _compared(length: int, gram: int, hot: int | None, chunk: int):
     """A bucket of extents to the spans that repeat (kind 0) and the extents that are to be compared elsewhere (kind 1).
 
@@ -304,12 +441,15 @@ def _compared(length: int, gram: int, hot: int | None, chunk: int):
         after, after_at, after_size = _flat(rows, 0)
         before, before_at, before_size = _flat(rows, 1)
         rows = None
-        symbols = np.concatenate([_symbols(after, after_at, after_size), _symbols(before, before_at, before_size), ids[:, None].view(U64) ^ SIGN, at[:, None].view(U64)], axis=1)
+        by = np.lexsort((at, ids))  # the sort keeps the order of equal rows
+        symbols = np.concatenate([_symbols(after, after_at[by], after_size[by]), _symbols(before, before_at[by], before_size[by])], axis=1)
         width = symbols.shape[1]
         order, shared = multikey_quicksort(symbols)
         symbols = None
-        order, shared = order[shared < width], shared[shared < width]  # a row that is there twice is one row
-        same = shared >= width - 2
+        order = by[order]
+        twice = np.concatenate([[False], (shared[1:] == width) & (ids[order[1:]] == ids[order[:-1]]) & (at[order[1:]] == at[order[:-1]])])
+        order, shared = order[~twice], shared[~twice]  # a row that is there twice is one row
+        same = shared == width
         again = order[same]
         yield _spans(ids[again], at[again], at[again] + before_size[again] + after_size[again])
         heads, shared = order[~same], shared[~same]
@@ -333,21 +473,24 @@ def _compared(length: int, gram: int, hot: int | None, chunk: int):
         here = np.repeat(~apart & (counts > 1), counts)
         group = np.repeat(np.arange(len(counts)), counts)[here]
         heads = heads[here]
-        total = np.cumsum(before_size[heads] + after_size[heads] - length + 1)
+        e = Extents(group, ids[heads], at[heads] + before_size[heads], after_at[heads], after_size[heads], before_at[heads] + before_size[heads], before_size[heads])
+        e, found = narrowed(e, after, before, length)
+        yield from found
+        total = np.cumsum(e.ahead + e.behind - length + 1)
         begin = 0
-        while begin < len(heads):
+        while begin < len(total):
             # Whole anchors, of some `chunk` windows together.
             end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk))
-            end = int(np.searchsorted(group, group[min(end, len(heads) - 1)], "right"))
-            some, begin = heads[begin:end], end
-            size = before_size[some] + after_size[some]
+            end = int(np.searchsorted(e.group, e.group[min(end, len(total) - 1)], "right"))
+            some, begin = e.take(slice(begin, end)), end
+            size = some.behind + some.ahead
             blob = np.zeros(int(size.sum()), np.uint8)
             first = np.cumsum(size) - size
-            blob[_ranges(first, before_size[some])] = before[_ranges(before_at[some], before_size[some])]
-            blob[_ranges(first + before_size[some], after_size[some])] = after[_ranges(after_at[some], after_size[some])]
+            blob[_ranges(first, some.behind)] = before[_ranges(some.before_end - some.behind, some.behind)]
+            blob[_ranges(first + some.behind, some.ahead)] = after[_ranges(some.after_at, some.ahead)]
             windows = size - length + 1
-            which, starts = np.repeat(np.arange(len(some)), windows), _ranges(first, windows)
-            own_ids, own_at = ids[some][which], at[some][which] + starts - first[which]
+            which, starts = np.repeat(np.arange(len(size)), windows), _ranges(first, windows)
+            own_ids, own_at = some.ids[which], (some.place - some.behind)[which] + starts - first[which]
             hit = repeated_windows(blob, starts, own_ids, own_at, length)
             new = hit & ~np.concatenate([[False], hit[:-1] & (which[1:] == which[:-1])])
             end_ = hit & ~np.concatenate([hit[1:] & (which[1:] == which[:-1]), [False]])
@@ -456,10 +599,12 @@ def repeated_spans(
     # Suffixes by their leading bytes; of those with a lead of their own nothing goes on.
     leads = [f"l{k}" for k in range(LEAD)]
     named = ", ".join(f"{c} long" for c in leads)
-    suffixes = texts.mapInArrow(_suffixes(length, gram), f"{named}, id long, spot long")
-    parts = max(least, 2 * total // (length - gram + 2) // BUCKET_SUFFIXES)
-    sorted_ = suffixes.repartitionByRange(parts, *leads, "id", "spot").mapInArrow(tidy(_shared_leads), f"kind byte, id long, spot long, {named}")
-    ties = written(sorted_, "suffix-ties")
+    suffixes = 2 * total // (length - gram + 2)
+    parts = max(least, suffixes // BUCKET_SUFFIXES)
+    sampled = texts.mapInArrow(_sampled(length, gram, SAMPLED * parts / max(1, suffixes)), "rows binary").collect()
+    split = splitters(np.frombuffer(b"".join(r[0] for r in sampled), np.int64).reshape(-1, LEAD + 2), parts)
+    dealt = texts.mapInArrow(_suffixes(length, gram, split), "bucket int, rows binary").repartitionById(parts, "bucket")
+    ties = written(dealt.mapInArrow(tidy(_shared_leads), f"kind byte, id long, spot long, {named}"), "suffix-ties")
     dropped(whole)
     edges = ties.filter("kind > 0")
     meet = edges.groupBy(*[F.col(c).alias(f"m{c}") for c in leads]).agg(F.count("*").alias("n")).filter("n > 1").drop("n")

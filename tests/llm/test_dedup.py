@@ -4,6 +4,7 @@ import hashlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,6 +146,46 @@ def test_a_crowded_anchor(spark):
         assert got == brute.without_repeats(rows)
 
 
+def test_few_windows_of_different_extents_are_sorted(monkeypatch):
+    """A passage between surroundings of its own in each text: its edges become equal extents before any window is sorted."""
+    rng = np.random.default_rng(10)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    passage = letters(150)
+    texts = [letters(80 + k) + passage + letters(120) for k in range(50)]
+    flat = suffix_dedup.Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 0)
+    e = suffix_dedup.extents(flat, 100, 32)
+    at, ends = e["at"], e["at"] + e["windows"] + 99
+    columns = [[flat.data[a:b].tobytes() for a, b in zip(e["anchor"], ends, strict=True)], [flat.data[a:b].tobytes() for a, b in zip(at, e["anchor"], strict=True)]]
+    extents = pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array(e["doc"]), pa.array((at - flat.offsets[e["doc"]]).astype(np.int32))], names=["after", "before", "id", "at"])
+    sorted_, plain = [], suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda blob, starts, *rest: (sorted_.append(len(starts)), plain(blob, starts, *rest))[1])
+    covered = {k: set() for k in range(50)}
+    for batch in suffix_dedup._compared(100, 32, None, suffix_dedup.CHUNK)(iter([extents])):
+        for row in batch.to_pylist():
+            covered[row["id"]] |= set(range(row["start"], row["stop"]))
+    assert {k: len(v) for k, v in covered.items()} == {k: n for k, (_, n, _, _) in brute.without_repeats([(k, t.decode()) for k, t in enumerate(texts)]).items()}
+    assert covered[0] == set() and len(covered[49]) >= 150
+    assert sum(sorted_) < 500
+
+
+def test_suffixes_are_dealt_out_in_order():
+    """By sampled splitters, rows that share all of their lead included; each suffix goes to one bucket."""
+    rng = np.random.default_rng(11)
+    keys = rng.integers(-2, 3, (3000, suffix_dedup.LEAD + 2))
+    split = suffix_dedup.splitters(keys[rng.random(3000) < 0.1], 40)
+    got = suffix_dedup.bucket_of(keys, split)
+    assert split.shape == (39, suffix_dedup.LEAD + 2)
+    assert got.tolist() == [sum(tuple(s) <= tuple(k) for s in split.tolist()) for k in keys.tolist()]
+    assert np.bincount(got, minlength=40).max() < 300
+    assert not suffix_dedup.bucket_of(keys, suffix_dedup.splitters(keys[:0], 40)).any()
+    texts = pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array(["a" * 500, "".join(map(chr, rng.integers(97, 123, 5000)))])], names=["id", "text"])
+    whole = [np.frombuffer(r["rows"], np.int64).reshape(-1, suffix_dedup.LEAD + 2) for b in suffix_dedup._sampled(100, 32, 1.0)(iter([texts])) for r in b.to_pylist()]
+    split = suffix_dedup.splitters(np.concatenate(whole), 9)
+    blobs = [(r["bucket"], np.frombuffer(r["rows"], np.int64).reshape(suffix_dedup.LEAD + 2, -1).T) for b in suffix_dedup._suffixes(100, 32, split)(iter([texts])) for r in b.to_pylist()]
+    assert {b for b, _ in blobs} == set(range(9))
+    assert all((suffix_dedup.bucket_of(rows, split) == b).all() for b, rows in blobs)
+
+
 def test_long_texts_come_in_parts(spark):
     rng = np.random.default_rng(9)
     body = bytes(rng.integers(97, 123, 5 << 20, dtype=np.uint8)).decode()
