@@ -136,7 +136,7 @@ def index_points_to_waterbodies(
     """
     search_radius, points = search_radius_of(search_radius, crs), _placed(points, points_crs, crs)
     own = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    rings = waterbodies.select("wbid", "geom")
+    rings = waterbodies.select("wbid", "geom").hint("merge")  # a file's size tells little of what its corners and boxes take
     vertices = rings.select("wbid", F.explode(F.flatten("geom")).alias("_v")).select("wbid", F.col("_v.x").alias("vx"), F.col("_v.y").alias("vy"))
     closest = near(own, vertices, search_radius).groupBy(F.col("point_id").alias("_p")).agg(F.min(F.struct("_d", "wbid")).alias("_n"))
     # Containment: polygons and points meet in grid cells. A polygon lies in the grid whose cells are as large as its box,
