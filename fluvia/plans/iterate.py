@@ -29,9 +29,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and without lineage, under spark.checkpoint.dir."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and without lineage, as a table in the shared folder.
+
+    Spark's own checkpoints keep the estimates and constraints of the plan that they cut. Constraints grow with every
+    join of a table with itself, and planning with them; estimates know nothing of what rounds do to sizes.
+    """
+    return Rounds(df.sparkSession, df.schema).append(df)
 
 
 class Rounds:

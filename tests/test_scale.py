@@ -4,12 +4,27 @@ from pyspark.sql import functions as F
 
 from fluvia import queries as q
 from fluvia.operators import indexing
+from fluvia.plans import iterate
+
+
+def constraints(df):
+    return df._jdf.queryExecution().optimizedPlan().constraints().size()
 
 
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rounds_carry_no_constraints(spark):
+    """Of a table joined with itself again and again, which doubles what is known of its columns."""
+    now = iterate.cut(spark.range(100).select("id", (F.col("id") + 1).alias("ptr")))
+    for _ in range(3):
+        far = now.select(F.col("id").alias("at"), F.col("ptr").alias("next"))
+        now = iterate.cut(now.join(far, F.col("ptr") == F.col("at")).select("id", F.col("next").alias("ptr")))
+        assert constraints(now) <= 2
+    assert now.count() == 93
+
+
 def test_waterbodies_are_not_broadcast_by_estimate(spark, sf_dir):
     """A file of parts is far smaller than the corners and boxes made of it."""
     points = spark.range(50_000).select(F.col("id").alias("point_id"), F.lit(3.5).alias("x"), F.lit(1.5).alias("y"))
