@@ -100,6 +100,8 @@ def hy(x: DataFrame | Network, clean: bool = False, add_topo: bool = False) -> N
         df = df.select([c for c in df.columns if c in DEFINITIONS])
     if "toid" in df.columns and "id" in df.columns:
         df = df.withColumn("toid", F.coalesce("toid", outlet_value(df)))
+    # Estimates of a network's size come from its source's files, and are too low for what is made of them to be broadcast by.
+    df = df.hint("merge")
     net = Network(df, classify(df), {new: old for old, new in renamed.items() if old != new})
     if net.kind is Kind.FLOW:
         check_junctions(df)

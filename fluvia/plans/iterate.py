@@ -79,7 +79,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
         if frontier.isEmpty():
             return seen.all()
         step = frontier.join(edges.select("src", "dst"), F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        frontier = seen.append(step.join(seen.all(), ["start", "id"], "left_anti"))
+        frontier = seen.append(step.join(seen.all().hint("merge"), ["start", "id"], "left_anti"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
@@ -110,25 +110,28 @@ def walk_to_root(nodes: DataFrame, sums: list[str] | None = None) -> DataFrame:
     """
     sums = sums or []
     ids = nodes.select(F.col("id").alias("known"))
-    now = nodes.join(ids, F.col("parent") == F.col("known"), "left").select(
-        "id", F.col("known").alias("ptr"), F.coalesce("known", "id").alias("root"),
-        F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth"), *sums,
-    )
-    now = cut(now)
+    # A missing parent looks for the id itself, so that such rows don't all meet under one key.
+    now = nodes.join(ids.hint("merge"), F.coalesce("parent", "id") == F.col("known"), "left").select(
+        "id", F.when(F.col("parent").isNotNull(), F.col("known")).alias("ptr"), F.when(F.col("parent").isNotNull(), F.col("known")).alias("root"), *sums
+    )
+    now = now.select("id", "ptr", F.coalesce("root", "id").alias("root"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("depth"), *sums)
+    # A row without ptr is at its root and isn't written again; only the others go on.
+    rows = Rounds(nodes.sparkSession, now.schema)
+    now = rows.append(now)
     limit = now.count()
     for k in range(66):
-        if now.filter("ptr is not null").isEmpty():
-            return now.drop("ptr")
+        going = now.filter("ptr is not null")
+        if going.isEmpty():
+            return rows.all().filter("ptr is null").drop("ptr")
         if 1 << k > 2 * limit:
             break
-        far = now.select(
+        far = rows.all().filter("ptr is null").union(going).select(
             F.col("id").alias("at"), F.col("ptr").alias("far_ptr"), F.col("root").alias("far_root"), F.col("depth").alias("far_depth"),
             *[F.col(s).alias(f"far_{s}") for s in sums],
         )
-        now = cut(
-            now.join(far, F.col("ptr") == F.col("at"), "left").select(
-                "id", F.col("far_ptr").alias("ptr"), F.coalesce("far_root", "root").alias("root"),
-                (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"),
+        now = rows.append(
+            going.join(far.hint("merge"), F.col("ptr") == F.col("at")).select(
+                "id", F.col("far_ptr").alias("ptr"), F.col("far_root").alias("root"), (F.col("depth") + F.col("far_depth")).alias("depth"),
                 *[(F.col(s) + F.coalesce(f"far_{s}", F.lit(0))).alias(s) for s in sums],
             )
         )
@@ -143,14 +146,17 @@ def forest_sums(nodes: DataFrame, names: list[str], how=F.sum) -> DataFrame:
     """
     joined = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest, F.bit_xor: lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0)))}[how]
     ids = nodes.select(F.col("id").alias("_k"))
-    now = cut(nodes.join(ids, F.col("parent") == F.col("_k"), "left").select("id", F.col("_k").alias("ptr"), *names))
+    now = nodes.join(ids.hint("merge"), F.coalesce("parent", "id") == F.col("_k"), "left")
+    now = cut(now.select("id", F.when(F.col("parent").isNotNull(), F.col("_k")).alias("ptr"), *names))
     for _ in range(66):
-        if now.filter("ptr is not null").isEmpty():
+        going = now.filter("ptr is not null")
+        if going.isEmpty():
             return now.select("id", *names)
-        given = now.filter("ptr is not null").groupBy(F.col("ptr").alias("_to")).agg(*[how(c).alias(f"_{c}") for c in names])
-        hop = now.select(F.col("id").alias("_at"), F.col("ptr").alias("_next"))
+        given = going.groupBy(F.col("ptr").alias("_to")).agg(*[how(c).alias(f"_{c}") for c in names])
+        hop = going.select(F.col("id").alias("_at"), F.col("ptr").alias("_next"))
+        hop = going.select(F.col("id").alias("_i"), "ptr").join(hop.hint("merge"), F.col("ptr") == F.col("_at")).select("_i", "_next")
         now = cut(
-            now.join(given, F.col("id") == F.col("_to"), "left").join(hop, F.col("ptr") == F.col("_at"), "left")
+            now.join(given.hint("merge"), F.col("id") == F.col("_to"), "left").join(hop.hint("merge"), F.col("id") == F.col("_i"), "left")
             .select("id", F.col("_next").alias("ptr"), *[joined(F.col(c), F.col(f"_{c}")).alias(c) for c in names])
         )
     raise ValueError("the network has loops")

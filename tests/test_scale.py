@@ -25,6 +25,17 @@ def test_rounds_carry_no_constraints(spark):
     assert now.count() == 93
 
 
+def test_walk_moves_only_what_goes_on(spark, monkeypatch):
+    """Rows that have come to their root are written once, and don't meet under one key."""
+    written = []
+    kept = iterate.Rounds.append
+    monkeypatch.setattr(iterate.Rounds, "append", lambda self, df: (written.append(n.count()) or n) if (n := kept(self, df)) else n)
+    star = spark.range(1, 1001).select("id", F.when(F.col("id") > 3, (F.col("id") % 3) + 1).otherwise(F.lit(None)).alias("parent"))
+    walked = {r["id"]: (r["root"], r["depth"]) for r in iterate.walk_to_root(star).collect()}
+    assert walked == {k: (k, 0) if k <= 3 else (k % 3 + 1, 1) for k in range(1, 1001)}
+    assert written == [1000, 997]
+
+
 def test_waterbodies_are_not_broadcast_by_estimate(spark, sf_dir):
     """A file of parts is far smaller than the corners and boxes made of it."""
     points = spark.range(50_000).select(F.col("id").alias("point_id"), F.lit(3.5).alias("x"), F.lit(1.5).alias("y"))
