@@ -283,8 +283,8 @@ def add_divergence(
     stands = stands.select(F.col("node").alias("_s"), up_name.alias("up_nm"))
     down = down.join(stands, F.col("node") == F.col("_s"), "left").drop("_s")
     winners = down_level(down, "node")
-    flags = down.select("node", "id").join(winners, "node").select(F.col("id").alias("_id"), F.when(F.col("id") == F.col("pick"), 1).otherwise(2).alias("divergence"))
-    out = net.df.drop("divergence").join(flags, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("divergence", F.coalesce("divergence", F.lit(0)).cast("int"))
+    flags = down.select("node", "id").join(winners, "node").select(F.col("id").alias("_id"), F.col("node").alias("_from"), F.when(F.col("id") == F.col("pick"), 1).otherwise(2).alias("divergence"))
+    out = net.df.drop("divergence").join(flags, (F.col("id") == F.col("_id")) & (F.col("fromnode") == F.col("_from")), "left").drop("_id", "_from").withColumn("divergence", F.coalesce("divergence", F.lit(0)).cast("int"))
     return given_back(x, net.with_df(out))
 
 
