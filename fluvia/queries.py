@@ -450,7 +450,7 @@ def connected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE " + NODES_SQL + ", r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT f.id FROM r JOIN flow f ON f.toid = r.id) SELECT id FROM r")
 def subset_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.subset_network(hy(nodes(spark, sf_dir)), 1).df.select("id")
+    return topology.subset_network(hy(nodes(spark, sf_dir)), 1).df.select("id").distinct()
 
 
 @query("WITH " + NODES_SQL + """, heads AS (SELECT fromnode FROM nodes GROUP BY fromnode HAVING count(*) > 1), up AS (

@@ -29,7 +29,7 @@ def parts(tmp_path_factory, sf_dir):
     return str(there), con
 
 
-@pytest.mark.parametrize("name", ["add_divergence", "index_ids_both", "index_ids_formatted", "index_ids_from"])
+@pytest.mark.parametrize("name", ["add_divergence", "index_ids_both", "index_ids_formatted", "index_ids_from", "subset_network"])
 def test_rows_with_an_id_in_common(spark, parts, name):
     there, con = parts
     assert same(q.QUERIES[name](spark, there), con.sql(q.SQL[name]))
