@@ -131,6 +131,8 @@ def check_valid(df: DataFrame, source: int | None = None, target: int | None = N
     flat = lambda r: F.forall(r, lambda p: turn(F.element_at(r, 1), F.element_at(r, 2), p) == 0)
     rings = F.transform(F.filter("geom", lambda r: F.size(r) > 2), lambda r: closed(step(r)))
     out = out.withColumn("geom", F.filter(rings, lambda r: (F.size(r) > 3) & ~flat(r))).filter("size(geom) > 0")
+    # A file of many rows may be one task's, and taking apart is the work.
+    out = out.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
     own = out.withColumn("_parts", F.pandas_udf(_taken_apart, "array<array<array<array<double>>>>")(F.transform("geom", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))))
     own = own.withColumn("simple", F.col("_parts").isNull())
     parts = F.transform("_parts", lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: g.point(p[0], p[1]))))

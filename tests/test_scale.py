@@ -1,9 +1,13 @@
 """What must not grow with a network, or with the number of rounds."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fluvia import queries as q
-from fluvia.operators import indexing
+from fluvia.functions import overlay
+from fluvia.operators import indexing, polygons
 from fluvia.plans import iterate
 
 
@@ -43,3 +47,40 @@ def test_waterbodies_are_not_broadcast_by_estimate(spark, sf_dir):
     plan = physical(found)
     made = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert "SortMergeJoin" in plan and not made
+
+
+def test_loops_end_levels_soon(spark, monkeypatch):
+    """Where ids have several ways, a loop is found by peeling, and not after a round for each id."""
+    rounds, kept = [], iterate.Rounds.append
+
+    def counted(self, df):
+        rounds.append(1)
+        assert len(rounds) < 40
+        return kept(self, df)
+
+    monkeypatch.setattr(iterate.Rounds, "append", counted)
+    monkeypatch.setattr(iterate, "PATIENCE", 3, raising=False)
+    table = spark.createDataFrame([(k, k + 1) for k in range(8)] + [(3, 1), (5, 7), (0, 2)], "src long, dst long")
+    with pytest.raises(ValueError, match="loops"):
+        iterate.levels(spark.range(1000), table)
+
+
+def test_few_edges_need_no_arrays(monkeypatch):
+    """Most polygons have few edges; what is found of them is the same in both ways."""
+    draw = random.Random(3)
+    for _ in range(300):
+        n = draw.randrange(3, 12)
+        ring = [(float(draw.randrange(5)), draw.randrange(5) / 2) for _ in range(n)]
+        edges = [(a, b, 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]
+        odd = lambda w: w % 2 == 1
+        with monkeypatch.context() as m:
+            m.setattr(overlay, "SMALL", 0, raising=False)
+            slow = overlay.noded(edges), overlay.outline(edges, odd)
+        with monkeypatch.context() as m:
+            m.setattr(overlay, "_pairs", None)
+            assert (overlay.noded(edges), overlay.outline(edges, odd)) == slow
+
+
+def test_polygons_of_one_file_are_spread(spark, sf_dir):
+    found = polygons.check_valid(q.squares(spark, sf_dir).select("wbid", "geom"))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
