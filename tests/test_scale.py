@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fluvia import queries as q
 from fluvia.functions import overlay
-from fluvia.operators import indexing, polygons
+from fluvia.network import hy
+from fluvia.operators import indexing, polygons, topology
 from fluvia.plans import iterate
 
 
@@ -84,3 +85,7 @@ def test_few_edges_need_no_arrays(monkeypatch):
 def test_polygons_of_one_file_are_spread(spark, sf_dir):
     found = polygons.check_valid(q.squares(spark, sf_dir).select("wbid", "geom"))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_networks_are_not_broadcast_by_estimate(spark, sf_dir):
+    assert "BroadcastHashJoin" not in physical(topology.add_toids(hy(q.nodes(spark, sf_dir)), return_dendritic=False).df)
