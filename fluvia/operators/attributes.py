@@ -144,7 +144,7 @@ def add_levelpaths(
     walked = walk_to_root(ids.join(parent, F.col("id") == F.col("_p"), "left").select("id", "parent"))
     ends = ids.select(F.col("id").alias("_r"), F.col("topo_sort").alias("levelpath"))
     paths = walked.join(ends, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), F.col("root").alias("levelpath_outlet_id"), "levelpath")
-    out = df.join(paths, F.col("id") == F.col("_id")).drop("_id")
+    out = cut(df.join(paths.hint("merge"), F.col("id") == F.col("_id")).drop("_id"))
     first = ["id", "toid", "levelpath_outlet_id", "topo_sort", "levelpath"]
     return given_back(x, put_geometry(net.with_df(out.select(*first, *[c for c in out.columns if c not in first])), aside))
 
